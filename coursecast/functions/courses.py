@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coursecast.functions.numbers import NUMBER, as_number
+
 
 def subject_code(subj: Column) -> Column:
     """Trimmed upper-case code, null when empty."""
@@ -14,26 +16,23 @@ def subject_code(subj: Column) -> Column:
 def course_number_sql(name: str) -> str:
     """SQL text of :func:`course_number`, for ML stages that take SQL."""
     text = f"trim(cast({name} as string))"
-    number = f"try_cast({text} as double)"
-    return (
-        f"case when {number} = floor({number}) "
-        f"then cast(try_cast({number} as bigint) as string) else nullif({text}, '') end"
-    )
+    number = f"case when {text} rlike r'{NUMBER}' then try_cast({text} as double) end"
+    whole = f"try_cast({number} as bigint)"
+    return f"case when {whole} = {number} then cast({whole} as string) else nullif({text}, '') end"
 
 
 def course_number(crse: Column) -> Column:
     """Whole numbers as plain digits (``300.0`` -> ``300``), other text trimmed, empty as null."""
     text = F.trim(crse.cast("string"))
-    number = text.try_cast("double")
+    number = as_number(text)
     whole = number.try_cast("bigint")
-    return F.when(number == F.floor(number), whole.cast("string")).otherwise(
-        F.nullif(text, F.lit(""))
-    )
+    return F.when(whole == number, whole.cast("string")).otherwise(F.nullif(text, F.lit("")))
 
 
 def course_sort_key(crse: Column) -> Column:
     """The digits of a course number as a number; null (sort it last) when there are none."""
-    return F.regexp_replace(course_number(crse), "[^0-9]", "").try_cast("bigint")
+    digits = F.regexp_replace(course_number(crse), "[^0-9]", "")
+    return F.when(digits != "", digits.try_cast("bigint"))
 
 
 def half_even(value: Column, digits: int = 0) -> Column:

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coursecast.functions.numbers import as_number
 from coursecast.schema import SEASON_SUFFIX
 
 
 def term_number(term: Column) -> Column:
     """The term as a whole number; null for text that is not one."""
-    number = F.nullif(F.trim(term.cast("string")), F.lit("")).try_cast("double")
-    return number.try_cast("bigint")
+    return as_number(term.cast("string")).try_cast("bigint")
 
 
 def term_year(term: Column) -> Column:

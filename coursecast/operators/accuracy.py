@@ -169,7 +169,7 @@ def trimmed_mape(accuracy: DataFrame, drop: int = 10) -> DataFrame:
 def median_mape_without_smallest(accuracy: DataFrame, share: float = 0.05) -> DataFrame:
     """(courses, median_mape) of the courses at or above the ``share`` quantile of class size."""
     key = ["subj", "crse"]
-    cut = exact_quantiles(accuracy, "avg_enrollment", {"q": share}, key).scalar()
+    cut = exact_quantiles(accuracy, "avg_enrollment", {"q": share}, key).first()["q"]
     kept = accuracy.filter(F.col("avg_enrollment") >= cut)
     median = exact_quantiles(kept, "mape", {"m": 0.5}, key).scalar()
     return kept.agg(F.count(F.lit(1)).alias("courses")).select("courses", median.alias("median_mape"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursecast.functions.courses import subject_code
+from coursecast.functions.numbers import as_number
 from coursecast.functions.terms import term_suffix
 from coursecast.schema import DEPARTMENTS, SEASON_SUFFIX, TARGET
 
@@ -29,7 +30,7 @@ def since_year(df: DataFrame, floor_year: int | None) -> DataFrame:
     for name, least in (("year", floor_year), ("term", floor_year * 100)):
         if name in names:
             column = names[name]
-            value = F.col(column) if is_numeric(df, column) else F.col(column).try_cast("bigint")
+            value = F.col(column) if is_numeric(df, column) else as_number(F.col(column))
             return df.filter(value >= least)
     return df
 
@@ -68,8 +69,7 @@ def with_target(df: DataFrame, column: str, target: str = TARGET) -> DataFrame:
     if isinstance(kind, T.IntegralType):
         number = F.col(column).cast("bigint")
     else:
-        number = F.col(column).try_cast("double")
-        number = F.when(~F.isnan(number), number)
+        number = as_number(F.col(column).cast("string"))
     return df.withColumn(target, number).filter(F.col(target).isNotNull())
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, PipelineModel
+import numpy as np
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -28,35 +27,6 @@ FULL_FOREST = {"numTrees": (100, 200, 300), "maxDepth": (MAX_DEPTH, 10, 20), "mi
 SMALL_FOREST = {"numTrees": (100,), "maxDepth": (MAX_DEPTH, 10), "minInstancesPerNode": (1, 4)}
 
 
-class Ridge(Estimator, HasFeaturesCol, HasLabelCol):
-    """Least squares with penalty ``alpha * |w|^2``.
-
-    Spark scales its loss by the row count and the label deviation, so the same penalty is
-    ``regParam = alpha * stddev_pop(label) / n`` of the rows at hand. An estimator of its own lets
-    every cross-validation fold use its own count and deviation.
-    """
-
-    alpha = Param(Params._dummy(), "alpha", "penalty on squared weights", TypeConverters.toFloat)
-
-    @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", alpha=1.0):
-        super().__init__()
-        self._setDefault(alpha=1.0)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> Model:
-        label = self.getLabelCol()
-        row = dataset.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
-        return LinearRegression(
-            featuresCol=self.getFeaturesCol(),
-            labelCol=label,
-            elasticNetParam=0.0,
-            regParam=self.getOrDefault(self.alpha) * (row["sd"] or 0.0) / max(row["n"], 1),
-            standardization=False,
-            solver="normal",
-        ).fit(dataset)
-
-
 @dataclass
 class Fitted:
     """A trained model with its preprocessing, and what is known about the training."""
@@ -72,23 +42,83 @@ class Fitted:
         return self.model.transform(df)
 
 
-def _grid(estimator, options: Mapping[str, Sequence]) -> list:
+def _fit_ridge(encoded: DataFrame, alpha: float) -> Model:
+    """Least squares with penalty ``alpha * |w|^2``.
+
+    Spark scales its loss by the row count and the label deviation, so the same penalty is
+    ``regParam = alpha * stddev_pop(label) / n``.
+    """
+    row = encoded.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
+    return LinearRegression(
+        featuresCol="features",
+        labelCol="label",
+        elasticNetParam=0.0,
+        regParam=alpha * (row["sd"] or 0.0) / max(row["n"], 1),
+        standardization=False,
+        solver="normal",
+    ).fit(encoded)
+
+
+def ridge_errors(encoded: DataFrame, columns: Sequence[str], alphas: Sequence[float]) -> list[float]:
+    """Mean squared error of each penalty, averaged over the held-out folds.
+
+    One pass over the data serves the whole search: it sums the products of the columns within
+    each fold, and a fold's training and held-out errors for any penalty follow from those sums.
+    Only one small matrix per fold reaches the driver.
+    """
+    values = ["1.0D", *columns, "label"]
+    size = len(values)
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = [F.sum(F.expr(f"{values[i]} * {values[j]}")).alias(f"s_{i}_{j}") for i, j in cells]
+    moments = []
+    for row in encoded.groupBy("fold").agg(*sums).orderBy("fold").collect():
+        m = np.zeros((size, size))
+        for i, j in cells:
+            m[i, j] = m[j, i] = row[f"s_{i}_{j}"]
+        moments.append(m)
+    total = sum(moments)
+
+    def held_out_error(test: np.ndarray, alpha: float) -> float:
+        fit_on = total - test
+        penalty = np.diag([0.0] + [alpha] * len(columns))  # the intercept is not penalized
+        w = np.linalg.solve(fit_on[:-1, :-1] + penalty, fit_on[:-1, -1])
+        residual = np.append(-w, 1.0)
+        return residual @ test @ residual / test[0, 0]
+
+    return [float(np.mean([held_out_error(m, a) for m in moments])) for a in alphas]
+
+
+def _search_ridge(encoded, columns, grid, folds, parallelism):
+    alphas = list((grid or {"alpha": ALPHAS})["alpha"])
+    errors = ridge_errors(encoded, columns, alphas) if len(alphas) > 1 else []
+    best = alphas[int(np.argmin(errors))] if errors else alphas[0]
+    return _fit_ridge(encoded, best), [{"alpha": a} for a in alphas], errors
+
+
+def _search_forest(encoded, columns, grid, folds, parallelism):
+    forest = RandomForestRegressor(
+        featuresCol="features", labelCol="label", featureSubsetStrategy="all", seed=42
+    )
     builder = ParamGridBuilder()
-    for name, values in options.items():
-        builder = builder.addGrid(estimator.getParam(name), list(dict.fromkeys(values)))
-    return builder.build()
-
-
-def _estimator(kind: str, grid: Mapping[str, Sequence] | None):
-    if kind == "linear":
-        ridge = Ridge(featuresCol="features", labelCol="label")
-        return ridge, _grid(ridge, grid or {"alpha": ALPHAS}), 5
-    if kind == "tree":
-        forest = RandomForestRegressor(
-            featuresCol="features", labelCol="label", featureSubsetStrategy="all", seed=42
-        )
-        return forest, _grid(forest, grid or SMALL_FOREST), 3
-    raise ValueError(f"unknown model kind: {kind}")
+    for name, values in (grid or SMALL_FOREST).items():
+        builder = builder.addGrid(forest.getParam(name), list(dict.fromkeys(values)))
+    points = builder.build()
+    settings = [{p.name: v for p, v in point.items()} for point in points]
+    if len(points) == 1:
+        return forest.fit(encoded, points[0]), settings, []
+    search = CrossValidator(
+        estimator=forest,
+        estimatorParamMaps=points,
+        evaluator=RegressionEvaluator(metricName="mse"),
+        numFolds=folds,
+        foldCol="fold",
+        parallelism=parallelism,
+    ).fit(encoded)
+    return search.bestModel, settings, search.avgMetrics
+
+
+# Search function and number of folds of each kind of model.
+KINDS = {"linear": (_search_ridge, 5), "tree": (_search_forest, 3)}
 
 
 def fit(
@@ -106,46 +136,38 @@ def fit(
     ``fold_by=("subj", "crse")`` keeps a course within one fold. Only the encoded training
     frame is cached, for the time of the search.
     """
+    if kind not in KINDS:
+        raise ValueError(f"unknown model kind: {kind}")
+    search, default_folds = KINDS[kind]
+    folds = folds or default_folds
     features = select_features(data, schema)
     train = data.filter(in_training())
     preprocessing = fit_preprocessing(train, features, unseen)
-    estimator, points, default_folds = _estimator(kind, grid)
-    folds = folds or default_folds
+    scaled = [f"{c}_scaled" for c in features]
     encoded = (
         preprocessing.transform(train)
         .select(
             "features",
+            *scaled,
             F.col(TARGET).cast("double").alias("label"),
             bucket([F.col(c) for c in fold_by], folds, seed="fold").alias("fold"),
         )
         .persist()
     )
     try:
-        if len(points) > 1:
-            search = CrossValidator(
-                estimator=estimator,
-                estimatorParamMaps=points,
-                evaluator=RegressionEvaluator(metricName="mse"),
-                numFolds=folds,
-                foldCol="fold",
-                parallelism=parallelism,
-            ).fit(encoded)
-            best, errors = search.bestModel, search.avgMetrics
-        else:
-            best, errors = estimator.fit(encoded, points[0]), []
+        model, settings, errors = search(encoded, scaled, grid, folds, parallelism)
     finally:
         encoded.unpersist()
-    settings = [{p.name: v for p, v in point.items()} for point in points]
+    best = int(np.argmin(errors)) if errors else 0
     info = {
         "kind": kind,
         "schema": schema,
         "features": features,
         "unseen": unseen,
-        "cv_mse": [{**s, "mse": e} for s, e in zip(settings, errors)],
-        "best": min(zip(errors, range(len(errors))))[1] if errors else 0,
+        "best_params": settings[best],
+        "cv_mse": [{**s, "mse": float(e)} for s, e in zip(settings, errors)],
     }
-    info["best_params"] = settings[info.pop("best")]
-    return Fitted(PipelineModel([*preprocessing.stages, best]), info)
+    return Fitted(PipelineModel([*preprocessing.stages, model]), info)
 
 
 def predict(data: DataFrame, fitted: Fitted) -> DataFrame:
@@ -198,15 +220,11 @@ def coefficients(spark: SparkSession, fitted: Fitted) -> DataFrame:
 
 def save_model(spark: SparkSession, fitted: Fitted, path: str) -> None:
     """``path/model`` holds the stages and ``path/info`` one JSON row."""
-    import json
-
     fitted.model.write().overwrite().save(f"{path}/model")
     row = spark.createDataFrame([(json.dumps(fitted.info),)], "value string")
     row.coalesce(1).write.mode("overwrite").text(f"{path}/info")
 
 
 def load_model(spark: SparkSession, path: str) -> Fitted:
-    import json
-
     info = json.loads(spark.read.text(f"{path}/info").first()["value"])
     return Fitted(PipelineModel.load(f"{path}/model"), info)

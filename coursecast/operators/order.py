@@ -38,10 +38,13 @@ def exact_quantiles(
     total = values.agg(F.count(F.lit(1))).scalar()
     ranked = with_position(values, ["v", *key], "at")
     places = {name: (total - 1) * F.lit(float(p)) for name, p in probabilities.items()}
-    neighbours = [f(place) for place in places.values() for f in (F.floor, F.ceil)]
-    picks = []
-    for name, place in places.items():
+    ends = [f(place) for place in places.values() for f in (F.floor, F.ceil)]
+    near = ranked.filter(F.col("at").isin(ends)).withColumns({f"__{n}": p for n, p in places.items()})
+
+    def quantile(name: str) -> Column:
+        place = F.col(f"__{name}")
         below = F.max(F.when(F.col("at") == F.floor(place), F.col("v")))
         above = F.max(F.when(F.col("at") == F.ceil(place), F.col("v")))
-        picks.append((below + (above - below) * (place - F.floor(place))).alias(name))
-    return ranked.filter(F.col("at").isin(neighbours)).agg(*picks)
+        return (below + (above - below) * F.max(place - F.floor(place))).alias(name)
+
+    return near.agg(*[quantile(name) for name in probabilities])

@@ -902,7 +902,7 @@ def m1(spark, sf):
 @query(
     "m2_rich_features",
     sql(" union all ".join(
-        f"""select '{c}' as column_name, count(distinct {c}) as n_distinct, least(100.0, count(*) * 0.1) as most_allowed,
+        f"""select '{c}' as column_name, count(distinct {c}) as n_distinct, cast(least(100, count(*) * 0.1) as double) as most_allowed,
         count(distinct {c}) <= least(100.0, count(*) * 0.1) as kept from sections"""
         for c in ("term_desc", "subj", "sec", "title")), "sections"),
 )

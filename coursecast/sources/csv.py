@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursecast.functions.names import clean_columns, clean_name
+from coursecast.functions.numbers import is_number, is_whole
 from coursecast.schema import CSV_NULLS
 
 SHORT_TEXT = 255
@@ -57,8 +58,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.StringType):
             short = F.coalesce(length, F.lit(0)) <= SHORT_TEXT
             kind = (
-                F.when((F.count(c.try_cast("bigint")) == rows) & (rows > 0), "INTEGER")
-                .when(F.count(c.try_cast("double")) == filled, "NUMERIC")
+                F.when((F.count_if(is_whole(c)) == rows) & (rows > 0), "INTEGER")
+                .when(F.count_if(is_number(c)) == filled, "NUMERIC")
                 .when(short, "VARCHAR(255)")
                 .otherwise("TEXT")
             )
