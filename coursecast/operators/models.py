@@ -18,6 +18,7 @@ from coursecast.functions.courses import bucket
 from coursecast.operators.accuracy import course_accuracy, regression_metrics
 from coursecast.operators.features import KEY, fit_preprocessing, in_training, select_features
 from coursecast.schema import TARGET
+from coursecast.sources.scratch import settle
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)  # fixed values: ridge penalties tried
 MAX_DEPTH = 30  # deepest tree Spark builds; stands in for "no limit"
@@ -133,31 +134,25 @@ def fit(
 ) -> Fitted:
     """Train on the training part of a feature table and pick the grid point by squared error.
 
-    ``fold_by=("subj", "crse")`` keeps a course within one fold. Only the encoded training
-    frame is cached, for the time of the search.
+    ``fold_by=("subj", "crse")`` keeps a course within one fold. The training rows are written
+    once, since encoding, scaling and the search each read them: the sections behind them are
+    scanned a single time, also when executors are lost on the way.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown model kind: {kind}")
     search, default_folds = KINDS[kind]
     folds = folds or default_folds
     features = select_features(data, schema)
-    train = data.filter(in_training())
+    train = settle(data.filter(in_training()), "training")
     preprocessing = fit_preprocessing(train, features, unseen)
     scaled = [f"{c}_scaled" for c in features]
-    encoded = (
-        preprocessing.transform(train)
-        .select(
-            "features",
-            *scaled,
-            F.col(TARGET).cast("double").alias("label"),
-            bucket([F.col(c) for c in fold_by], folds, seed="fold").alias("fold"),
-        )
-        .persist()
+    encoded = preprocessing.transform(train).select(
+        "features",
+        *scaled,
+        F.col(TARGET).cast("double").alias("label"),
+        bucket([F.col(c) for c in fold_by], folds, seed="fold").alias("fold"),
     )
-    try:
-        model, settings, errors = search(encoded, scaled, grid, folds, parallelism)
-    finally:
-        encoded.unpersist()
+    model, settings, errors = search(encoded, scaled, grid, folds, parallelism)
     best = int(np.argmin(errors)) if errors else 0
     info = {
         "kind": kind,
