@@ -17,6 +17,9 @@ _DDL_TYPES = (
 # breaks inside quoted text alone and still lets Spark split one large file over many tasks.
 _ROW_BOUNDARY = ");\nINSERT INTO "
 
+# One value of a tuple: quoted text with doubled quotes inside, or bare up to the next comma.
+_VALUE = r"'(?:[^']++|'')*+'|[^',\s][^,]*"
+
 
 def _literal(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
@@ -26,6 +29,12 @@ def _literal(field: T.StructField) -> Column:
     return F.coalesce(text, F.lit("NULL"))
 
 
+def _value(cell: Column, kind: T.DataType) -> Column:
+    inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit("''"), F.lit("'"))
+    text = F.when(cell.startswith("'"), inner).otherwise(F.nullif(F.trim(cell), F.lit("NULL")))
+    return text.try_cast(kind)
+
+
 def sql_dump_lines(df: DataFrame, table: str) -> DataFrame:
     """One column ``line``: an INSERT per row. Quotes are doubled and nulls are NULL."""
     head = f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("
@@ -57,16 +66,10 @@ def write_sql_dump(df: DataFrame, table: str, path: str) -> None:
 def read_sql_dump(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of the INSERT statements in dump files; other statements are skipped."""
     pieces = spark.read.option("lineSep", _ROW_BOUNDARY).text(path)
-    # Greedy, so that a tuple ends at the last ")" of its piece.
+    # A piece ends with its tuple; only the last one of a file still has the ");" after it.
     values = F.regexp_extract(F.col("value"), r"(?s)\A.*?\) VALUES \((.*?)(?:\);\s*)?\z", 1)
     rows = pieces.select(values.alias("tuple")).filter("tuple <> ''")
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    options = {
-        "quote": "'",
-        "escape": "'",
-        "ignoreLeadingWhiteSpace": "true",
-        "nullValue": "NULL",
-        "maxCharsPerColumn": "-1",
-    }
-    parsed = rows.select(F.from_csv("tuple", texts.simpleString()[7:-1].replace(":", " "), options).alias("r"))
-    return parsed.select([F.col(f"r.{f.name}").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    cells = rows.select(F.regexp_extract_all("tuple", F.lit(_VALUE), F.lit(0)).alias("cells"))
+    return cells.select(
+        [_value(F.get("cells", F.lit(i)), f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
+    )
