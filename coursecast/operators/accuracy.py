@@ -11,6 +11,7 @@ from coursecast.functions.courses import half_even
 from coursecast.operators.filters import present
 from coursecast.operators.order import exact_quantiles, with_position
 from coursecast.schema import GOOD_BELOW, MAPE_EDGES, MAPE_LABELS, POOR_FROM, REPORT_NAMES
+from coursecast.sources.scratch import settle
 
 BEST_FIRST = ("mape asc nulls last", "subj", "crse")
 WORST_FIRST = ("mape desc nulls first", "subj desc", "crse desc")
@@ -143,9 +144,12 @@ def mape_histogram(accuracy: DataFrame) -> DataFrame:
 
 def mape_summary(accuracy: DataFrame) -> DataFrame:
     """(courses, mean_mape, median_mape); courses without a MAPE are counted but not averaged."""
-    median = exact_quantiles(accuracy, "mape", {"m": 0.5}, ["subj", "crse"]).scalar()
-    return accuracy.agg(F.count(F.lit(1)).alias("courses"), F.avg("mape").alias("mean_mape")).select(
-        "courses", "mean_mape", median.alias("median_mape")
+    stored = settle(accuracy.select("subj", "crse", "mape"), "mape")
+    median = exact_quantiles(stored, "mape", {"m": 0.5}, ["subj", "crse"])["m"]
+    return stored.agg(
+        F.count(F.lit(1)).alias("courses"),
+        F.avg("mape").alias("mean_mape"),
+        F.lit(median).cast("double").alias("median_mape"),
     )
 
 
@@ -169,10 +173,13 @@ def trimmed_mape(accuracy: DataFrame, drop: int = 10) -> DataFrame:
 def median_mape_without_smallest(accuracy: DataFrame, share: float = 0.05) -> DataFrame:
     """(courses, median_mape) of the courses at or above the ``share`` quantile of class size."""
     key = ["subj", "crse"]
-    cut = exact_quantiles(accuracy, "avg_enrollment", {"q": share}, key).first()["q"]
-    kept = accuracy.filter(F.col("avg_enrollment") >= cut)
-    median = exact_quantiles(kept, "mape", {"m": 0.5}, key).scalar()
-    return kept.agg(F.count(F.lit(1)).alias("courses")).select("courses", median.alias("median_mape"))
+    stored = settle(accuracy.select(*key, "avg_enrollment", "mape"), "mape")
+    cut = exact_quantiles(stored, "avg_enrollment", {"q": share}, key)["q"]
+    kept = stored.filter(F.col("avg_enrollment") >= F.lit(cut).cast("double"))
+    median = exact_quantiles(kept, "mape", {"m": 0.5}, key)["m"]
+    return kept.agg(
+        F.count(F.lit(1)).alias("courses"), F.lit(median).cast("double").alias("median_mape")
+    )
 
 
 def regression_metrics(

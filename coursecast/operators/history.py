@@ -74,12 +74,15 @@ def with_lagged_totals(
 
     By default the groups are the subject (program) and everything (university); a table with
     school columns passes its own. Totals have one row per group and term, and a group's
-    window as many rows as there are terms. They are written once, so that the join back is a
-    broadcast as long as the files are small: the feature table is not shuffled on few terms.
+    window as many rows as there are terms. Features and totals are written once: the sections
+    are scanned a single time, and the join back is a broadcast as long as the files of the
+    totals are small, so the feature table is not shuffled on few terms.
     """
     groups = {"program": ["subj"], "university": []} if groups is None else groups
+    features = settle(features, "features")
+    stored = features
     for name, by in groups.items():
-        totals = features.groupBy(*by, "term").agg(F.sum(TARGET).alias("__total"))
+        totals = stored.groupBy(*by, "term").agg(F.sum(TARGET).alias("__total"))
         one_group = [*by] or [F.lit(1)]
         order = Window.partitionBy(*one_group).orderBy("term")
         lagged = totals.select(*by, "term", F.lag("__total").over(order).alias(f"lagged_{name}"))

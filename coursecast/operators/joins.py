@@ -78,9 +78,13 @@ def joinable(df: DataFrame, context: Mapping[str, DataFrame]) -> dict[str, list[
 
 
 def attach_predictions(rows: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Input rows with the prediction of their course and term, matched by key."""
+    """Input rows with the prediction of their course and term, matched by key.
+
+    Predictions are written once: small files are broadcast and the rows stay where they are;
+    larger ones are joined by shuffle, where adaptive execution splits a hot course.
+    """
     keys = time_keys(key_columns(predictions.columns)) + ["subj", "crse"]
-    return rows.join(predictions.select(*keys, "prediction"), keys, "left")
+    return rows.join(settle(predictions.select(*keys, "prediction"), "predictions"), keys, "left")
 
 
 def with_history(predictions: DataFrame, history: DataFrame) -> DataFrame:

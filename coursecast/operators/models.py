@@ -21,6 +21,8 @@ from coursecast.schema import TARGET
 from coursecast.sources.scratch import settle
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)  # fixed values: ridge penalties tried
+# Candidate split points per feature. The default of 32 would lump course numbers together.
+MAX_BINS = 1024
 MAX_DEPTH = 30  # deepest tree Spark builds; stands in for "no limit"
 
 # The whole forest grid. Minimum split size has no Spark counterpart.
@@ -98,7 +100,7 @@ def _search_ridge(encoded, columns, grid, folds, parallelism):
 
 def _search_forest(encoded, columns, grid, folds, parallelism):
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol="label", featureSubsetStrategy="all", seed=42
+        featuresCol="features", labelCol="label", featureSubsetStrategy="all", maxBins=MAX_BINS, seed=42
     )
     builder = ParamGridBuilder()
     for name, values in (grid or SMALL_FOREST).items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Mapping, Sequence
 
@@ -26,25 +27,26 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str, start
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probabilities: Mapping[str, float], key: Sequence[str]
-) -> DataFrame:
-    """One row with the interpolated quantile of each name, nulls skipped.
+    stored: DataFrame, column: str, probabilities: Mapping[str, float], key: Sequence[str]
+) -> dict[str, float | None]:
+    """Interpolated quantiles of a column by name, nulls skipped.
 
     The values are sorted across tasks and the two neighbours of each quantile are picked by
-    position. ``key`` identifies a row and splits runs of equal values. (``percentile`` would
-    gather every distinct value in one task.)
+    position; only those few numbers reach the driver. ``key`` identifies a row and splits runs
+    of equal values. (``percentile`` would gather every distinct value in one task.) The frame
+    is read twice, so it should be a stored table.
     """
-    values = df.select(F.col(column).cast("double").alias("v"), *key).filter("v is not null")
-    total = values.agg(F.count(F.lit(1))).scalar()
+    values = stored.select(F.col(column).cast("double").alias("v"), *key).filter("v is not null")
+    last = values.count() - 1
+    if last < 0:
+        return dict.fromkeys(probabilities)
+    places = {name: last * p for name, p in probabilities.items()}
+    wanted = sorted({end(place) for place in places.values() for end in (math.floor, math.ceil)})
     ranked = with_position(values, ["v", *key], "at")
-    places = {name: (total - 1) * F.lit(float(p)) for name, p in probabilities.items()}
-    ends = [f(place) for place in places.values() for f in (F.floor, F.ceil)]
-    near = ranked.filter(F.col("at").isin(ends)).withColumns({f"__{n}": p for n, p in places.items()})
+    at = {r["at"]: r["v"] for r in ranked.filter(F.col("at").isin(wanted)).collect()}
 
-    def quantile(name: str) -> Column:
-        place = F.col(f"__{name}")
-        below = F.max(F.when(F.col("at") == F.floor(place), F.col("v")))
-        above = F.max(F.when(F.col("at") == F.ceil(place), F.col("v")))
-        return (below + (above - below) * F.max(place - F.floor(place))).alias(name)
+    def between(place: float) -> float:
+        low, high = at[math.floor(place)], at[math.ceil(place)]
+        return low + (high - low) * (place - math.floor(place))
 
-    return near.agg(*[quantile(name) for name in probabilities])
+    return {name: between(place) for name, place in places.items()}

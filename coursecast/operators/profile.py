@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from coursecast.functions.terms import term_year
 from coursecast.operators.order import exact_quantiles
 from coursecast.schema import TARGET
+from coursecast.sources.scratch import settle
 
 ID_WORDS = ("id", "guid", "uuid")  # fixed values: parts of a name that mark an id column
 
@@ -36,19 +39,24 @@ def sample_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     return df.select(column).distinct().limit(n)
 
 
-def describe_target(df: DataFrame, column: str = TARGET, key: tuple[str, ...] = ("term", "subj", "crse")) -> DataFrame:
-    """count, mean, std, min, quartiles and max of a column as one row."""
-    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    one = exact_quantiles(df, column, quartiles, key)
-    packed = one.select(F.struct(*quartiles)).scalar()
+def describe_target(
+    df: DataFrame, column: str = TARGET, key: Sequence[str] = ("term", "subj", "crse")
+) -> DataFrame:
+    """count, mean, std, min, quartiles and max of a column as one row.
+
+    The column is written once with the key of its rows; all figures come from that table.
+    """
+    stored = settle(df.select(column, *key), "target")
+    quartiles = exact_quantiles(stored, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, key)
     value = F.col(column)
-    return df.agg(
+    return stored.agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("least"),
+        *[F.lit(q).cast("double").alias(name) for name, q in quartiles.items()],
         F.max(value).alias("most"),
-    ).select("n", "mean", "std", "least", *[packed[q].alias(q) for q in quartiles], "most")
+    )
 
 
 def year_distribution(df: DataFrame, floor_year: int = 2023) -> DataFrame:

@@ -140,17 +140,18 @@ def test_positions_over_ties(spark):
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 3.0, 3.0, 3.0, 9.0, 7.0], [2.0] * 50 + [1.0]])
 def test_exact_quantiles(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "id int, x double")
-    row = order.exact_quantiles(df, "x", {"a": 0.0, "q": 0.25, "m": 0.5, "z": 1.0}, ["id"]).first()
+    got = order.exact_quantiles(df, "x", {"a": 0.0, "q": 0.25, "m": 0.5, "z": 1.0}, ["id"])
     ordered = sorted(values)
     place = (len(ordered) - 1) * 0.25
     low = ordered[math.floor(place)]
     quarter = low + (ordered[math.ceil(place)] - low) * (place - math.floor(place))
-    assert row == (min(values), quarter, statistics.median(values), max(values))
+    assert list(got.values()) == [min(values), quarter, statistics.median(values), max(values)]
 
 
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "id int, x double")
-    assert order.exact_quantiles(df, "x", {"m": 0.5}, ["id"]).first().m is None
+    assert order.exact_quantiles(df, "x", {"m": 0.5}, ["id"]) == {"m": None}
+    assert profile.describe_target(df, "x", ["id"]).first().n == 0
 
 
 # --- accuracy ---
