@@ -113,3 +113,72 @@ def sql(body: str, *tables: str, **more: str) -> str:
 def bucket(n: int, *columns: str, seed: str = "") -> str:
     parts = ", ".join([*([f"'{seed}'"] if seed else []), *columns])
     return f"(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::bigint % {n})"
+
+
+# --- ridge regression in SQL ---------------------------------------------------------------------
+
+_FEATURES = {"term": "term", "subj": "subj_code", "crse": "crse_code", "credits": "credits"}
+
+
+def coding(base: str, apply_to: str) -> dict[str, str]:
+    """CTEs that encode and scale ``apply_to`` by the training part of ``base``: train .. scaled."""
+    codes = (
+        "row_number() over (order by cast({c} as varchar)) - 1 as code from (select distinct {c} from train)"
+    )
+    coded = """
+    select f.*, coalesce(s.code, 0) as subj_code, coalesce(c.code, 0) as crse_code
+    from {t} f left join subjects s on f.subj = s.subj left join numbers c on f.crse = c.crse"""
+    moments = ", ".join(f"avg({v}) as m_{c}, stddev_pop({v}) as s_{c}" for c, v in _FEATURES.items())
+    scaled = ", ".join(
+        f"(d.{v} - m.m_{c}) / coalesce(nullif(m.s_{c}, 0), 1) as {c}_scaled" for c, v in _FEATURES.items()
+    )
+    return {
+        "train": f"select * from {base} where {bucket(100, 'term', 'subj', 'crse')} < 80",
+        "subjects": f"select subj, {codes.format(c='subj')}",
+        "numbers": f"select crse, {codes.format(c='crse')}",
+        "coded_train": coded.format(t="train"),
+        "moments": f"select {moments} from coded_train",
+        "scaled_train": f"select d.*, {scaled} from coded_train d, moments m",
+        "scaled": f"select d.*, {scaled} from ({coded.format(t=apply_to)}) d, moments m",
+    }
+
+
+def ridge(alphas: list[float]) -> dict[str, str]:
+    """CTEs that solve ridge regression on scaled_train for each penalty, in and out of 5 folds.
+
+    Column 0 is the intercept, 1 to 4 the features, 5 the label; fold -1 stands for all rows.
+    Gauss-Jordan elimination, one step per column, leaves the weights in column 5.
+    """
+    names = list(_FEATURES)
+    cells = ", ".join(["1.0", *[f"{c}_scaled" for c in names], "act_enrollment"])
+    fold = bucket(5, "term", "subj", "crse", seed="fold")
+    ctes = {
+        "wide": f"select row_number() over () as rid, {fold} as fold, [{cells}]::double[] as v from scaled_train",
+        "cells": "select rid, fold, unnest(range(6)) as i, unnest(v) as v from wide",
+        "gram": """select a.fold, a.i, b.i as j, sum(a.v * b.v) as v
+            from cells a join cells b on a.rid = b.rid group by all""",
+        "total": "select i, j, sum(v) as v from gram group by all",
+        "alphas": " union all ".join(f"select cast({a} as double) as alpha" for a in alphas),
+        "step0": """select alpha, g.fold, t.i, t.j, t.v - coalesce(g.v, 0)
+              + case when t.i = t.j and t.i between 1 and 4 then alpha else 0 end as v
+            from total t join (select * from gram union all select -1, i, j, 0 from total) g
+              on t.i = g.i and t.j = g.j cross join alphas where t.i < 5""",
+    }
+    for k in range(5):
+        ctes[f"step{k + 1}"] = f"""
+            select a.alpha, a.fold, a.i, a.j,
+                   case when a.i = {k} then a.v / p.v else a.v - r.v * c.v / p.v end as v
+            from step{k} a
+            join step{k} p on p.alpha = a.alpha and p.fold = a.fold and p.i = {k} and p.j = {k}
+            join step{k} r on r.alpha = a.alpha and r.fold = a.fold and r.i = a.i and r.j = {k}
+            join step{k} c on c.alpha = a.alpha and c.fold = a.fold and c.i = {k} and c.j = a.j"""
+    ctes["weights"] = "select alpha, fold, i, v as w from step5 where j = 5"
+    ctes["residual"] = "select alpha, fold, i, -w as r from weights union all select distinct alpha, fold, 5, 1 from weights"
+    ctes["fold_mse"] = """select x.alpha, x.fold, sum(x.r * y.r * g.v) / max(n.v) as mse
+        from gram g join residual x on x.fold = g.fold and x.i = g.i
+        join residual y on y.fold = g.fold and y.alpha = x.alpha and y.i = g.j
+        join gram n on n.fold = g.fold and n.i = 0 and n.j = 0 group by all"""
+    terms = " + ".join(f"w[{i + 2}] * {c}_scaled" for i, c in enumerate(names))
+    ctes["solution"] = "select alpha, list(w order by i) as w from weights where fold = -1 group by alpha"
+    ctes["predicted"] = f"select s.*, round(w[1] + {terms}, 6) as prediction, w[1] + {terms} as exact from scaled s, solution"
+    return ctes

@@ -1,6 +1,6 @@
 """Every registered query: how to build it on the test tables, and the SQL it must equal.
 
-Queries without SQL (model training and sampling) are checked for their rows only.
+Queries without SQL (forests and sampling) are checked for their rows only.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from coursecast.operators import models as M
 from coursecast.operators import profile as P
 from coursecast.operators import report as R
 from coursecast.plans import scoring, standin, training
-from coursecast.plans.oracle import FLOOR, bucket, sql
+from coursecast.plans.oracle import FLOOR, bucket, coding, ridge, sql
 from coursecast.schema import REPORT_NAMES, TARGET
 from coursecast.sources import catalog, csv, results, sql_dump
 from coursecast.sources.scratch import scratch_path
@@ -918,18 +918,13 @@ def m3(spark, sf):
     return standin.features(spark, sf).select("term", "subj", "crse", FT.in_training().alias("in_training"))
 
 
-_TRAIN = f"select * from features where {bucket(100, 'term', 'subj', 'crse')} < 80"
-_SUBJ = "select subj, row_number() over (order by subj) - 1 as code from (select distinct subj from train)"
-_CRSE = "select crse, row_number() over (order by cast(crse as varchar)) - 1 as code from (select distinct crse from train)"
-_CODED = """
-select f.term, f.subj, f.crse, f.credits, coalesce(s.code, 0) as subj_code, coalesce(c.code, 0) as crse_code
-from {} f left join subjects s on f.subj = s.subj left join numbers c on f.crse = c.crse"""
+_CODING = coding("features", "features")
+_CODES = {c: f"cast({c}_code as double) as {c}_code" for c in ("subj", "crse")}
 
 
 @query(
     "m4_label_encode",
-    sql("select term, subj, crse, cast(subj_code as double) as subj_code, cast(crse_code as double) as crse_code from coded",
-        "features", train=_TRAIN, subjects=_SUBJ, numbers=_CRSE, coded=_CODED.format("features")),
+    sql(f"select term, subj, crse, {_CODES['subj']}, {_CODES['crse']} from scaled", "features", **_CODING),
 )
 def m4(spark, sf):
     data = standin.features(spark, sf)
@@ -937,37 +932,31 @@ def m4(spark, sf):
     return encoding.transform(data).select("term", "subj", "crse", "subj_code", "crse_code")
 
 
-_SCALED = ", ".join(
-    f"round((d.{v} - m.m_{c}) / coalesce(nullif(m.s_{c}, 0), 1), 6) as {c}_scaled"
-    for c, v in (("term", "term"), ("subj", "subj_code"), ("crse", "crse_code"), ("credits", "credits"))
-)
-_MOMENTS = "select " + ", ".join(
-    f"avg({v}) as m_{c}, stddev_pop({v}) as s_{c}"
-    for c, v in (("term", "term"), ("subj", "subj_code"), ("crse", "crse_code"), ("credits", "credits"))
-) + " from coded_train"
+_SCALED = [f"{c}_scaled" for c in ("term", "subj", "crse", "credits")]
 
 
 @query(
     "m5_standard_scale",
-    sql(f"select d.term, d.subj, d.crse, {_SCALED} from coded d, moments m",
-        "features", train=_TRAIN, subjects=_SUBJ, numbers=_CRSE, coded=_CODED.format("features"),
-        coded_train=_CODED.format("train"), moments=_MOMENTS),
+    sql(f"select term, subj, crse, {', '.join(f'round({c}, 6) as {c}' for c in _SCALED)} from scaled",
+        "features", **_CODING),
 )
 def m5(spark, sf):
     data = standin.features(spark, sf)
-    features = FT.min_features(data)
-    stages = FT.fit_preprocessing(data.filter(FT.in_training()), features)
-    scaled = [f"{c}_scaled" for c in features]
-    return stages.transform(data).select("term", "subj", "crse", *scaled).withColumns(_r6(*scaled))
+    stages = FT.fit_preprocessing(data.filter(FT.in_training()), FT.min_features(data))
+    return stages.transform(data).select("term", "subj", "crse", *_SCALED).withColumns(_r6(*_SCALED))
 
 
 def _ridge(spark: SparkSession, sf: str) -> M.Fitted:
     return M.fit(standin.features(spark, sf), "linear", grid={"alpha": (1.0,)})
 
 
-@query("m6_ridge_search")
+@query(
+    "m6_ridge_search",
+    sql("select 'alpha=' || cast(alpha as varchar) as params, round(avg(mse), 6) as mse from fold_mse group by alpha",
+        "features", **_CODING, **ridge([0.1, 1.0, 10.0, 100.0, 1000.0])),
+)
 def m6(spark, sf):
-    return M.search_report(spark, M.fit(standin.features(spark, sf), "linear"))
+    return M.search_report(spark, M.fit(standin.features(spark, sf), "linear")).withColumns(_r6("mse"))
 
 
 @query("m7_forest")
@@ -976,10 +965,18 @@ def m7(spark, sf):
     return M.validation_accuracy(data, M.fit(data, "tree", grid={"numTrees": (20,), "maxDepth": (10,)}))
 
 
-@query("m8_fit_report")
+@query(
+    "m8_fit_report",
+    sql(f"""select case when {bucket(100, 'term', 'subj', 'crse')} < 80 then 'train' else 'validation' end as part,
+        count(*) as n_rows, round(avg((act_enrollment - exact) ** 2), 6) as mse,
+        round(sqrt(avg((act_enrollment - exact) ** 2)), 6) as rmse, round(avg(abs(act_enrollment - exact)), 6) as mae,
+        round(1 - avg((act_enrollment - exact) ** 2) / var_pop(act_enrollment), 6) as r2,
+        round(avg(case when act_enrollment > 0 then abs(act_enrollment - exact) / act_enrollment end) * 100, 6) as mape
+        from predicted group by part""", "features", **_CODING, **ridge([1.0])),
+)
 def m8(spark, sf):
-    data = standin.features(spark, sf)
-    return M.fit_report(data, M.fit(data, "linear", grid={"alpha": (1.0,)}))
+    report = M.fit_report(standin.features(spark, sf), _ridge(spark, sf))
+    return report.withColumns(_r6("mse", "rmse", "mae", "r2", "mape"))
 
 
 @query("m9_feature_importance")
@@ -994,36 +991,63 @@ def w10(spark, sf):
     return M.feature_importance(spark, M.fit(data, "tree", grid={"numTrees": (20,), "maxDepth": (10,)}), top=5)
 
 
-@query("m10_saved_model")
+_PREDICTED = "select term, subj, crse, act_enrollment, credits, prediction from predicted"
+_SCORE_INPUT = """
+select term, subj, crse, cast(sum(act) as bigint) as act, avg(credits) as credits from sections
+where term = 199940 group by term, subj, crse having sum(act) >= 10"""
+
+
+@query("m10_saved_model", sql(_PREDICTED, "features", **_CODING, **ridge([1.0])))
 def m10(spark, sf):
     path = scratch_path(spark, "m10")
     M.save_model(spark, _ridge(spark, sf), path)
-    return M.predict(standin.features(spark, sf), M.load_model(spark, path))
+    loaded = M.load_model(spark, path)
+    return M.predict(standin.features(spark, sf), loaded).withColumns(_r6("prediction"))
 
 
-@query("m11_batch_score")
+@query("m11_batch_score", sql(_PREDICTED, "features", **coding("features", "all_features"), **ridge([1.0])))
 def m11(spark, sf):
-    return scoring.score(standin.sections(spark, sf), _ridge(spark, sf))
+    return scoring.score(standin.sections(spark, sf), _ridge(spark, sf)).withColumns(_r6("prediction"))
 
 
-@query("m12_score_query")
+@query(
+    "m12_score_query",
+    sql("select term, subj, crse, act, credits, prediction, "
+        "row_number() over (order by term, subj, crse) - 1 as index from predicted",
+        "features", asked=_SCORE_INPUT, **coding("features", "asked"), **ridge([1.0])),
+)
 def m12(spark, sf):
     text = """
         select term, subj, crse, sum(act) as act, avg(credits) as credits from {s}
         where term = :term group by term, subj, crse having sum(act) >= 10"""
-    return scoring.score_query(spark, text, _ridge(spark, sf), {"term": 199940}, s=standin.sections(spark, sf))
+    out = scoring.score_query(spark, text, _ridge(spark, sf), {"term": 199940}, s=standin.sections(spark, sf))
+    return out.withColumns(_r6("prediction"))
+
 
+_CHOSEN = """
+select term, subj, crse, cast(sum(act) as bigint) as act_enrollment, max(credits) as credits from sections
+where term in (199840, 199910, 199940, 200010) and act > 10 group by term, subj, crse"""
 
-@query("m13_train_on_terms")
+
+@query(
+    "m13_train_on_terms",
+    sql("""select ['intercept', 'term', 'subj', 'crse', 'credits'][i + 1] as feature, round(w, 6) as weight,
+        'enrollment_tree_min_linear_spring_1998_to_fall_2000' as model_name from weights where fold = -1""",
+        "sections", chosen=_CHOSEN, **coding("chosen", "chosen"), **ridge([1.0])),
+)
 def m13(spark, sf):
-    rows = standin.sections(spark, sf)
-    fitted = training.train(spark, rows, _TERMS, "linear", grid={"alpha": (1.0,)})
-    return M.coefficients(spark, fitted).withColumn("model_name", F.lit(fitted.info["name"]))
+    fitted = training.train(spark, standin.sections(spark, sf), _TERMS, "linear", grid={"alpha": (1.0,)})
+    weights = M.coefficients(spark, fitted).withColumns(_r6("weight"))
+    return weights.withColumn("model_name", F.lit(fitted.info["name"]))
 
 
-@query("m14_score_subject_term")
+@query(
+    "m14_score_subject_term",
+    sql(f"{_PREDICTED} where subj = 'MEDIUM' and term = 199940", "features", **_CODING, **ridge([1.0])),
+)
 def m14(spark, sf):
-    return scoring.score_subject_term(standin.sections(spark, sf), _ridge(spark, sf), "MEDIUM", 199940)
+    out = scoring.score_subject_term(standin.sections(spark, sf), _ridge(spark, sf), "MEDIUM", 199940)
+    return out.withColumns(_r6("prediction"))
 
 
 # --- history features -------------------------------------------------------------------------
@@ -1076,7 +1100,8 @@ def x6(spark, sf):
     "x7_unseen_minus_one",
     sql("select f.term, f.subj, f.crse, cast(coalesce(s.code, -1) as double) as subj_code from features f "
         "left join subjects s on f.subj = s.subj", "features",
-        train="select * from features where subj <> 'SMALL'", subjects=_SUBJ),
+        subjects="select subj, row_number() over (order by subj) - 1 as code from "
+                 "(select distinct subj from features where subj <> 'SMALL')"),
 )
 def x7(spark, sf):
     data = standin.features(spark, sf)
