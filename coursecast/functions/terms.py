@@ -5,22 +5,28 @@ Fall carries the *next* calendar year (202210 is fall 2021), so ``YYYY`` is an a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coursecast.functions.numbers import as_number
 from coursecast.schema import SEASON_SUFFIX
 
 
 def term_number(term: Column) -> Column:
-    """The term as a whole number; null for text that is not one."""
+    """A term given as text or with decimals as a whole number; null for what is not one."""
     return as_number(term.cast("string")).try_cast("bigint")
 
 
+def whole_term(df: DataFrame, name: str) -> Column:
+    """A term column as whole numbers: itself if stored so, else parsed."""
+    column = F.col(name)
+    return column if isinstance(df.schema[name].dataType, T.IntegralType) else term_number(column)
+
+
 def term_year(term: Column) -> Column:
-    """Academic year of a term code, null when the code is bad or not positive."""
-    number = term_number(term)
-    return F.when(number > 0, F.floor(number / 100)).cast("int")
+    """Academic year of a whole term code, null when it is not positive."""
+    return F.when(term > 0, F.floor(term / 100)).cast("int")
 
 
 def term_suffix(term: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursecast.functions.names import key_columns, time_keys
-from coursecast.functions.terms import term_code, term_year
+from coursecast.functions.terms import term_code, term_year, whole_term
 from coursecast.operators.filters import present, since_year, with_target
 from coursecast.schema import TARGET
 
@@ -81,7 +81,8 @@ def _history_rows(df: DataFrame, years: Iterable[int]) -> DataFrame:
     if isinstance(df.schema["term"].dataType, T.NumericType):
         # A range on the stored column prunes files; the exact years are checked below.
         rows = rows.filter(F.col("term").between(years[0] * 100, years[-1] * 100 + 99))
-    return rows.withColumn("hist_year", term_year(F.col("term"))).filter(F.col("hist_year").isin(years))
+    year = term_year(whole_term(df, "term"))
+    return rows.withColumn("hist_year", year).filter(F.col("hist_year").isin(years))
 
 
 def history_by_year(df: DataFrame, years: Iterable[int], pairs: DataFrame | None = None) -> DataFrame:
@@ -164,7 +165,7 @@ def prediction_summary(report: DataFrame) -> DataFrame:
 
 def forecast_year(report: DataFrame, term: str = "Term") -> DataFrame:
     """Latest academic year among the predicted terms, else the next calendar year."""
-    latest = F.coalesce(F.max(term_year(F.col(term))), F.year(F.current_date()) + 1)
+    latest = F.coalesce(F.max(term_year(whole_term(report, term))), F.year(F.current_date()) + 1)
     return report.agg(latest.alias("forecast_year"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursecast.functions.courses import bucket
-from coursecast.functions.terms import calendar_year, season, term_suffix, term_year
+from coursecast.functions.terms import calendar_year, season, term_suffix, term_year, whole_term
 from coursecast.schema import SEASON_SUFFIX, TARGET
 from coursecast.sources.scratch import settle
 
@@ -42,7 +42,7 @@ def prior_mean_prediction(features: DataFrame) -> DataFrame:
 
 def with_term_parts(df: DataFrame) -> DataFrame:
     """Academic and calendar year, season code and one 0/1 column per season."""
-    term = F.col("term")
+    term = whole_term(df, "term")
     one_hot = {
         f"is_{name}": (term_suffix(term) == code).cast("int") for name, code in SEASON_SUFFIX.items()
     }
@@ -94,7 +94,7 @@ def enrollment_trend(features: DataFrame, last_year: int, spans: Sequence[int] =
     """Students gained per year by each course over the ``spans`` years up to ``last_year``."""
     year, students = F.col("year"), F.col("total").cast("double")
     yearly = (
-        features.withColumn("year", term_year(F.col("term")))
+        features.withColumn("year", term_year(whole_term(features, "term")))
         .filter(F.col("year").between(last_year - max(spans) + 1, last_year))
         .groupBy(*COURSE, "year")
         .agg(F.sum(TARGET).alias("total"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coursecast.functions.terms import term_year
+from coursecast.functions.terms import term_year, whole_term
 from coursecast.operators.order import exact_quantiles
 from coursecast.schema import TARGET
 from coursecast.sources.scratch import settle
@@ -62,7 +62,10 @@ def describe_target(
 def year_distribution(df: DataFrame, floor_year: int = 2023) -> DataFrame:
     """(year, n_rows, below_floor) in year order."""
     names = {c.lower(): c for c in df.columns}
-    year = F.col(names["year"]).cast("int") if "year" in names else term_year(F.col(names["term"]))
+    if "year" in names:
+        year = F.col(names["year"]).cast("int")
+    else:
+        year = term_year(whole_term(df, names["term"]))
     return (
         df.groupBy(year.alias("year"))
         .agg(F.count(F.lit(1)).alias("n_rows"))

@@ -417,7 +417,7 @@ def f7(spark, sf):
 def f8(spark, sf):
     text = F.when(F.col("xl_act").isNull(), "").otherwise(F.concat(F.col("term").cast("string"), F.lit(".0")))
     return standin.sections(spark, sf).select(
-        "crn", TM.term_year(text).alias("year"), TM.calendar_year(F.col("term")).alias("calendar_year")
+        "crn", TM.term_year(TM.term_number(text)).alias("year"), TM.calendar_year(F.col("term")).alias("calendar_year")
     )
 
 

@@ -13,6 +13,7 @@ from coursecast.operators.joins import attach_predictions
 from coursecast.operators.models import Fitted, predict
 from coursecast.operators.order import with_position
 from coursecast.sources.catalog import run_query
+from coursecast.sources.scratch import settle
 
 
 def score(rows: DataFrame, fitted: Fitted) -> DataFrame:
@@ -24,9 +25,9 @@ def score_rows(rows: DataFrame, fitted: Fitted) -> DataFrame:
     """Every input row with the prediction of its course and term, numbered by ``index``.
 
     Predictions are matched by key. The aggregation reorders rows, so a match by position would
-    give courses the numbers of others.
+    give courses the numbers of others. The rows are written first, so a query runs once.
     """
-    rows = normalize_input(rows)
+    rows = settle(normalize_input(rows), "rows")
     scored = attach_predictions(rows, score(rows, fitted)).filter("prediction is not null")
     keys = [*time_keys(key_columns(rows.columns)), "subj", "crse"]
     tail = [c for c in scored.columns if c not in keys and c != "prediction"]
