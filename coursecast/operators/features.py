@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -15,12 +15,14 @@ from coursecast.functions.names import key_columns
 from coursecast.operators.profile import ID_WORDS, text_cardinality
 from coursecast.schema import TARGET
 
-# Columns a model is built from, and those that are always categories.
-WANTED = ("term", "subj", "crse", "credits")
+# Columns a model is built from, and those that are always categories. A section
+# label only exists in a feature table of section grain.
+WANTED = ("term", "subj", "crse", "sec", "credits")
 CATEGORIES = ("subj", "sec", "crse")
 
 KEY = ("term", "subj", "crse")
-SPLIT_KEY = KEY
+
+NUMBER_LIKE = (T.NumericType, T.BooleanType, T.DatetimeType)
 
 
 def min_features(df: DataFrame) -> list[str]:
@@ -32,7 +34,10 @@ def min_features(df: DataFrame) -> list[str]:
 
 
 def rich_features(df: DataFrame, id_words: Sequence[str] = ID_WORDS) -> list[str]:
-    """The wanted columns, then text of low cardinality, then numbers; no id columns."""
+    """The wanted columns, then text of low cardinality, then numbers; no id columns.
+
+    Flags, dates and timestamps count as numbers.
+    """
     roles = key_columns(df.columns)
     names = {c.lower(): c for c in df.columns}
     chosen = [names[w] for w in WANTED if w in names and names[w] != roles["enrollment"]]
@@ -44,7 +49,7 @@ def rich_features(df: DataFrame, id_words: Sequence[str] = ID_WORDS) -> list[str
     texts = {f.name for f in rest if isinstance(f.dataType, T.StringType)}
     others = tuple(c for c in df.columns if c not in texts)
     usable = {r["column_name"] for r in text_cardinality(df, exclude=others).collect() if r["kept"]}
-    numbers = [f.name for f in rest if isinstance(f.dataType, T.NumericType)]
+    numbers = [f.name for f in rest if isinstance(f.dataType, NUMBER_LIKE)]
     return chosen + [f.name for f in rest if f.name in usable] + numbers
 
 
@@ -52,7 +57,7 @@ def select_features(df: DataFrame, schema: str = "min") -> list[str]:
     return min_features(df) if schema == "min" else rich_features(df)
 
 
-def in_training(percent: int = 80, key: Sequence[str] = SPLIT_KEY) -> Column:
+def in_training(percent: int = 80, key: Sequence[str] = KEY) -> Column:
     """Whether a row belongs to the training part.
 
     A hash of the key decides, so a row stays on its side whatever the partitions or retries.
@@ -60,7 +65,7 @@ def in_training(percent: int = 80, key: Sequence[str] = SPLIT_KEY) -> Column:
     return bucket([F.col(c) for c in key], 100) < percent
 
 
-def split(df: DataFrame, percent: int = 80, key: Sequence[str] = SPLIT_KEY) -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, percent: int = 80, key: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
     keep = in_training(percent, key)
     return df.filter(keep), df.filter(~keep)
 
@@ -104,21 +109,32 @@ def fit_encoding(df: DataFrame, features: Sequence[str], unseen: str = "first")
     return PipelineModel([texts, indexer, codes])
 
 
-def scaling(encoded: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation of each column; a constant column has deviation 1."""
+def _number_sql(df: DataFrame, column: str) -> str:
+    """SQL of a column as a double; times count in seconds."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DatetimeType):
+        column = f"cast({column} as timestamp)"
+    return f"cast({column} as double)"
+
+
+def scaling(encoded: DataFrame, values: Mapping[str, str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each SQL value by name; a constant one has deviation 1."""
+    measures = {name: F.expr(value) for name, value in values.items()}
     row = encoded.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
+        *[F.avg(v).alias(f"m_{n}") for n, v in measures.items()],
+        *[F.stddev_pop(v).alias(f"s_{n}") for n, v in measures.items()],
     ).first()
-    return {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in columns}
+    return {n: (row[f"m_{n}"], row[f"s_{n}"] or 1.0) for n in values}
 
 
 def fit_preprocessing(df: DataFrame, features: Sequence[str], unseen: str = "first") -> PipelineModel:
     """Encoding, scaling of all columns, and the ``features`` vector, fitted on ``df``."""
     encoding = fit_encoding(df, features, unseen)
-    coded = {c: f"{c}_code" if c in categorical(df, features) else c for c in features}
-    moments = scaling(encoding.transform(df), list(coded.values()))
+    codes = categorical(df, features)
+    values = {c: f"{c}_code" if c in codes else _number_sql(df, c) for c in features}
+    moments = scaling(encoding.transform(df), values)
     scaled = _select(
-        [f"(cast({v} as double) - {m!r}D) / {s!r}D as {c}_scaled" for c, v in coded.items() for m, s in [moments[v]]]
+        [f"({v} - {moments[c][0]!r}D) / {moments[c][1]!r}D as {c}_scaled" for c, v in values.items()]
     )
     vector = VectorAssembler(inputCols=[f"{c}_scaled" for c in features], outputCol="features")
     return PipelineModel([*encoding.stages, scaled, vector])

@@ -115,11 +115,14 @@ def load_csv(
 def save_table(df: DataFrame, target: str, partition_by: str | None = "term") -> None:
     """Replace a table, stored by term where it has one so that term filters prune files.
 
-    ``target`` is a path when it has a slash, else a catalog table name. Rows are not
-    shuffled: a term that holds most of the data is still written by many tasks.
+    ``target`` is a path when it has a slash, else a catalog table name. Rows are brought together
+    by term first, so that each reading task does not leave a small file in every term. The
+    rebalance splits a term that holds most of the data over many tasks.
     """
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", 20_000_000)
-    if partition_by and partition_by in df.columns and len(df.columns) > 1:
+    partitioned = partition_by in df.columns and len(df.columns) > 1
+    rows = df.hint("rebalance", partition_by) if partitioned else df
+    writer = rows.write.mode("overwrite")
+    if partitioned:
         writer = writer.partitionBy(partition_by)
     if "/" in target:
         writer.parquet(target)

@@ -101,10 +101,16 @@ def test_constant_column_is_not_scaled(spark, data):
 def test_min_and_rich_features(spark):
     df = spark.range(200).selectExpr(
         "202540 as Term", "'A' as subj", "id as crse", "3 as credits", "'x' as kind", "cast(id as string) as code",
-        "id as student_id", "'r' as residency", "double(id) as load", "id as act", "id as act_enrollment", "true as flag",
+        "id as student_id", "'r' as residency", "double(id) as load", "id as act", "id as act_enrollment", "id > 5 as flag",
+        "date_add(date'2025-01-01', int(id)) as day",
     )
     assert features.min_features(df) == ["Term", "subj", "crse", "credits"]
-    assert features.rich_features(df) == ["Term", "subj", "crse", "credits", "kind", "load"]
+    rich = features.rich_features(df)
+    assert rich == ["Term", "subj", "crse", "credits", "kind", "load", "flag", "day"]
+    scaled = features.fit_preprocessing(df, rich).transform(df)
+    mean, deviation = scaled.selectExpr("avg(day_scaled)", "stddev_pop(flag_scaled)").first()
+    assert (mean, deviation) == (pytest.approx(0, abs=1e-9), pytest.approx(1))
+    assert features.min_features(df.withColumn("sec", F.lit("1"))) == ["Term", "subj", "crse", "sec", "credits"]
     # "residency" contains "id", so it counts as an id column unless the words are changed.
     assert "residency" in features.rich_features(df, id_words=("guid", "_id"))
     assert features.min_features(df.withColumnRenamed("Term", "Semester"))[0] == "Semester"

@@ -139,7 +139,7 @@ def test_catalog(spark):
 
 def test_catalog_tables(spark, sections):
     spark.sql("create database if not exists cc_test")
-    sections.select("term", "act").write.mode("overwrite").saveAsTable("cc_test.t1")
+    csv.save_table(sections.select("term", "act"), "cc_test.t1")
     try:
         tables = catalog.catalog_tables(spark, "cc_test")
         assert list(tables) == ["t1"] and tables["t1"].count() == sections.count()
