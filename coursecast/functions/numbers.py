@@ -13,12 +13,17 @@ WHOLE = r"^\s*[+-]?[0-9]{1,18}\s*$"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
+# Blanks, signs, the point and the digits all sort before this character and letters after it,
+# so one byte comparison settles most text before a pattern is tried.
+_AFTER_DIGITS = ":"
+
+
 def is_whole(text: Column) -> Column:
-    return text.rlike(WHOLE)
+    return (text < _AFTER_DIGITS) & text.rlike(WHOLE)
 
 
 def is_number(text: Column) -> Column:
-    return text.rlike(NUMBER)
+    return (text < _AFTER_DIGITS) & text.rlike(NUMBER)
 
 
 def as_number(text: Column) -> Column:

@@ -57,9 +57,12 @@ def infer_types(df: DataFrame) -> DataFrame:
         length = F.max(F.length(c.cast("string")))
         if isinstance(field.dataType, T.StringType):
             short = F.coalesce(length, F.lit(0)) <= SHORT_TEXT
+            # 2 for whole numbers, 1 for other numbers, 0 for text; the least decides.
+            rank = F.when(is_whole(c), 2).when(is_number(c), 1).otherwise(0)
+            least = F.min(F.when(c.isNotNull(), rank))
             kind = (
-                F.when((F.count_if(is_whole(c)) == rows) & (rows > 0), "INTEGER")
-                .when(F.count_if(is_number(c)) == filled, "NUMERIC")
+                F.when((least == 2) & (filled == rows), "INTEGER")
+                .when(F.coalesce(least, F.lit(1)) >= 1, "NUMERIC")
                 .when(short, "VARCHAR(255)")
                 .otherwise("TEXT")
             )
