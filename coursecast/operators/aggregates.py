@@ -149,6 +149,8 @@ def distinct_courses(df: DataFrame) -> DataFrame:
 
 def prediction_summary(report: DataFrame) -> DataFrame:
     """Predictions, distinct courses, predicted total and average of report predictions."""
+    if "Predicted_Enrollment" not in report.columns:
+        report = report.withColumn("Predicted_Enrollment", F.lit(None).cast("bigint"))
     # Counted per course first: the totals add up from those rows and no course is one big group.
     per_course = report.groupBy("Subject", "Course").agg(
         F.count(F.lit(1)).alias("n"),
@@ -165,7 +167,8 @@ def prediction_summary(report: DataFrame) -> DataFrame:
 
 def forecast_year(report: DataFrame, term: str = "Term") -> DataFrame:
     """Latest academic year among the predicted terms, else the next calendar year."""
-    latest = F.coalesce(F.max(term_year(whole_term(report, term))), F.year(F.current_date()) + 1)
+    year = term_year(whole_term(report, term)) if term in report.columns else F.lit(None)
+    latest = F.coalesce(F.max(year), F.year(F.current_date()) + 1)
     return report.agg(latest.alias("forecast_year"))
 
 

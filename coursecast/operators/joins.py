@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,12 +92,17 @@ def with_history(predictions: DataFrame, history: DataFrame) -> DataFrame:
     return predictions.join(history, ["subj", "crse"], "left")
 
 
-def compare_actual(predictions: DataFrame, sections: DataFrame) -> DataFrame:
+def compare_actual(
+    predictions: DataFrame, sections: DataFrame, terms: Sequence[int] | None = None
+) -> DataFrame:
     """Forecast next to the enrolled total of the same course and term.
 
-    Errors are null where no student is enrolled or the course was not taught.
+    Errors are null where no student is enrolled or the course was not taught. ``terms``, when the
+    predicted terms are known, limits the scan of the sections to them.
     """
     keys = ["term", "subj", "crse"]
+    if terms is not None:
+        sections = sections.filter(F.col("term").isin(list(terms)))
     totals = sections.groupBy(*keys).agg(F.sum("act").alias("total_act"))
     error = F.when(F.col("total_act") > 0, F.abs(F.col("prediction") - F.col("total_act")))
     return (

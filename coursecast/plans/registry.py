@@ -1050,6 +1050,22 @@ def m14(spark, sf):
     return out.withColumns(_r6("prediction"))
 
 
+@query(
+    "m11_score_course",
+    sql("""select term, subj, crse, credits, prediction, cast(total as bigint) as total_act,
+        round(abs(exact - total), 6) as error, round(abs(exact - total) / total * 100, 6) as error_pct
+        from predicted left join
+          (select sum(act) as total from sections where subj = 'PROMO' and crse = 210 and term = 199940) on true""",
+        "features",
+        asked="select 199940 as term, 'PROMO' as subj, 210 as crse, max(credits) as credits from sections "
+              "where subj = 'PROMO' and crse = 210",
+        **coding("features", "asked"), **ridge([1.0])),
+)
+def m11_course(spark, sf):
+    out = scoring.score_course(spark, standin.sections(spark, sf), _ridge(spark, sf), "PROMO", 210, 199940)
+    return out.withColumns(_r6("prediction", "error", "error_pct"))
+
+
 # --- history features -------------------------------------------------------------------------
 
 

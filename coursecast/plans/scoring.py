@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coursecast.functions.names import key_columns, time_keys
 from coursecast.operators.aggregates import course_term
 from coursecast.operators.filters import nan_to_null, normalize_input, subject_sections
-from coursecast.operators.joins import attach_predictions
+from coursecast.operators.joins import attach_predictions, compare_actual, with_credits
 from coursecast.operators.models import Fitted, predict
 from coursecast.operators.order import with_position
 from coursecast.sources.catalog import run_query
@@ -45,6 +46,22 @@ def score_query(
     return score_rows(run_query(spark, sql, args, **tables), fitted)
 
 
+def score_course(
+    spark: SparkSession, sections: DataFrame, fitted: Fitted, subj: str, crse: int | str, term: int
+) -> DataFrame:
+    """Prediction for one course in a past or coming term, with the actual total if there is one.
+
+    Credits come from the sections of the course, 3 if it has none on record.
+    """
+    kinds = {f.name: f.dataType for f in sections.schema.fields}
+    one = spark.createDataFrame([(term, subj, str(crse))], "term bigint, subj string, crse string")
+    one = one.select([F.col(c).cast(kinds[c]).alias(c) for c in one.columns])
+    of_course = sections.filter((F.col("subj") == subj) & (F.col("crse") == F.lit(crse).cast(kinds["crse"])))
+    rows = with_credits(one, of_course).withColumn("act", F.lit(0))
+    predicted = score(rows, fitted).select("term", "subj", "crse", "credits", "prediction")
+    return compare_actual(predicted, of_course, [term])
+
+
 def score_subject_term(sections: DataFrame, fitted: Fitted, subj: str, term: int) -> DataFrame:
     """Predictions for all courses of a subject in a term."""
     return score(subject_sections(sections, subj, term), fitted)

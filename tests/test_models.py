@@ -167,6 +167,14 @@ def test_score_query_fills_defaults(spark, sections, ridge):
     assert (row.act, row.credits) == (0, 3) and row.prediction is not None
 
 
+def test_score_course(spark, sections, ridge):
+    known = sections.groupBy("term", "subj", "crse").agg(F.sum("act").alias("total")).orderBy("term").first()
+    past = scoring.score_course(spark, sections, ridge, known.subj, str(known.crse), known.term).first()
+    assert past.total_act == known.total and past.error == pytest.approx(abs(past.prediction - known.total))
+    coming = scoring.score_course(spark, sections, ridge, "PROMO", 999, 203040).first()
+    assert (coming.credits, coming.total_act, coming.error) == (3, None, None)
+
+
 def test_score_subject_term(sections, ridge):
     out = scoring.score_subject_term(sections, ridge, "PROMO", 199940)
     want = sections.filter("subj = 'PROMO' and term = 199940").select("subj", "crse").distinct().count()

@@ -64,6 +64,9 @@ def test_checks(spark):
 def test_forecast_year(spark):
     df = spark.createDataFrame([("202540",), ("202610.0",), ("bad",)], "Term string")
     assert aggregates.forecast_year(df).first()[0] == 2026
+    assert aggregates.forecast_year(df.select(F.lit(1).alias("x"))).first()[0] > 2024
+    bare = spark.createDataFrame([("A", "1"), ("A", "1")], "Subject string, Course string")
+    assert tuple(aggregates.prediction_summary(bare).first()) == (2, 1, None, None)
     assert aggregates.history_years(2026) == [2023, 2024, 2025]
     next_year = spark.sql("select year(current_date()) + 1").first()[0]
     assert aggregates.forecast_year(df.filter("false")).first()[0] == next_year
