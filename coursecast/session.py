@@ -13,12 +13,25 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# For a cluster: many small shuffle partitions to start with, which adaptive execution merges up to
+# the advisory size (or splits, when one is skewed), and scan tasks that fit executor memory.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 
 def session(name: str, master: str | None = None, **extra: str) -> SparkSession:
-    """A session with adaptive execution on; ``extra`` keys use ``__`` for the dots."""
+    """A session with adaptive execution on; ``extra`` keys use ``__`` for the dots.
+
+    Without a ``master``, or with one that is not local, it also gets the cluster settings.
+    """
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
+    local = master is not None and master.startswith("local")
+    chosen = {k.replace("__", "."): v for k, v in extra.items()}
+    for key, value in {**SETTINGS, **({} if local else CLUSTER_SETTINGS), **chosen}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

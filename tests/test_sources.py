@@ -19,7 +19,7 @@ def write(path, text):
 
 def test_csv_types_and_nulls(spark, tmp_path):
     text = HEADER + '202540,"Spring, ""25""",1,NA,23,' + "x" * 300 + "\n202610,Fall 2025,2,FIN,,y\n"
-    path = write(tmp_path / "Section-Detail (1).csv", text)
+    path = write(tmp_path / "Course-List (1).csv", text)
     df = csv.load_csv(spark, path)
     assert df.dtypes == [
         ("term", "bigint"), ("term_desc", "string"), ("crn", "bigint"), ("subj", "string"),
@@ -34,7 +34,7 @@ def test_csv_types_and_nulls(spark, tmp_path):
         "term": "INTEGER", "term_desc": "VARCHAR(255)", "crn": "INTEGER", "subj": "VARCHAR(255)",
         "xl_act": "NUMERIC", "big": "TEXT",
     }
-    assert csv.table_name(path) == "section_detail_1"
+    assert csv.table_name(path) == "course_list_1"
 
 
 def test_infer_types_of_typed_columns(spark):
