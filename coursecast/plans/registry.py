@@ -1057,7 +1057,7 @@ def m14(spark, sf):
         from predicted left join
           (select sum(act) as total from sections where subj = 'PROMO' and crse = 210 and term = 199940) on true""",
         "features",
-        asked="select 199940 as term, 'PROMO' as subj, 210 as crse, max(credits) as credits from sections "
+        asked="select 199940 as term, 'PROMO' as subj, 210 as crse, coalesce(nullif(max(credits), 0), 3) as credits from sections "
               "where subj = 'PROMO' and crse = 210",
         **coding("features", "asked"), **ridge([1.0])),
 )
