@@ -30,3 +30,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from coursecast.llm.rules import quality_rules
 
     return quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from coursecast.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))

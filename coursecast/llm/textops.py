@@ -17,6 +17,10 @@ CHUNK_BYTES = 4 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: Maps A-Z to a-z and every other byte to itself.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -84,8 +88,14 @@ class Chunk:
         return mix((sums[end] - sums[start]) * down[start])
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """A column of texts in pieces of at most ``limit`` bytes, or of one text; null is empty."""
+def chunks(
+    texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES,
+    fold: np.ndarray | None = None, space: np.ndarray = SPACE,
+) -> Iterator[Chunk]:
+    """A column of texts in pieces of at most ``limit`` bytes, or of one text; null is empty.
+
+    ``fold`` maps bytes to bytes before words are cut, ``space`` marks the bytes between words.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -98,14 +108,15 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Itera
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield split_words(at, everything[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        piece = everything[offsets[at] : offsets[to]]
+        yield split_words(at, piece if fold is None else fold[piece], offsets[at : to + 1] - offsets[at], space)
         at = to
 
 
-def split_words(first: int, buf: np.ndarray, text_at: np.ndarray) -> Chunk:
+def split_words(first: int, buf: np.ndarray, text_at: np.ndarray, space: np.ndarray = SPACE) -> Chunk:
     n = len(buf)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~SPACE[buf]
+    inside[1:-1] = ~space[buf]
     edge = np.zeros(n + 1, bool)
     edge[text_at] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
