@@ -174,9 +174,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fit(stats: DataFrame, labels: DataFrame, *, max_rows: int = 8000, max_labelled: int = 8000,
-        trees: int = 100, sample: int = 256, keep: float = 0.995, seed: int = 7) -> IsolationForest:
+        trees: int = 200, sample: int = 16, keep: float = 0.995, seed: int = 7) -> IsolationForest:
     """A forest from ``max_rows`` rows in hash order, its threshold from ``max_labelled`` labelled ones.
 
+    Subsamples are small because junk of one kind is frequent: in a larger one it would form a cluster
+    that no longer looks isolated.
+
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad; null is no label). Rows that the base rules
     fail take part in neither: the forest judges what is left.
     """

@@ -45,10 +45,10 @@ class Ftrl:
     """Per-coordinate learning rates, L1 and L2 shrinkage; features are present or absent."""
 
     bits: int
-    alpha: float = 0.1
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 3.0
-    l2: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.1
 
     def __post_init__(self) -> None:
         self.z = np.zeros(1 << self.bits)
@@ -95,7 +95,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, bits: int = 20, epochs: int = 3,
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, bits: int = 20, epochs: int = 4,
         text_col: str = "text", seed: int = 11) -> Weights:
     """Learn from at most ``max_rows`` labelled documents that are not held out, chosen by hash.
 
