@@ -37,3 +37,10 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     from coursecast.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_simhash_near_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from coursecast.llm.simhash import near_components
+
+    return near_components(table(spark, sf, "documents"))
