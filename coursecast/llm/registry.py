@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coursecast.llm import mixing
+from coursecast.llm.rules import quality_rules
+from coursecast.llm.simhash import near_components
+from coursecast.llm.toxicity import toxicity
+
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
 SQL: dict[str, str] = {}
@@ -27,20 +32,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    from coursecast.llm.rules import quality_rules
-
     return quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    from coursecast.llm.toxicity import toxicity
-
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    from coursecast.llm.simhash import near_components
-
     return near_components(table(spark, sf, "documents"))
+
+
+@query("op2_pareto_mix", mixing.ORACLE)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.pareto_mix(table(spark, sf, "documents"))
