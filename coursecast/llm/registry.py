@@ -10,6 +10,7 @@ from coursecast.llm import mixing
 from coursecast.llm.rules import quality_rules
 from coursecast.llm.simhash import near_components
 from coursecast.llm.toxicity import toxicity
+from coursecast.llm.url_filter import url_filter
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -48,3 +49,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_pareto_mix", mixing.ORACLE)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf, "documents"))
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter(table(spark, sf, "pages"))
