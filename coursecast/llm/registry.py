@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from coursecast.llm import mixing
+from coursecast.llm.html_text import main_text
 from coursecast.llm.rules import quality_rules
 from coursecast.llm.simhash import near_components
 from coursecast.llm.toxicity import toxicity
@@ -54,3 +55,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_url_filter")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter(table(spark, sf, "pages"))
+
+
+@query("op1_html_main_text")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text(table(spark, sf, "pages"))
