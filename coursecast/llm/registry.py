@@ -10,6 +10,7 @@ from coursecast.llm import mixing
 from coursecast.llm.html_text import main_text
 from coursecast.llm.rules import quality_rules
 from coursecast.llm.simhash import near_components
+from coursecast.llm.tokens import token_index
 from coursecast.llm.toxicity import toxicity
 from coursecast.llm.url_filter import url_filter
 
@@ -60,3 +61,14 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_html_main_text")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(table(spark, sf, "pages"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return token_index(table(spark, sf, "documents"), tokenizer=tokenizer_path())
