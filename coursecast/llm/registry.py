@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coursecast.llm import mixing
 from coursecast.llm.html_text import main_text
+from coursecast.llm.quality import quality
 from coursecast.llm.rules import quality_rules
 from coursecast.llm.simhash import near_components
 from coursecast.llm.tokens import token_index
@@ -72,3 +73,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @query("op3_token_files")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return token_index(table(spark, sf, "documents"), tokenizer=tokenizer_path())
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
