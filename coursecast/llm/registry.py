@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from coursecast.llm import mixing
+from coursecast.llm.decontaminate import leaks
 from coursecast.llm.html_text import main_text
 from coursecast.llm.quality import quality
 from coursecast.llm.rules import quality_rules
@@ -78,3 +79,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
