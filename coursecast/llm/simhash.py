@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursecast.llm.graph import components
-from coursecast.llm.textops import LOWER, Chunk, chunks
+from coursecast.llm.textops import LOWER, Chunk, chunks, mix, whole_windows, windows
 from coursecast.sources.scratch import settle
 
 # Fixed values of XXH64.
@@ -82,13 +82,18 @@ def fingerprints(chunk: Chunk, size: int) -> np.ndarray:
     text = np.repeat(np.arange(len(chunk)), n_shingles)
     first = np.arange(at[-1]) - at[text] + chunk.word_at[text]
     last = first + np.minimum(n_words[text], size) - 1
-    out = np.zeros(len(chunk), np.uint64)
-    if not len(first):
+    return majority(xxh64(joined, new[first], new[last + 1] - 1 - new[first]), at)
+
+
+def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per text, the bits set in over half of its hashes ``h[at[k] : at[k + 1]]``; zero if it has none."""
+    n_hashes = np.diff(at)
+    out = np.zeros(len(n_hashes), np.uint64)
+    some = np.flatnonzero(n_hashes)
+    if not len(some):
         return out
-    h = xxh64(joined, new[first], new[last + 1] - 1 - new[first])
-    some = np.flatnonzero(n_shingles)
-    step = max(1, (1 << 17) // max(1, int(n_shingles[some].mean())))
-    for k in range(0, len(some), step):  # 64 counters a text, over a bounded number of shingles
+    step = max(1, (1 << 17) // max(1, int(n_hashes[some].mean())))
+    for k in range(0, len(some), step):  # 64 counters a text, over a bounded number of hashes
         part = some[k : k + step]
         lo, hi = at[part[0]], at[part[-1] + 1]
         counts = np.zeros((len(part), 64), np.int64)
@@ -98,7 +103,7 @@ def fingerprints(chunk: Chunk, size: int) -> np.ndarray:
             begin = np.maximum(at[part], b)
             use = (begin < to) & (at[part + 1] > b)
             counts[use] += np.add.reduceat(bits, begin[use] - b, axis=0, dtype=np.int64)
-        ones = (2 * counts > n_shingles[part][:, None]).astype(np.uint8)
+        ones = (2 * counts > n_hashes[part][:, None]).astype(np.uint8)
         out[part] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
@@ -139,9 +144,14 @@ def _reordered(fp, blocks, order):
     return out
 
 
-def join_trie(keys: np.ndarray, groups: np.ndarray, skip: int, budget: int) -> np.ndarray:
+def join_trie(
+    keys: np.ndarray, groups: np.ndarray, skip: int, budget: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> np.ndarray:
     """For distinct keys sorted within groups: a label each, equal for keys that links within a group connect.
 
+    All keys of a group agree in their first ``skip`` bits. ``budget[d]`` is the number of bits in which a pair may
+    differ among the first ``d``; ``close`` decides on the pairs of keys that are left.
+
     The trie of a group is its sorted keys: a node is the range of keys with the same leading bits. Pairs of
     nodes go down together from the root's pair; a pair is dropped when the bits in which it differs exceed
     the budget, or when all keys of both nodes are already in one component, where more links change nothing.
@@ -163,7 +173,8 @@ def join_trie(keys: np.ndarray, groups: np.ndarray, skip: int, budget: int) -> n
                     break
                 label[:] = up
 
-    near = np.flatnonzero((groups[1:] == groups[:-1]) & (np.bitwise_count(keys[1:] ^ keys[:-1]) <= budget))
+    near = np.flatnonzero(groups[1:] == groups[:-1])
+    near = near[close(near, near + 1)]
     unite(near, near + 1)
     start = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     end = np.append(start[1:], n)
@@ -180,8 +191,8 @@ def join_trie(keys: np.ndarray, groups: np.ndarray, skip: int, budget: int) -> n
         a0, a1, b0, b1 = pairs
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         i, j = a0[single], b0[single]
-        close = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-        unite(i[close], j[close])
+        linked = close(i, j)
+        unite(i[linked], j[linked])
         pairs, differ = pairs[:, ~single], differ[~single]
         if not pairs.shape[1] or depth == 64:
             continue
@@ -203,7 +214,7 @@ def join_trie(keys: np.ndarray, groups: np.ndarray, skip: int, budget: int) -> n
         ]
         c = np.concatenate([np.stack(x[:4]) for x in children], axis=1)
         d = np.concatenate([x[4] for x in children])
-        keep = (c[1] > c[0]) & (c[3] > c[2]) & (d <= budget)
+        keep = (c[1] > c[0]) & (c[3] > c[2]) & (d <= budget[depth + 1])
         keep &= ~((c[0] == c[2]) & (c[1] == c[3]) & (c[1] - c[0] == 1))
         if keep.any():
             todo.append((depth + 1, c[:, keep], d[keep]))
@@ -230,6 +241,8 @@ def trie_links(prints: DataFrame, budget: int) -> DataFrame:
         .repartition("trie", "part").sortWithinPartitions("trie", "part", "key")
     )
 
+    most = np.full(65, budget)
+
     def solve(table: pa.Table) -> pa.RecordBatch:
         trie, part, key, fp = (c.to_numpy() for c in table.columns)
         key = key.view(np.uint64)
@@ -238,13 +251,21 @@ def trie_links(prints: DataFrame, budget: int) -> DataFrame:
         out = []
         for t in np.unique(trie):
             lo, hi = np.searchsorted(trie, [t, t + 1])
-            label = join_trie(key[lo:hi], part[lo:hi], skip[t], budget) + lo
+            mine = key[lo:hi]
+            near = lambda i, j, k=mine: np.bitwise_count(k[i] ^ k[j]) <= budget
+            label = join_trie(mine, part[lo:hi], skip[t], most, near) + lo
             link = np.flatnonzero(label != np.arange(lo, hi)) + lo
             out.append((fp[link], fp[label[link - lo]]))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"]
         )
 
+    return rows.mapInArrow(by_parts(solve), "a long, b long").distinct()
+
+
+def by_parts(solve: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """Calls ``solve`` on rows sorted by their first two columns, about 2**18 at a time, parts kept whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
@@ -263,7 +284,7 @@ def trie_links(prints: DataFrame, budget: int) -> DataFrame:
         if waiting:
             yield solve(pa.Table.from_batches(waiting))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
 def near_components(docs: DataFrame, *, size: int = 3, budget: int = 2, text_col: str = "text") -> DataFrame:
@@ -287,3 +308,124 @@ def near_components(docs: DataFrame, *, size: int = 3, budget: int = 2, text_col
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# Near copies: at a similarity of 0.8 over five-word shingles, 64 bits differ in about 8 places, more than a trie
+# of 64 bits can prune by. So these fingerprints have 256 bits, cut into bands; a band of a near copy is often
+# within a small budget, and what a band's trie finds is decided by all 256 bits.
+WIDE_WORDS = 4
+BAND_BITS = 32
+BANDS = 64 * WIDE_WORDS // BAND_BITS
+BAND_BUDGET = 2
+WIDE_BITS = 36  # about the bits that differ at that similarity, with a margin of a standard deviation
+_WIDE = mix(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
+
+
+def wide_fingerprints(chunk: Chunk, size: int) -> np.ndarray:
+    """Fingerprints of 256 bits, a row of four numbers per text; no words give zeros."""
+    words, n_words = chunk.hashes(chunk.start, chunk.end), chunk.n_words()
+    all_windows = windows(words, size)
+    use = whole_windows(chunk.word_at, size, len(words))
+    few = np.flatnonzero((n_words > 0) & (n_words < size))
+    whole = [windows(words[chunk.word_at[k] : chunk.word_at[k + 1]], n_words[k]) for k in few]
+    h = np.concatenate([all_windows[use], *whole])
+    text = np.concatenate([chunk.owner()[np.flatnonzero(use)], few])
+    h = h[np.argsort(text, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(text.astype(np.int64), minlength=len(chunk)))])
+    return np.stack([majority(mix(h ^ w), at) for w in _WIDE], axis=1)
+
+
+def _band_layouts() -> list[tuple[int, tuple[int, ...]]]:
+    """Each band with each choice of two of its four bytes to agree in: a budget of two leaves two at least."""
+    return [(band, pair) for band in range(BANDS) for pair in combinations(range(4), 2)]
+
+
+def _band(prints: np.ndarray, band: int) -> np.ndarray:
+    word, half = divmod(band % BANDS, 2)
+    return (prints[:, word] >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+
+
+def _band_keys(prints: np.ndarray, band: int, pair: tuple[int, ...]) -> np.ndarray:
+    """The band's bytes with ``pair`` in front, then the next band."""
+    value, out = _band(prints, band), np.zeros(len(prints), np.uint64)
+    for b in (*pair, *(b for b in range(4) if b not in pair)):
+        out = (out << np.uint64(8)) | ((value >> np.uint64(8 * b)) & np.uint64(0xFF))
+    return (out << np.uint64(32)) | _band(prints, band + 1)
+
+
+def near_copies(docs: DataFrame, *, size: int = 3, text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``uid`` (hash of the text) and ``component_id`` (smallest ``doc_id``) of near copies of every row.
+
+    As ``near_components``, for wide fingerprints: two are linked if a band of 32 bits differs in two at most
+    and all 256 bits in ``WIDE_BITS`` at most. That finds about nine in ten pairs with a similarity of 0.8 and
+    nearly all above 0.85; unrelated texts differ in about 128 bits.
+    """
+    text = F.col(text_col).cast("string")
+    names = [f"w{k}" for k in range(WIDE_WORDS)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("uid"), text.alias("text"))
+
+    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprints(c, size) for c in chunks(batch.column(2), fold=LOWER)]
+            fp = np.concatenate(found) if found else np.zeros((0, WIDE_WORDS), np.uint64)
+            columns = [pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(WIDE_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "uid", *names])
+
+    kinds = ", ".join(f"{n} long" for n in names)
+    prints = settle(rows.mapInArrow(fingerprint, f"doc_id long, uid long, {kinds}").withColumn("fp", F.xxhash64(*names)), "wide")
+    classes = settle(prints.groupBy("fp", *names).agg(F.min("doc_id").alias("least")), "wide-classes")
+    tries = _band_layouts()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.stack([batch.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+            for t, (band, pair) in enumerate(tries):
+                part = (_band_keys(fps, band, pair) >> np.uint64(48)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(fps), t, np.int32)), pa.array(part), *batch.columns], ["trie", "part", "fp", *names]
+                )
+
+    budget = np.full(65, BAND_BUDGET)
+    budget[BAND_BITS + 1 :] = BAND_BUDGET + 20
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        trie, part, fp = (table.column(k).to_numpy() for k in range(3))
+        wide = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+        out = [np.zeros((2, 0), np.int64)]
+        for t in np.unique(trie):
+            rows = np.flatnonzero(trie == t)
+            keys = _band_keys(wide[rows], *tries[t])
+            order = np.lexsort((fp[rows], keys))
+            rows, keys = rows[order], keys[order]
+            prints = wide[rows]
+            near = lambda i, j, p=prints: np.bitwise_count(p[i] ^ p[j]).sum(axis=1) <= WIDE_BITS
+            label = join_trie(keys, part[rows], 16, budget, near)
+            link = np.flatnonzero(label != np.arange(len(rows)))
+            out.append(np.stack([fp[rows[link]], fp[rows[label[link]]]]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b"])
+
+    dealt = classes.select("fp", *names).mapInArrow(deal, f"trie int, part int, fp long, {kinds}")
+    dealt = dealt.repartition("trie", "part").sortWithinPartitions("trie", "part")
+    roots = components(dealt.mapInArrow(by_parts(solve), "a long, b long").distinct(), "wide-links")
+    of_class = settle(
+        classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "wide-roots"
+    )
+    named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = of_class.join(named, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "uid", "component_id")
+
+
+def without_near_copies(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of near copies, the one with the smallest ``doc_id``, with the columns of ``docs``.
+
+    A row without id stays if its group has no id at all. Of rows that are equal in id and text, or without id in
+    text, one stays. Texts without words are copies of each other.
+    """
+    found = near_copies(docs, text_col=text_col, **options)
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "uid").agg(F.count("*").alias("_rows"))
+    # One text for each id, and one for each group without id, should an id have several.
+    stays = stays.select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), "_rows")
+    uid = F.xxhash64(F.col(text_col).cast("string"))
+    kept = docs.withColumn("_text", uid).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_uid")))
+    once = kept.filter("_rows = 1").select(*docs.columns)
+    return once.unionByName(kept.filter("_rows > 1").dropDuplicates(["doc_id", "_text"]).select(*docs.columns))
