@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursecast.llm import mixing
+from coursecast.llm import mixing, substrings
 from coursecast.llm.decontaminate import leaks
 from coursecast.llm.html_text import main_text
 from coursecast.llm.quality import quality
@@ -84,3 +84,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_decontamination")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_substring_dedup", substrings.ORACLE)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf, "documents"))
