@@ -45,12 +45,14 @@ class _Order0:
     def __init__(self, present: np.ndarray, counts: np.ndarray) -> None:
         up = np.cumsum(counts.astype(np.int64))
         edges = np.concatenate([[0], up * ((1 << ID_BITS) - len(up)) // up[-1] + np.arange(1, len(up) + 1)])
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.begin[present] = edges[:-1]
-        self.size[present] = np.diff(edges)
+        self._both = np.zeros(1 << 16, np.int64)  # begin and size of an id's range
+        self._both[present] = edges[:-1] << 32 | np.diff(edges)
         self.present, self.edges = present, edges
 
+    def ranges(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = self._both.take(ids)
+        return both >> 32, both & MASK32
+
     def inverse(self) -> np.ndarray:
         return np.repeat(self.present, np.diff(self.edges))
 
@@ -93,9 +95,8 @@ class _Model:
         f1 *= ~same
         self.f12 = self.f2 + f1
 
-    def learn(self, k: int, ids: np.ndarray, hits: np.ndarray) -> None:
+    def learn(self, k: int, ids: np.ndarray, hits: np.ndarray, right: np.ndarray) -> None:
         self.mix[self.at] = self.chance + ((hits * np.int32(65535) - self.chance) >> 5)
-        right = self.guess == ids
         trust = self.trust
         miss = np.where(trust >= 2, self.entry - trust + (trust >> 1), ids * 8 + 1)
         self.table[self.slot] = np.where(right, self.entry + (trust < 7), miss)
@@ -196,7 +197,8 @@ def encode(ids: np.ndarray) -> bytes:
         k = n_blocks if t < last else n_blocks - 1
         model.look(k)
         now = steps[t, :k].astype(np.int32)
-        hits = model.guess == now
+        right = model.guess == now
+        hits = right.copy()
         hits[1] &= ~hits[0]
         f2, f12 = model.f2, model.f12
         rest = WHOLE - f12
@@ -204,10 +206,11 @@ def encode(ids: np.ndarray) -> bytes:
         size = np.where(hits[0], f2, f12 - f2).astype(np.int64) << ID_BITS
         other = np.flatnonzero(~(hits[0] | hits[1]))
         part, named = rest[other], now[other]
-        begin[other] += part * order0.begin.take(named)
-        size[other] = part * order0.size.take(named)
+        first, many = order0.ranges(named)
+        begin[other] += part * first
+        size[other] = part * many
         writer.put(k, begin, size)
-        model.learn(k, now, hits)
+        model.learn(k, now, hits, right)
     words = writer.finish()
     index = b"".join(
         struct.pack("<II", len(w) // 2, zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].tobytes())) for b, w in enumerate(words)
@@ -255,11 +258,12 @@ def decode(buffer: bytes) -> np.ndarray:
         place = np.minimum(((target[other] - begin[other]) / part).astype(np.int64), (1 << ID_BITS) - 1)
         named = inverse.take(place).astype(np.int32)
         now[other] = named
-        begin[other] += part * order0.begin.take(named)
-        size[other] = part * order0.size.take(named)
+        first, many = order0.ranges(named)
+        begin[other] += part * first
+        size[other] = part * many
         reader.take(k, begin, size)
         steps[t, :k] = now
-        model.learn(k, now, hits)
+        model.learn(k, now, hits, model.guess == now)
     ids = np.ascontiguousarray(steps.T).ravel()[:n_ids].astype("<u2")
     for b in range(n_blocks):
         if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].tobytes()) != index[b, 1]:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import struct
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -16,24 +20,34 @@ from pyspark.sql import functions as F
 from coursecast.llm.range_coder import decode, encode
 from coursecast.sources.scratch import scratch_path
 
-SEGMENT_IDS = 4 << 20
-CACHE_PIECES = 300_000
+SEGMENT_IDS = 8 << 20
+CACHE_WORDS = 500_000
 
-#: White space with the word behind it: byte-level pre-tokenizers never join text across these pieces.
-PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s")
-#: Characters on which libraries differ about what white space is.
-ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁤　﻿]")
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+#: How byte-level tokenizers cut texts into words (their fixed pattern), for letters and numbers up to U+00FF.
+WORD = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_L}{_N}]+| ?[{_N}]+|\s+(?!\S)|\s+")
+#: Characters up to U+00FF on which libraries differ about what white space is.
+ODD = "\x1c\x1d\x1e\x1f\x85"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else the next
+    free code point from U+0100."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class TextEncoder:
     """Ids of whole texts exactly as the tokenizers library gives them, as little-endian 16-bit numbers.
 
-    If the tokenizer is byte-level without normalizer, words are independent: the library encodes each
-    different piece once and a bounded cache serves the rest. Texts with special tokens or unusual white space,
-    and all texts of other tokenizers, go to the library whole.
+    If the tokenizer is byte-level without normalizer, its words are independent: the library's model encodes
+    each different word once and a bounded cache serves the rest. Texts with special tokens, unusual white
+    space or characters beyond U+00FF, and all texts of other tokenizers, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,27 +57,53 @@ class TextEncoder:
             raise ValueError("the file format holds ids below 65536")
         setting = json.loads(self.tokenizer.to_str())
         pre = setting.get("pre_tokenizer") or {}
-        self.by_piece = (
+        self.by_word = (
             setting.get("normalizer") is None and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         )
-        self.added = [t["content"] for t in setting.get("added_tokens", [])]
+        self.special = [t["content"] for t in setting.get("added_tokens", [])]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():  # only the space is written otherwise
+            letters = word.replace(" ", self.letters[32])
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _whole(self, text: str) -> bool:
+        if not self.by_word or any(s in text for s in self.special) or any(c in text for c in ODD):
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return True
+        return False
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or ODD.search(text) or any(a in text for a in self.added):
-            return self._library([text])[0]
-        pieces = PIECE.findall(text)
-        missing = list(set(pieces).difference(self.cache))
+        if self._whole(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        words = WORD.findall(text)
+        missing = set(words).difference(self.cache)
         if missing:
-            if len(self.cache) + len(missing) > CACHE_PIECES:
+            if len(self.cache) + len(missing) > CACHE_WORDS:
                 self.cache.clear()
-                missing = list(set(pieces))
-            self.cache.update(zip(missing, self._library(missing)))
-        return b"".join(map(self.cache.__getitem__, pieces))
+                missing = set(words)
+            for word in missing:
+                self.cache[word] = self._word(word)
+        return b"".join(map(self.cache.__getitem__, words))
+
+
+def worker_encoder(path: str) -> TextEncoder:
+    """The encoder of this Python worker, which serves many tasks: its cache of words is filled once."""
+    name = "coursecast_llm_worker"
+    kept = sys.modules.setdefault(name, ModuleType(name)).__dict__
+    if path not in kept:
+        kept[path] = TextEncoder(path)
+    return kept[path]
 
 
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2, text_col: str = "text") -> None:
@@ -81,7 +121,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = TextEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         end = np.array([end_id], "<u2").tobytes()
         names, parts, n_ids, segment = [], [], 0, 0
 
@@ -112,20 +152,23 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     rows.select("doc_id", "text").mapInArrow(run, kinds).write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``start`` (ids before it in all files), ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit).
+def segment_starts(files: DataFrame) -> DataFrame:
+    """``shard``, ``segment`` and ``segment_start``, the number of ids before each segment.
 
-    Fails if a block does not match its checksum. Only counts go into the running sum: one row per segment
-    within a shard, one row per shard over all.
+    Only counts go into the running sums: one row per segment within a shard, one row per shard over all.
     """
-    files = spark.read.parquet(path)
     segments = files.select("shard", "segment", "n_ids")
     per = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     per = per.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     before = W.partitionBy("shard").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
     starts = segments.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(per, "shard")
-    starts = starts.select("shard", "segment", (F.col("start") + F.col("shard_start")).alias("segment_start"))
+    return starts.select("shard", "segment", (F.col("start") + F.col("shard_start")).alias("segment_start"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """``shard``, ``segment``, ``at`` (ids before it in the segment), ``doc_id``, ``n_tokens`` and ``ids`` (little-endian
+    unsigned 32-bit) of every document. Fails if a block does not match its checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,10 +192,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     kinds = "shard int, segment int, doc_id long, at long, n_tokens long, ids binary"
-    found = files.select("shard", "segment", "doc_ids", "counts", "ids").mapInArrow(run, kinds)
-    return found.join(starts, ["shard", "segment"]).select(
-        "doc_id", (F.col("segment_start") + F.col("at")).alias("start"), "n_tokens", "ids"
-    )
+    return files.select("shard", "segment", "doc_ids", "counts", "ids").mapInArrow(run, kinds)
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id``, ``start`` (ids before it in all files), ``n_tokens`` and ``ids`` of every document."""
+    files = spark.read.parquet(path)
+    found = decoded(files).join(segment_starts(files), ["shard", "segment"])
+    return found.select("doc_id", (F.col("segment_start") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def token_index(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -164,4 +211,7 @@ def token_index(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str |
     """
     path = path or scratch_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, tokenizer=tokenizer, end_id=end_id, text_col=text_col)
-    return read_token_files(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    files = docs.sparkSession.read.parquet(path)
+    found = decoded(files).select("shard", "segment", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = found.join(segment_starts(files), ["shard", "segment"])
+    return found.select("doc_id", (F.col("segment_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
