@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHOLE = r"^\s*[+-]?[0-9]{1,18}\s*$"
+LONG_WHOLE = r"^\s*[+-]?[0-9]{1,38}\s*$"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -19,7 +20,14 @@ _AFTER_DIGITS = ":"
 
 
 def is_whole(text: Column) -> Column:
-    return (text < _AFTER_DIGITS) & text.rlike(WHOLE)
+    """A whole number that fits a bigint; only the longest need a cast to tell."""
+    fits = is_long_whole(text) & (F.length(F.trim(text)) <= 20) & text.try_cast("bigint").isNotNull()
+    return (text < _AFTER_DIGITS) & (text.rlike(WHOLE) | fits)
+
+
+def is_long_whole(text: Column) -> Column:
+    """A whole number of up to 38 digits."""
+    return (text < _AFTER_DIGITS) & text.rlike(LONG_WHOLE)
 
 
 def is_number(text: Column) -> Column:

@@ -174,6 +174,16 @@ def s7(spark, sf):
     return sql_dump.read_sql_dump(spark, f"{path}/data", rows.schema)
 
 
+@query("s7_sql_dump_two_tables", sql("select * from sections", "sections"))
+def s7_two(spark, sf):
+    """Sections and another table in one folder, the other with CRLF line ends."""
+    path, rows = scratch_path(spark, "s7-two"), standin.sections(spark, sf)
+    other = spark.read.parquet(f"{sf}/nation.parquet")
+    sql_dump.sql_dump_lines(rows, "sections").write.text(f"{path}/a")
+    sql_dump.sql_dump_lines(other, "nation").write.option("lineSep", "\r\n").text(f"{path}/b")
+    return sql_dump.read_sql_dump(spark, f"{path}/*", rows.schema, table="sections")
+
+
 @query(
     "s8_query_source",
     sql("select subj, crse, max(act) as most from sections where term >= 199900 and act > 5 group by subj, crse",
@@ -219,6 +229,15 @@ def s10_csv(spark, sf):
     return results.report_predictions(results.read_predictions_csv(spark, path)).select(_S10_COLUMNS)
 
 
+@query("s10_predictions_mixed", sql(f"select * from ({_S10}) union all select * from ({_S10})", "report"))
+def s10_mixed(spark, sf):
+    """One folder with files of both layouts."""
+    path, report = scratch_path(spark, "s10-mixed"), _report(spark, sf)
+    results.write_predictions_csv(report.select(_S10_COLUMNS), path)
+    report.select(_S10_COLUMNS[::-1]).write.mode("append").option("header", True).csv(path)
+    return results.report_predictions(results.read_predictions_csv(spark, path)).select(_S10_COLUMNS)
+
+
 @query("s11_drop_folder", sql(_PER_TERM, "sections"))
 def s11(spark, sf):
     folder, out, mark = (scratch_path(spark, f"s11-{n}") for n in ("in", "out", "checkpoint"))

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursecast.functions.names import clean_columns, clean_name
-from coursecast.functions.numbers import is_number, is_whole
+from coursecast.functions.numbers import is_long_whole, is_number, is_whole
 from coursecast.schema import CSV_NULLS
 
 SHORT_TEXT = 255
+DOUBLE_DIGITS = 15
 
 SPARK_TYPES = {
     "INTEGER": "bigint",
     "NUMERIC": "double",
+    "NUMERIC(38,0)": "decimal(38,0)",
     "TIMESTAMP": "timestamp",
     "VARCHAR(255)": "string",
     "TEXT": "string",
@@ -28,13 +30,14 @@ SPARK_TYPES = {
 def read_text_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
     """All columns as text, cleaned names, missing-value words as null.
 
-    Files are split across tasks unless ``multiline`` allows line breaks inside quotes.
+    Several files must have the same header. Files are split across tasks unless ``multiline`` allows line breaks inside quotes.
     """
     raw = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("enforceSchema", False)  # a file with other columns stops the job
         .csv(path)
     )
     raw = clean_columns(raw)
@@ -46,8 +49,9 @@ def read_text_csv(spark: SparkSession, path: str | Sequence[str], multiline: boo
 def infer_types(df: DataFrame) -> DataFrame:
     """(ordinal, column, sql_type, max_length): one aggregation over all columns.
 
-    A text column is INTEGER when every row holds a whole number, NUMERIC when every value
-    present is a number (or none is present), else VARCHAR(255) or TEXT by its longest value.
+    A text column is INTEGER when every row holds a whole number that fits a bigint, NUMERIC when
+    every value present is a number (or none is present), else VARCHAR(255) or TEXT by its longest
+    value. Whole numbers that a double cannot tell apart are NUMERIC(38,0), or text among fractions.
     """
     rows = F.count(F.lit(1))
     measures = []
@@ -57,12 +61,14 @@ def infer_types(df: DataFrame) -> DataFrame:
         length = F.max(F.length(c.cast("string")))
         if isinstance(field.dataType, T.StringType):
             short = F.coalesce(length, F.lit(0)) <= SHORT_TEXT
-            # 2 for whole numbers, 1 for other numbers, 0 for text; the least decides.
-            rank = F.when(is_whole(c), 2).when(is_number(c), 1).otherwise(0)
+            # 3 for whole numbers in a bigint, 2 for longer ones, 1 for other numbers, 0 for text; the least decides.
+            rank = F.when(is_whole(c), 3).when(is_long_whole(c), 2).when(is_number(c), 1).otherwise(0)
             least = F.min(F.when(c.isNotNull(), rank))
+            exact = F.coalesce(F.max(F.when(is_long_whole(c), F.length(c))) > DOUBLE_DIGITS, F.lit(False))
             kind = (
-                F.when((least == 2) & (filled == rows), "INTEGER")
-                .when(F.coalesce(least, F.lit(1)) >= 1, "NUMERIC")
+                F.when((least == 3) & (filled == rows), "INTEGER")
+                .when((least >= 2) & exact, "NUMERIC(38,0)")
+                .when((F.coalesce(least, F.lit(1)) >= 1) & ~exact, "NUMERIC")
                 .when(short, "VARCHAR(255)")
                 .otherwise("TEXT")
             )

@@ -201,3 +201,65 @@ def test_normalize_names(spark):
     assert df.columns == ["term", "subj", "act", "credits"] and df.first()[2:] == (0, 3)
     assert rows(nan_to_null(spark.sql("select double('NaN') as x, 1 as y"))) == [(None, 1)]
     assert F is not None
+
+
+DUMP = (
+    "INSERT INTO t (id, title) VALUES (1, 'it''s; (a)');\n"
+    "INSERT INTO t (id, title) VALUES (2, 'b\nINS');\n"
+    "INSERT INTO t (id, title) VALUES (3, NULL);\n"
+)
+LAYOUTS = {
+    "plain": DUMP,
+    "crlf": DUMP.replace("\n", "\r\n"),
+    "blank lines": DUMP.replace(";\n", ";\n\n"),
+    "comments": DUMP.replace(";\n", ";\n-- it's a (comment);\n"),
+    "no column list": DUMP.replace(" (id, title) VALUES", " VALUES"),
+    "lower case": DUMP.replace("INSERT INTO", "insert into").replace("VALUES", "values"),
+    "many tuples": "INSERT INTO t VALUES (1, 'it''s; (a)'),\n (2, 'b\nINS')\n,(3,NULL);",
+    "another table": "INSERT INTO u (k) VALUES (9);\n" + DUMP + "INSERT INTO u (k) VALUES (8);\n",
+    "column order": DUMP.replace("(id, title)", "(title, id)").replace("(1, 'it''s; (a)')", "('it''s; (a)', 1)")
+    .replace("(2, 'b\nINS')", "('b\nINS', 2)").replace("(3, NULL)", "(NULL, 3)"),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_sql_dump_layouts(spark, tmp_path, layout):
+    (tmp_path / "t.sql").write_text(LAYOUTS[layout], newline="")
+    got = sql_dump.read_sql_dump(spark, str(tmp_path), T.StructType.fromDDL("id int, title string"), table="t")
+    assert rows(got) == [(1, "it's; (a)"), (2, "b\nINS"), (3, None)]
+
+
+def test_sql_dump_wrong_number_of_values(spark, tmp_path):
+    path = write(tmp_path / "t.sql", "INSERT INTO t (id, title) VALUES (1);\n")
+    with pytest.raises(Exception, match="number of values"):
+        sql_dump.read_sql_dump(spark, path, T.StructType.fromDDL("id int, title string")).collect()
+
+
+def test_sql_dump_nan_is_null(spark):
+    line = sql_dump.sql_dump_lines(spark.sql("select 1 as id, double('NaN') as x"), "t").first().line
+    assert line == "INSERT INTO t (id, x) VALUES (1, NULL);"
+
+
+def test_long_whole_numbers(spark, tmp_path):
+    text = "a,b,c\n1234567890123456789,12345678901234567890123,1234567890123456789\n1234567890123456788,7,\n"
+    df = csv.load_csv(spark, write(tmp_path / "ids.csv", text))
+    assert [k for _, k in df.dtypes] == ["bigint", "decimal(38,0)", "decimal(38,0)"]
+    assert {r.a for r in df.collect()} == {1234567890123456789, 1234567890123456788}
+    assert {int(r.b) for r in df.collect()} == {12345678901234567890123, 7}
+
+
+def test_csv_files_of_two_shapes_are_refused(spark, tmp_path):
+    paths = [write(tmp_path / "a.csv", "x,y\n1,2\n"), write(tmp_path / "b.csv", "y,x\n3,4\n")]
+    with pytest.raises(Exception, match="header"):
+        csv.load_csv(spark, paths)
+
+
+def test_results_are_read_by_name(spark, tmp_path):
+    folder = tmp_path / "p"
+    folder.mkdir()
+    write(folder / "a.csv", "Term,Subject,Course,Predicted_Enrollment\n202501,FIN,3010,2\n")
+    write(folder / "b.csv", "Predicted_Enrollment,Course,Subject,Term\n5,1010,ACC,202502\n")
+    got = results.read_predictions_csv(spark, str(folder)).select("term", "subj", "prediction")
+    assert rows(got) == [(202501, "FIN", 2.0), (202502, "ACC", 5.0)]
+    path = write(tmp_path / "p.json", '{"term": 202501, "subj": "FIN", "note": "x"}\n')
+    assert results.read_predictions_json(spark, path).first().note == "x"
