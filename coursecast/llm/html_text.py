@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursecast.llm.url_filter import host_of
+from coursecast.sources.scratch import settle
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
@@ -281,13 +282,13 @@ def main_text(pages: DataFrame, **counting) -> DataFrame:
     scripts, styles and reader comments by tag and by class, id or role. What is left of the article (of the
     page, if it has none) is its text: one line per block. Null and empty html give an empty text; pages
     without host are one site; repeated rows count once for the template and are returned each. Templates are
-    joined by host; Spark broadcasts them when small, and else splits a hot host's pages.
+    written and joined by host; Spark broadcasts them when small, and else splits a hot host's pages.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
     ).withColumn("host", host_of(F.col("url")))
-    template = template_subtrees(rows, **counting).withColumnRenamed("host", "_host")
+    template = settle(template_subtrees(rows, **counting), "templates").withColumnRenamed("host", "_host")
     rows = rows.join(template, rows.host == F.col("_host"), "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

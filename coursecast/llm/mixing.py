@@ -123,7 +123,7 @@ def pareto_mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "so
         "more", F.coalesce((F.col("need") > 0) & F.coalesce(F.col("cell") < F.col("edge_cell"), F.col("rank").isNotNull()), F.lit(False))
     )
     upto = F.sum("size").over(W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    close = rows.filter(at_edge).withColumn("upto", upto)
+    close = settle(rows.filter(at_edge), "mix-close").withColumn("upto", upto)  # so that the joins before split hot sources
     close = close.withColumn("more", F.col("upto") <= F.col("edge_need")).drop("upto")
     columns = ["doc_id", "source", "size", "source_size", "target", "sure", "rank", "more"]
     drawn = settle(easy.select(*columns).unionByName(close.select(*columns)), "mix-drawn")
@@ -139,7 +139,7 @@ def pareto_mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "so
     is_last = ~F.col("more") & F.struct("rank", "doc_id", "size").eqNullSafe(F.struct("last.rank", "last.doc_id", "last.size")) & F.col("last").isNotNull()
     final = final.withColumn("is_last", is_last)
     one = F.row_number().over(W.partitionBy("source").orderBy("rank")) == 1  # of repeated rows
-    chosen = final.filter("is_last").withColumn("copies", F.col("sure") + one.cast("long"))
+    chosen = settle(final.filter("is_last"), "mix-last").withColumn("copies", F.col("sure") + one.cast("long"))
     final = final.filter("not is_last").withColumn("copies", F.col("sure") + F.col("more").cast("long")).unionByName(chosen)
     return final.select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
@@ -149,14 +149,19 @@ def pareto_mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "so
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with the columns of ``docs``.
 
-    Documents without words are in no mix. ``doc_id`` must be unique, or its rows have the same size.
+    Documents without words are in no mix. Rows with the same ``doc_id`` and size share their copies evenly, the
+    first by the hash of their text getting what is left over.
     """
-    take = pareto_mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
-    take = take.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    columns = docs.columns
-    size = size_of(F.col(options.get("text_col", "text")).cast("string"))
-    rows = docs.withColumn("_size", size).join(take.withColumnRenamed("_size", "_taken"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_taken")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    take = pareto_mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_taken"))
+    take = take.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    text = F.col(options.get("text_col", "text")).cast("string")
+    rows = docs.withColumn("_size", size_of(text))
+    rows = rows.join(take, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_taken")))
+    place = F.row_number().over(W.partitionBy("_id", "_size").orderBy(F.xxhash64(text)))
+    alone = rows.filter("_rows = 1")
+    shared = rows.filter("_rows > 1").withColumn("_copies", F.floor(F.col("_copies") / F.col("_rows")) + (place <= F.col("_copies") % F.col("_rows")).cast("long"))
+    rows = alone.unionByName(shared.filter("_copies > 0"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 ORACLE = r"""
