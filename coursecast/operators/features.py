@@ -128,13 +128,19 @@ def scaling(encoded: DataFrame, values: Mapping[str, str]) -> dict[str, tuple[fl
 
 
 def fit_preprocessing(df: DataFrame, features: Sequence[str], unseen: str = "first") -> PipelineModel:
-    """Encoding, scaling of all columns, and the ``features`` vector, fitted on ``df``."""
+    """Encoding, scaling of all columns, and the ``features`` vector, fitted on ``df``.
+
+    A missing number counts as the mean of ``df``, so it is 0 when scaled.
+    """
     encoding = fit_encoding(df, features, unseen)
     codes = categorical(df, features)
     values = {c: f"{c}_code" if c in codes else _number_sql(df, c) for c in features}
     moments = scaling(encoding.transform(df), values)
     scaled = _select(
-        [f"({v} - {moments[c][0]!r}D) / {moments[c][1]!r}D as {c}_scaled" for c, v in values.items()]
+        [
+            f"coalesce(({v} - {moments[c][0] or 0.0!r}D) / {moments[c][1]!r}D, 0D) as {c}_scaled"
+            for c, v in values.items()
+        ]
     )
     vector = VectorAssembler(inputCols=[f"{c}_scaled" for c in features], outputCol="features")
     return PipelineModel([*encoding.stages, scaled, vector])

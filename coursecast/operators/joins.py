@@ -21,14 +21,14 @@ def join_keys(left: DataFrame, right: DataFrame) -> list[tuple[str, str]]:
 
 
 def _one_row_per_key(df: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """One whole row of the table per key: the largest by its other columns in their order, nulls least."""
     values = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__copies"), *[F.max(c).alias(c) for c in values]
-    )
+    row = F.max(F.struct(*values)) if values else F.lit(None).cast("struct<>")
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"), row.alias("__row"))
     if strict:
         unique = F.assert_true(F.col("__copies") == 1, F.lit(f"several rows for one key of {keys}"))
         grouped = grouped.filter(unique.isNull())
-    return grouped.drop("__copies")
+    return grouped.select(*keys, *[F.col("__row")[c].alias(c) for c in values])
 
 
 def temporal_join(
@@ -42,9 +42,9 @@ def temporal_join(
     """Left-join context tables on their time columns, in name order.
 
     Context columns become ``<table>_<column>``; tables without a common key are left out.
-    A context table is brought to one row per key first (largest value of each column), because
-    several would multiply the sections; ``strict`` makes them an error and ``fan_out`` keeps
-    them. The reduced table is written once, so the join is a broadcast while its files are
+    A context table is brought to one of its rows per key first (the largest), because several would
+    multiply the sections; ``strict`` makes them an error and ``fan_out`` keeps them: then each
+    section appears once for every context row of its key, so a term's rows multiply. The reduced table is written once, so the join is a broadcast while its files are
     small and a shuffle join with skew handling beyond that. ``null_safe`` matches null keys.
     """
     df = since_year(df, floor_year)

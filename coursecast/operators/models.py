@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,12 @@ from coursecast.schema import TARGET
 from coursecast.sources.scratch import settle
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)  # fixed values: ridge penalties tried
-# Candidate split points per feature. The default of 32 would lump course numbers together.
-MAX_BINS = 1024
+# Candidate split points per feature, at least. The default of 32 would lump course numbers together; more known
+# labels than this get a split point each.
+LEAST_BINS = 1024
 MAX_DEPTH = 30  # deepest tree Spark builds; stands in for "no limit"
 
-# The whole forest grid. Minimum split size has no Spark counterpart.
+# The whole forest grid, searched unless the caller names another, and a small one. Minimum split size has no Spark counterpart.
 FULL_FOREST = {"numTrees": (100, 200, 300), "maxDepth": (MAX_DEPTH, 10, 20), "minInstancesPerNode": (1, 2, 4)}
 SMALL_FOREST = {"numTrees": (100,), "maxDepth": (MAX_DEPTH, 10), "minInstancesPerNode": (1, 4)}
 
@@ -91,19 +93,20 @@ def ridge_errors(encoded: DataFrame, columns: Sequence[str], alphas: Sequence[fl
     return [float(np.mean([held_out_error(m, a) for m in moments])) for a in alphas]
 
 
-def _search_ridge(encoded, columns, grid, folds, parallelism):
+def _search_ridge(encoded, columns, grid, folds, parallelism, labels):
     alphas = list((grid or {"alpha": ALPHAS})["alpha"])
     errors = ridge_errors(encoded, columns, alphas) if len(alphas) > 1 else []
     best = alphas[int(np.argmin(errors))] if errors else alphas[0]
     return _fit_ridge(encoded, best), [{"alpha": a} for a in alphas], errors
 
 
-def _search_forest(encoded, columns, grid, folds, parallelism):
+def _search_forest(encoded, columns, grid, folds, parallelism, labels):
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol="label", featureSubsetStrategy="all", maxBins=MAX_BINS, seed=42
+        featuresCol="features", labelCol="label", featureSubsetStrategy="all",
+        maxBins=max(LEAST_BINS, labels + 1), seed=42,
     )
     builder = ParamGridBuilder()
-    for name, values in (grid or SMALL_FOREST).items():
+    for name, values in (grid or FULL_FOREST).items():
         builder = builder.addGrid(forest.getParam(name), list(dict.fromkeys(values)))
     points = builder.build()
     settings = [{p.name: v for p, v in point.items()} for point in points]
@@ -154,7 +157,8 @@ def fit(
         F.col(TARGET).cast("double").alias("label"),
         bucket([F.col(c) for c in fold_by], folds, seed="fold").alias("fold"),
     )
-    model, settings, errors = search(encoded, scaled, grid, folds, parallelism)
+    labels = max((len(x) for s in preprocessing.stages if isinstance(s, StringIndexerModel) for x in s.labelsArray), default=0)
+    model, settings, errors = search(encoded, scaled, grid, folds, parallelism, labels)
     best = int(np.argmin(errors)) if errors else 0
     info = {
         "kind": kind,

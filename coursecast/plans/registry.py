@@ -25,7 +25,7 @@ from coursecast.operators import profile as P
 from coursecast.operators import report as R
 from coursecast.plans import scoring, standin, training
 from coursecast.plans.oracle import FLOOR, bucket, coding, ridge, sql
-from coursecast.schema import REPORT_NAMES, TARGET
+from coursecast.schema import REPORT_NAMES, SECTION_SCHEMA, TARGET
 from coursecast.sources import catalog, csv, results, sql_dump
 from coursecast.sources.scratch import scratch_path
 from coursecast.streaming.drop_folder import load_new_files
@@ -323,7 +323,7 @@ def c5(spark, sf):
     return catalog.primary_table(catalog.table_roles(standin.catalog(spark, sf)))
 
 
-_C6 = {"term": "int", "term_desc": "string", "subj": "string", "crse": "int", "title": "string", "xl_act": "double"}
+_C6 = {f.name: f.dataType.simpleString() for f in SECTION_SCHEMA.fields} | {"crn": "bigint"}
 
 
 @query(
@@ -334,7 +334,7 @@ _C6 = {"term": "int", "term_desc": "string", "subj": "string", "crse": "int", "t
         from sections""" for c, t in _C6.items()), "sections"),
 )
 def c6(spark, sf):
-    return P.feature_profile(standin.sections(spark, sf).select(*_C6)).withColumns(_r6("pct_null"))
+    return P.feature_profile(standin.sections(spark, sf)).withColumns(_r6("pct_null"))
 
 
 @query(
@@ -557,8 +557,9 @@ def j1(spark, sf):
     sql(f"""select s.*, t.n_orders as by_term_n_orders, t.revenue as by_term_revenue,
         r.priority as repeated_priority, r.n_orders as repeated_n_orders, r.revenue as repeated_revenue
         from sections s left join term_context t on s.term = t.term
-        left join (select term, max(priority) as priority, max(n_orders) as n_orders, max(revenue) as revenue
-                   from repeated_context group by term) r on s.term = r.term
+        left join (select * from repeated_context qualify row_number() over (partition by term
+                   order by priority desc nulls last, n_orders desc nulls last, revenue desc nulls last) = 1) r
+          on s.term = r.term
         where s.term >= {FLOOR}""", "sections", "term_context", "repeated_context"),
 )
 def j2(spark, sf):
@@ -570,6 +571,33 @@ def j2(spark, sf):
     return J.temporal_join(standin.sections(spark, sf), context, FLOOR_YEAR)
 
 
+@query(
+    "j2_fan_out",
+    sql(f"""select s.*, r.priority as repeated_priority, r.n_orders as repeated_n_orders, r.revenue as repeated_revenue
+        from sections s left join repeated_context r on s.term = r.term where s.term >= {FLOOR}""",
+        "sections", "repeated_context"),
+)
+def j2_fan_out(spark, sf):
+    context = {"repeated": standin.repeated_context(spark, sf)}
+    return J.temporal_join(standin.sections(spark, sf), context, FLOOR_YEAR, fan_out=True)
+
+
+@query(
+    "j2_null_safe",
+    sql("""select s.* replace (case when crn % 50 = 0 then null else s.term end as term),
+        t.n_orders as by_term_n_orders, t.revenue as by_term_revenue from sections s
+        left join (select term, n_orders, revenue from term_context union all select null, 0, 0.0) t
+          on (case when crn % 50 = 0 then null else s.term end) is not distinct from t.term""",
+        "sections", "term_context"),
+)
+def j2_null_safe(spark, sf):
+    rows = standin.sections(spark, sf)
+    rows = rows.withColumn("term", F.when(F.col("crn") % 50 != 0, F.col("term")))
+    by_term = standin.term_context(spark, sf)
+    none = by_term.limit(1).select(*[F.lit(None if f.name == "term" else 0).cast(f.dataType).alias(f.name) for f in by_term.schema])
+    return J.temporal_join(rows, {"by_term": by_term.unionByName(none)}, None, null_safe=True)
+
+
 @query(
     "j2_temporal_join_year_semester",
     sql(f"""select f.term // 100 as year, f.term % 100 as semester, f.subj, f.crse, f.act_enrollment,
@@ -904,9 +932,12 @@ def w8(spark, sf):
     return A.distinct_courses(standin.sections(spark, sf))
 
 
-@query("w9_sample_rows")
+@query(
+    "w9_sample_rows",
+    sql("select * from sections order by term, crn, subj, crse, sec limit 3", "sections"),
+)
 def w9(spark, sf):
-    return csv.sample_rows(standin.sections(spark, sf))
+    return csv.sample_rows(standin.sections(spark, sf), by=["term", "crn", "subj", "crse", "sec"])
 
 
 # --- features and models ----------------------------------------------------------------------
@@ -978,10 +1009,61 @@ def m6(spark, sf):
     return M.search_report(spark, M.fit(standin.features(spark, sf), "linear")).withColumns(_r6("mse"))
 
 
-@query("m7_forest")
+_SEARCHED = {"numTrees": (20,), "maxDepth": (5, 10)}
+_VALIDATION = f"{bucket(100, 'term', 'subj', 'crse')} >= 80"
+
+
+def _forest(spark: SparkSession, sf: str) -> M.Fitted:
+    return M.fit(standin.features(spark, sf), "tree", grid=_SEARCHED)
+
+
+@query(
+    "m7_forest",
+    sql(f"""select subj, crse, count(*) as predictions_count, min(act_enrollment) as least, max(act_enrollment) as most,
+        true as in_range from features where {_VALIDATION} group by subj, crse""", "features"),
+)
 def m7(spark, sf):
+    """A searched forest: what does not depend on its random splits, and that no prediction leaves the labels' range."""
     data = standin.features(spark, sf)
-    return M.validation_accuracy(data, M.fit(data, "tree", grid={"numTrees": (20,), "maxDepth": (10,)}))
+    scored = M.predict(data.filter(~FT.in_training()), _forest(spark, sf))
+    label = data.filter(FT.in_training()).agg(F.min(TARGET).alias("low"), F.max(TARGET).alias("high")).first()
+    return scored.groupBy("subj", "crse").agg(
+        F.count("*").alias("predictions_count"), F.min(TARGET).alias("least"), F.max(TARGET).alias("most"),
+        F.bool_and(F.col("prediction").between(label.low, label.high)).alias("in_range"),
+    )
+
+
+_SPLITS = {
+    "candidates": " union all ".join(
+        f"select '{f}' as feature, {place} as place, {f}_scaled as x, act_enrollment as y from scaled_train"
+        for place, f in enumerate(("term", "subj", "crse", "credits"))
+    ),
+    "per_value": "select feature, place, x, count(*) as n, sum(y) as s from candidates group by all",
+    "cut": """select feature, place, x, sum(n) over w as n, sum(s) over w as s, lead(x) over (partition by feature order by x) as next,
+        sum(n) over (partition by feature) as all_n, sum(s) over (partition by feature) as all_s
+        from per_value window w as (partition by feature order by x rows unbounded preceding)""",
+    "best": """select feature, (x + next) / 2 as threshold, s / n as low, (all_s - s) / (all_n - n) as high from cut
+        where next is not null order by s * s / n + (all_s - s) * (all_s - s) / (all_n - n) desc, place, x limit 1""",
+}
+
+
+def _stump(spark: SparkSession, sf: str) -> M.Fitted:
+    grid = {"numTrees": (1,), "maxDepth": (1,), "bootstrap": (False,)}
+    return M.fit(standin.features(spark, sf), "tree", grid=grid)
+
+
+_SIDE = "case feature when 'term' then term_scaled when 'subj' then subj_scaled when 'crse' then crse_scaled else credits_scaled end"
+
+
+@query(
+    "m7_single_split",
+    sql(f"select term, subj, crse, round(case when {_SIDE} <= threshold then low else high end, 6) as prediction from scaled, best",
+        "features", **_CODING, **_SPLITS),
+)
+def m7_single_split(spark, sf):
+    """A forest of one tree with one split over all rows: the split that SQL finds too."""
+    scored = M.predict(standin.features(spark, sf), _stump(spark, sf))
+    return scored.select("term", "subj", "crse", F.round("prediction", 6).alias("prediction"))
 
 
 @query(
@@ -998,16 +1080,36 @@ def m8(spark, sf):
     return report.withColumns(_r6("mse", "rmse", "mae", "r2", "mape"))
 
 
-@query("m9_feature_importance")
+_NAMES = "(values ('term'), ('subj'), ('crse'), ('credits')) as t(feature)"
+
+
+@query(
+    "m9_feature_importance",
+    sql(f"select feature, true as sums_to_one, true as descending from {_NAMES}"),
+)
 def m9(spark, sf):
-    data = standin.features(spark, sf)
-    return M.feature_importance(spark, M.fit(data, "tree", grid={"numTrees": (20,), "maxDepth": (10,)}))
+    """A searched forest's importances: one per feature, together 1, strongest first."""
+    found = M.feature_importance(spark, _forest(spark, sf)).collect()
+    values = [r.importance for r in found]
+    one, order = abs(sum(values) - 1) < 1e-9, values == sorted(values, reverse=True)
+    return spark.createDataFrame([(r.feature, one, order) for r in found], "feature string, sums_to_one boolean, descending boolean")
+
+
+@query(
+    "m9_single_split",
+    sql(f"select t.feature, case when t.feature = best.feature then 1.0::double else 0.0::double end as importance from {_NAMES}, best",
+        "features", **_CODING, **_SPLITS),
+)
+def m9_single_split(spark, sf):
+    return M.feature_importance(spark, _stump(spark, sf))
 
 
-@query("w10_top_features")
+@query(
+    "w10_top_features",
+    sql("select feature, 1.0::double as importance from best", "features", **_CODING, **_SPLITS),
+)
 def w10(spark, sf):
-    data = standin.features(spark, sf)
-    return M.feature_importance(spark, M.fit(data, "tree", grid={"numTrees": (20,), "maxDepth": (10,)}), top=5)
+    return M.feature_importance(spark, _stump(spark, sf), top=1)
 
 
 _PREDICTED = "select term, subj, crse, act_enrollment, credits, prediction from predicted"
@@ -1051,11 +1153,12 @@ where term in (199840, 199910, 199940, 200010) and act > 10 group by term, subj,
 @query(
     "m13_train_on_terms",
     sql("""select ['intercept', 'term', 'subj', 'crse', 'credits'][i + 1] as feature, round(w, 6) as weight,
-        'enrollment_tree_min_linear_spring_1998_to_fall_2000' as model_name from weights where fold = -1""",
-        "sections", chosen=_CHOSEN, **coding("chosen", "chosen"), **ridge([1.0])),
+        'enrollment_tree_min_linear_spring_1998_to_fall_2000' as model_name from weights where fold = -1
+          and alpha = (select alpha from fold_mse group by alpha order by avg(mse) limit 1)""",
+        "sections", chosen=_CHOSEN, **coding("chosen", "chosen"), **ridge([0.1, 1.0, 10.0, 100.0, 1000.0])),
 )
 def m13(spark, sf):
-    fitted = training.train(spark, standin.sections(spark, sf), _TERMS, "linear", grid={"alpha": (1.0,)})
+    fitted = training.train(spark, standin.sections(spark, sf), _TERMS, "linear")
     weights = M.coefficients(spark, fitted).withColumns(_r6("weight"))
     return weights.withColumn("model_name", F.lit(fitted.info["name"]))
 

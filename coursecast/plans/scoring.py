@@ -25,11 +25,13 @@ def score(rows: DataFrame, fitted: Fitted) -> DataFrame:
 def score_rows(rows: DataFrame, fitted: Fitted) -> DataFrame:
     """Every input row with the prediction of its course and term, numbered by ``index``.
 
+    A row whose key is incomplete has no course and term; it stays, without a prediction.
+
     Predictions are matched by key. The aggregation reorders rows, so a match by position would
     give courses the numbers of others. The rows are written first, so a query runs once.
     """
     rows = settle(normalize_input(rows), "rows")
-    scored = attach_predictions(rows, score(rows, fitted)).filter("prediction is not null")
+    scored = attach_predictions(rows, score(rows, fitted))
     keys = [*time_keys(key_columns(rows.columns)), "subj", "crse"]
     tail = [c for c in scored.columns if c not in keys and c != "prediction"]
     return nan_to_null(with_position(scored, [*keys, *tail], "index"))

@@ -139,8 +139,9 @@ def save_table(df: DataFrame, target: str, partition_by: str | None = "term") ->
         writer.saveAsTable(target)
 
 
-def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
-    return df.limit(n)
+def sample_rows(df: DataFrame, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """A few rows: any, or the first ``by`` some columns."""
+    return df.orderBy(*by).limit(n) if by else df.limit(n)
 
 
 def csv_paths(spark: SparkSession, folder: str) -> list[str]:

@@ -1,7 +1,7 @@
 """Figures of the published section data and accuracy runs.
 
-The files are not part of this repository. Set COURSECAST_SECTION_DUMP to the SQL dump and
-COURSECAST_ACCURACY_RUNS to the folder of accuracy CSVs to run these.
+The files are not part of this repository. COURSECAST_SECTION_DUMP names the SQL dump and COURSECAST_ACCURACY_RUNS the
+folder of accuracy CSVs; without them a folder beside the repository is searched.
 """
 
 from __future__ import annotations
@@ -20,10 +20,20 @@ from coursecast.schema import SECTION_SCHEMA
 from coursecast.sources import results, sql_dump
 from tests.conftest import rows
 
-DUMP = os.environ.get("COURSECAST_SECTION_DUMP")
-RUNS = os.environ.get("COURSECAST_ACCURACY_RUNS")
-needs_dump = pytest.mark.skipif(not DUMP, reason="COURSECAST_SECTION_DUMP is not set")
-needs_runs = pytest.mark.skipif(not RUNS, reason="COURSECAST_ACCURACY_RUNS is not set")
+
+
+def _beside(pattern: str) -> str | None:
+    """The first file of a name pattern below the folders beside the repository's."""
+    here = Path(__file__).resolve().parents[1]
+    folders = [p for p in sorted(here.parent.iterdir()) if p.is_dir() and not p.is_symlink() and p != here and not p.name.startswith(".")]
+    return next((str(f) for p in folders for f in sorted(p.glob(pattern))), None)
+
+
+DUMP = os.environ.get("COURSECAST_SECTION_DUMP") or _beside("*/data/sql/*section*.sql")
+_RUN = _beside("*/*/*/per_course_accuracy_tree_*.csv")
+RUNS = os.environ.get("COURSECAST_ACCURACY_RUNS") or (_RUN and str(Path(_RUN).parent))
+needs_dump = pytest.mark.skipif(not DUMP, reason="no section dump on this machine")
+needs_runs = pytest.mark.skipif(not RUNS, reason="no accuracy runs on this machine")
 
 
 @pytest.fixture(scope="module")
