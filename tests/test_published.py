@@ -30,7 +30,7 @@ def _beside(pattern: str) -> str | None:
 
 
 DUMP = os.environ.get("COURSECAST_SECTION_DUMP") or _beside("*/data/sql/*section*.sql")
-_RUN = _beside("*/*/*/per_course_accuracy_tree_*.csv")
+_RUN = _beside("*/*/*/*/per_course_accuracy_tree_*.csv")
 RUNS = os.environ.get("COURSECAST_ACCURACY_RUNS") or (_RUN and str(Path(_RUN).parent))
 needs_dump = pytest.mark.skipif(not DUMP, reason="no section dump on this machine")
 needs_runs = pytest.mark.skipif(not RUNS, reason="no accuracy runs on this machine")
