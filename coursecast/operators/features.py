@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursecast.functions.courses import bucket, course_number_sql
-from coursecast.functions.names import key_columns
+from coursecast.functions.names import key_columns, time_keys
 from coursecast.operators.profile import ID_WORDS, text_cardinality
 from coursecast.schema import TARGET
 
@@ -25,12 +25,24 @@ KEY = ("term", "subj", "crse")
 NUMBER_LIKE = (T.NumericType, T.BooleanType, T.DatetimeType)
 
 
+def row_key(df: DataFrame) -> list[str]:
+    """The columns that name a row of a feature table: its time, subject and course, by role."""
+    roles = key_columns(df.columns)
+    return [*time_keys(roles), *[roles[r] for r in ("subj", "crse") if roles[r]]]
+
+
+def _wanted(df: DataFrame) -> list[str]:
+    """Columns of ``WANTED`` by role, the others by name."""
+    roles = key_columns(df.columns)
+    names = {c.lower(): c for c in df.columns}
+    return [c for c in ((roles[w] if w in KEY else names.get(w)) for w in WANTED) if c]
+
+
 def min_features(df: DataFrame) -> list[str]:
     """Term (or semester) first, then subject, course and credits as far as they exist."""
     roles = key_columns(df.columns)
-    names = {c.lower(): c for c in df.columns}
     first = [c for c in (roles["term"] or roles["semester"],) if c]
-    return list(dict.fromkeys(first + [names[w] for w in WANTED if w in names]))
+    return list(dict.fromkeys(first + _wanted(df)))
 
 
 def rich_features(df: DataFrame, id_words: Sequence[str] = ID_WORDS) -> list[str]:
@@ -39,8 +51,7 @@ def rich_features(df: DataFrame, id_words: Sequence[str] = ID_WORDS) -> list[str
     Flags, dates and timestamps count as numbers.
     """
     roles = key_columns(df.columns)
-    names = {c.lower(): c for c in df.columns}
-    chosen = [names[w] for w in WANTED if w in names and names[w] != roles["enrollment"]]
+    chosen = [c for c in _wanted(df) if c != roles["enrollment"]]
     skipped = {*chosen, TARGET, roles["enrollment"]}
     rest = [
         f for f in df.schema.fields
@@ -71,10 +82,9 @@ def split(df: DataFrame, percent: int = 80, key: Sequence[str] = KEY) -> tuple[D
 
 
 def categorical(df: DataFrame, features: Sequence[str]) -> list[str]:
-    return [
-        c for c in features
-        if c in CATEGORIES or isinstance(df.schema[c].dataType, T.StringType)
-    ]
+    roles = key_columns(df.columns)
+    always = {*CATEGORIES, roles["subj"], roles["crse"]}
+    return [c for c in features if c in always or isinstance(df.schema[c].dataType, T.StringType)]
 
 
 def _select(columns: Sequence[str]) -> SQLTransformer:
@@ -90,8 +100,9 @@ def fit_encoding(df: DataFrame, features: Sequence[str], unseen: str = "first")
     columns = categorical(df, features)
     if not columns:
         return PipelineModel([])
+    course = key_columns(df.columns)["crse"]
     texts = _select(
-        [f"coalesce({course_number_sql(c) if c == 'crse' else f'cast({c} as string)'}, 'None') as {c}_text" for c in columns]
+        [f"coalesce({course_number_sql(c) if c == course else f'cast({c} as string)'}, 'None') as {c}_text" for c in columns]
     )
     indexer = StringIndexer(
         inputCols=[f"{c}_text" for c in columns],

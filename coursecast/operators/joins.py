@@ -83,7 +83,9 @@ def attach_predictions(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     Predictions are written once: small files are broadcast and the rows stay where they are;
     larger ones are joined by shuffle, where adaptive execution splits a hot course.
     """
-    keys = time_keys(key_columns(predictions.columns)) + ["subj", "crse"]
+    roles = key_columns(predictions.columns)
+    section = [c for c in predictions.columns if c.lower() == "sec" and c.lower() in map(str.lower, rows.columns)]
+    keys = [*time_keys(roles), roles["subj"], roles["crse"], *section]
     return rows.join(settle(predictions.select(*keys, "prediction"), "predictions"), keys, "left")
 
 

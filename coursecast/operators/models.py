@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursecast.functions.courses import bucket
+from coursecast.functions.names import key_columns
 from coursecast.operators.accuracy import course_accuracy, regression_metrics
-from coursecast.operators.features import KEY, fit_preprocessing, in_training, select_features
+from coursecast.operators.features import fit_preprocessing, in_training, row_key, select_features
 from coursecast.schema import TARGET
 from coursecast.sources.scratch import settle
 
@@ -133,13 +134,13 @@ def fit(
     schema: str = "min",
     grid: Mapping[str, Sequence] | None = None,
     unseen: str = "first",
-    fold_by: Sequence[str] = KEY,
+    fold_by: Sequence[str] | None = None,
     folds: int | None = None,
     parallelism: int = 4,
 ) -> Fitted:
     """Train on the training part of a feature table and pick the grid point by squared error.
 
-    ``fold_by=("subj", "crse")`` keeps a course within one fold. The training rows are written
+    Key columns are found by role, whatever their names. ``fold_by=("subj", "crse")`` keeps a course within one fold. The training rows are written
     once, since encoding, scaling and the search each read them: the sections behind them are
     scanned a single time, also when executors are lost on the way.
     """
@@ -148,14 +149,15 @@ def fit(
     search, default_folds = KINDS[kind]
     folds = folds or default_folds
     features = select_features(data, schema)
-    train = settle(data.filter(in_training()), "training")
+    key = row_key(data)
+    train = settle(data.filter(in_training(key=key)), "training")
     preprocessing = fit_preprocessing(train, features, unseen)
     scaled = [f"{c}_scaled" for c in features]
     encoded = preprocessing.transform(train).select(
         "features",
         *scaled,
         F.col(TARGET).cast("double").alias("label"),
-        bucket([F.col(c) for c in fold_by], folds, seed="fold").alias("fold"),
+        bucket([F.col(c) for c in fold_by or key], folds, seed="fold").alias("fold"),
     )
     labels = max((len(x) for s in preprocessing.stages if isinstance(s, StringIndexerModel) for x in s.labelsArray), default=0)
     model, settings, errors = search(encoded, scaled, grid, folds, parallelism, labels)
@@ -164,6 +166,7 @@ def fit(
         "kind": kind,
         "schema": schema,
         "features": features,
+        "key": key,
         "unseen": unseen,
         "best_params": settings[best],
         "cv_mse": [{**s, "mse": float(e)} for s, e in zip(settings, errors)],
@@ -181,7 +184,7 @@ def predict(data: DataFrame, fitted: Fitted) -> DataFrame:
 
 def fit_report(data: DataFrame, fitted: Fitted) -> DataFrame:
     """Metrics of the training and validation parts, one row each."""
-    part = F.when(in_training(), "train").otherwise("validation")
+    part = F.when(in_training(key=row_key(data)), "train").otherwise("validation")
     scored = predict(data, fitted).select(
         part.alias("part"), F.col(TARGET).alias("actual"), "prediction"
     )
@@ -199,7 +202,9 @@ def search_report(spark: SparkSession, fitted: Fitted) -> DataFrame:
 
 def validation_accuracy(data: DataFrame, fitted: Fitted) -> DataFrame:
     """Accuracy per course on the validation part."""
-    scored = predict(data.filter(~in_training()), fitted)
+    scored = predict(data.filter(~in_training(key=row_key(data))), fitted)
+    roles = key_columns(data.columns)
+    scored = scored.withColumnsRenamed({roles[r]: r for r in ("subj", "crse")})
     return course_accuracy(scored, actual=TARGET)
 
 

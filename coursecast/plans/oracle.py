@@ -120,7 +120,10 @@ def bucket(n: int, *columns: str, seed: str = "") -> str:
 _FEATURES = {"term": "term", "subj": "subj_code", "crse": "crse_code", "credits": "credits"}
 
 
-def coding(base: str, apply_to: str) -> dict[str, str]:
+KEY = ("term", "subj", "crse")
+
+
+def coding(base: str, apply_to: str, key: tuple[str, ...] = KEY) -> dict[str, str]:
     """CTEs that encode and scale ``apply_to`` by the training part of ``base``: train .. scaled."""
     codes = (
         "row_number() over (order by cast({c} as varchar)) - 1 as code from (select distinct {c} from train)"
@@ -133,7 +136,7 @@ def coding(base: str, apply_to: str) -> dict[str, str]:
         f"(d.{v} - m.m_{c}) / coalesce(nullif(m.s_{c}, 0), 1) as {c}_scaled" for c, v in _FEATURES.items()
     )
     return {
-        "train": f"select * from {base} where {bucket(100, 'term', 'subj', 'crse')} < 80",
+        "train": f"select * from {base} where {bucket(100, *key)} < 80",
         "subjects": f"select subj, {codes.format(c='subj')}",
         "numbers": f"select crse, {codes.format(c='crse')}",
         "coded_train": coded.format(t="train"),
@@ -143,7 +146,7 @@ def coding(base: str, apply_to: str) -> dict[str, str]:
     }
 
 
-def ridge(alphas: list[float]) -> dict[str, str]:
+def ridge(alphas: list[float], key: tuple[str, ...] = KEY) -> dict[str, str]:
     """CTEs that solve ridge regression on scaled_train for each penalty, in and out of 5 folds.
 
     Column 0 is the intercept, 1 to 4 the features, 5 the label; fold -1 stands for all rows.
@@ -151,7 +154,7 @@ def ridge(alphas: list[float]) -> dict[str, str]:
     """
     names = list(_FEATURES)
     cells = ", ".join(["1.0", *[f"{c}_scaled" for c in names], "act_enrollment"])
-    fold = bucket(5, "term", "subj", "crse", seed="fold")
+    fold = bucket(5, *key, seed="fold")
     ctes = {
         "wide": f"select row_number() over () as rid, {fold} as fold, [{cells}]::double[] as v from scaled_train",
         "cells": "select rid, fold, unnest(range(6)) as i, unnest(v) as v from wide",

@@ -1131,6 +1131,25 @@ def m11(spark, sf):
     return scoring.score(standin.sections(spark, sf), _ridge(spark, sf)).withColumns(_r6("prediction"))
 
 
+_YS = ("year", "semester", "subject_subj", "course")
+_YS_SQL = """select *, term // 100 as year, term as semester, subj as subject_subj, crse as course from {t}"""
+
+
+@query(
+    "m11_score_year_semester",
+    sql("select year, semester, subj as \"Subject_Subj\", crse as \"Course\", prediction from predicted",
+        "features", ys=_YS_SQL.format(t="features"), ys_all=_YS_SQL.format(t="all_features"),
+        **coding("ys", "ys_all", _YS), **ridge([1.0], _YS)),
+)
+def m11_year_semester(spark, sf):
+    """Tables with year and semester, and other names for subject and course, from training to scores."""
+    rows = standin.sections(spark, sf).withColumnsRenamed({"subj": "Subject_Subj", "crse": "Course"})
+    rows = rows.select(TM.term_year(F.col("term")).alias("year"), F.col("term").alias("semester"), "Subject_Subj", "Course", "act", "credits")
+    fitted = M.fit(A.course_term(rows.filter(F.col("semester") >= FLOOR)), "linear", grid={"alpha": (1.0,)})
+    out = scoring.score(rows, fitted).select("year", "semester", "Subject_Subj", "Course", "prediction")
+    return out.withColumns(_r6("prediction"))
+
+
 @query(
     "m12_score_query",
     sql("select term, subj, crse, act, credits, prediction, "

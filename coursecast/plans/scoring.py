@@ -10,19 +10,34 @@ from pyspark.sql import functions as F
 from coursecast.functions.names import key_columns, time_keys
 from coursecast.operators.aggregates import course_term
 from coursecast.operators.filters import nan_to_null, normalize_input, subject_sections
-from coursecast.operators.joins import attach_predictions, compare_actual, with_credits
+from coursecast.operators.joins import attach_predictions, compare_actual, temporal_join, with_credits
 from coursecast.operators.models import Fitted, predict
 from coursecast.operators.order import with_position
 from coursecast.sources.catalog import run_query
 from coursecast.sources.scratch import settle
 
 
-def score(rows: DataFrame, fitted: Fitted) -> DataFrame:
-    """(term, subj, crse, prediction, features) of raw rows, one per course and term."""
-    return predict(course_term(normalize_input(rows)), fitted)
+def score(rows: DataFrame, fitted: Fitted, context: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """(keys, features, prediction) of raw rows, one per course and term, or per section.
 
-
-def score_rows(rows: DataFrame, fitted: Fitted) -> DataFrame:
+    The feature table is built as the model's was: of section grain if a section is a feature, with the columns
+    of ``context`` tables, and with those that the rows carry themselves. Names match in any case.
+    """
+    rows = normalize_input(rows)
+    asked = [c for c in (*fitted.info.get("key", ()), *fitted.features)]
+    features = {c.lower() for c in fitted.features}
+    grain = "section" if "sec" in features else "course"
+    table = course_term(rows, grain)
+    carry = [c for c in rows.columns if c in features - {c.lower() for c in table.columns}]
+    if carry:
+        table = course_term(rows, grain, carry)
+    if context:
+        table = temporal_join(table, context, None)
+    names = {c.lower(): c for c in asked}
+    return predict(table.withColumnsRenamed({c: names[c.lower()] for c in table.columns if c.lower() in names}), fitted)
+
+
+def score_rows(rows: DataFrame, fitted: Fitted, context: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Every input row with the prediction of its course and term, numbered by ``index``.
 
     A row whose key is incomplete has no course and term; it stays, without a prediction.
@@ -31,8 +46,9 @@ def score_rows(rows: DataFrame, fitted: Fitted) -> DataFrame:
     give courses the numbers of others. The rows are written first, so a query runs once.
     """
     rows = settle(normalize_input(rows), "rows")
-    scored = attach_predictions(rows, score(rows, fitted))
-    keys = [*time_keys(key_columns(rows.columns)), "subj", "crse"]
+    scored = attach_predictions(rows, score(rows, fitted, context))
+    roles = key_columns(rows.columns)
+    keys = [*time_keys(roles), roles["subj"], roles["crse"]]
     tail = [c for c in scored.columns if c not in keys and c != "prediction"]
     return nan_to_null(with_position(scored, [*keys, *tail], "index"))
 

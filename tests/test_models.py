@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coursecast.operators import features, models
+from coursecast.operators import aggregates, features, models
 from coursecast.plans import scoring, standin, training
 from coursecast.schema import TARGET
 from coursecast.sources.scratch import settle
@@ -189,3 +189,30 @@ def test_train_saves_under_its_name(spark, sections, tmp_path):
     loaded = models.load_model(spark, str(tmp_path / fitted.info["name"]))
     assert loaded.info["terms"] == [199910, 199940]
     assert training.model_name([202230, 202140], "tree", "rich") == "enrollment_tree_rich_tree_spring_2021_to_term30_2022"
+
+
+def test_score_rebuilds_context_and_grain(spark, sections):
+    some = sections.filter("term < 199600")
+    context = {"c": some.groupBy("term").agg(F.count("*").cast("double").alias("size"))}
+    rich = models.fit(training.features_with_context(some, context, None), "linear", "rich", grid={"alpha": (1.0,)})
+    assert "c_size" in rich.features
+    scored = scoring.score(some, rich, context)
+    assert scored.filter("prediction is null").count() == 0 and scored.count() > 0
+    grain = models.fit(aggregates.course_term(some, "section"), "linear", grid={"alpha": (1.0,)})
+    assert "sec" in grain.features
+    assert scoring.score(some, grain).count() == some.count()
+
+
+def test_missing_features_are_the_mean(spark, sections, tmp_path):
+    data = aggregates.course_term(sections)
+    fitted = models.fit(data, "linear", grid={"alpha": (1.0,)})
+    holes = data.withColumn("credits", F.when(F.col("crse") % 2 == 0, F.col("credits")))
+    models.predict(holes, fitted).write.parquet(str(tmp_path / "scored"))
+    assert spark.read.parquet(str(tmp_path / "scored")).filter("prediction is null").count() == 0
+
+
+def test_rows_without_a_key_stay(spark, sections):
+    fitted = models.fit(aggregates.course_term(sections), "linear", grid={"alpha": (1.0,)})
+    rows = sections.limit(5).unionByName(sections.limit(1).withColumn("subj", F.lit(None).cast("string")))
+    scored = scoring.score_rows(rows, fitted)
+    assert scored.count() == 6 and scored.filter("prediction is null").count() == 1
