@@ -24,7 +24,8 @@ HEADLINE = [
     "a6_history_by_year", "a7_title_conflicts", "a8_duplicate_crns", "a9_verdict",
     "a10_course_accuracy", "a12_mape_summary", "a13_trimmed_mape", "a14_mape_histogram",
     "w1_accuracy_rank", "w5_forecast_table", "w6_history_pivot",
-    "m4_label_encode", "m6_ridge_search", "m12_score_query", "x1_course_mean", "x9_lagged_totals",
+    "m4_label_encode", "m6_ridge_search", "m7_forest", "m9_feature_importance", "m12_score_query", "m13_train_on_terms",
+    "w10_top_features", "x1_course_mean", "x9_lagged_totals",
 ]
 
 
