@@ -95,8 +95,9 @@ class _Model:
         f1 *= ~same
         self.f12 = self.f2 + f1
 
-    def learn(self, k: int, ids: np.ndarray, hits: np.ndarray, right: np.ndarray) -> None:
-        self.mix[self.at] = self.chance + ((hits * np.int32(65535) - self.chance) >> 5)
+    def learn(self, k: int, t: int, ids: np.ndarray, hits: np.ndarray, right: np.ndarray) -> None:
+        if t & 1:  # every other step is enough for the slow mix
+            self.mix[self.at] = self.chance + ((hits * np.int32(65535) - self.chance) >> 4)
         trust = self.trust
         miss = np.where(trust >= 2, self.entry - trust + (trust >> 1), ids * 8 + 1)
         self.table[self.slot] = np.where(right, self.entry + (trust < 7), miss)
@@ -210,7 +211,7 @@ def encode(ids: np.ndarray) -> bytes:
         begin[other] += part * first
         size[other] = part * many
         writer.put(k, begin, size)
-        model.learn(k, now, hits, right)
+        model.learn(k, t, now, hits, right)
     words = writer.finish()
     index = b"".join(
         struct.pack("<II", len(w) // 2, zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].tobytes())) for b, w in enumerate(words)
@@ -263,7 +264,7 @@ def decode(buffer: bytes) -> np.ndarray:
         size[other] = part * many
         reader.take(k, begin, size)
         steps[t, :k] = now
-        model.learn(k, now, hits, model.guess == now)
+        model.learn(k, t, now, hits, model.guess == now)
     ids = np.ascontiguousarray(steps.T).ravel()[:n_ids].astype("<u2")
     for b in range(n_blocks):
         if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].tobytes()) != index[b, 1]:

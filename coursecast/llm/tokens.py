@@ -7,7 +7,7 @@ import os
 import re
 import struct
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import numpy as np
@@ -21,7 +21,7 @@ from coursecast.llm.range_coder import decode, encode
 from coursecast.sources.scratch import scratch_path
 
 SEGMENT_IDS = 8 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 #: How byte-level tokenizers cut texts into words (their fixed pattern), for letters and numbers up to U+00FF.
@@ -38,6 +38,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Words(dict):
+    """Ids by word. A word not met lately is made anew; those in use outlive each change of generation."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self.make(word)
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class TextEncoder:
     """Ids of whole texts exactly as the tokenizers library gives them, as little-endian 16-bit numbers.
 
@@ -64,7 +81,7 @@ class TextEncoder:
         self.special = [t["content"] for t in setting.get("added_tokens", [])]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
+        self.words = _Words(self._word)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():  # only the space is written otherwise
@@ -86,15 +103,7 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         if self._whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        words = WORD.findall(text)
-        missing = set(words).difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache.clear()
-                missing = set(words)
-            for word in missing:
-                self.cache[word] = self._word(word)
-        return b"".join(map(self.cache.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
 
 
 def worker_encoder(path: str) -> TextEncoder:
