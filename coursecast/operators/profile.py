@@ -16,8 +16,27 @@ from coursecast.sources.scratch import settle
 ID_WORDS = ("id", "guid", "uuid")  # fixed values: parts of a name that mark an id column
 
 
+def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, n_distinct) of some columns.
+
+    Narrow rows of a column's number and a value are made distinct, so that no row carries slots for the
+    other columns, and equal values are merged before the shuffle.
+    """
+    cells = [F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)]
+    narrow = df.select(F.inline(F.array(*cells))).filter("value is not null").distinct()
+    counts = narrow.groupBy("place").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(names[F.col("place")].alias("column_name"), "n_distinct")
+
+
+def _with_distinct(stats: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column joined with its distinct count, 0 where all values are missing."""
+    counts = _distinct_counts(df, columns)
+    return stats.join(counts, "column_name", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint")))
+
+
 def feature_profile(df: DataFrame) -> DataFrame:
-    """(column_name, data_type, n_null, pct_null, n_distinct) in one pass over the table."""
+    """(column_name, data_type, n_null, pct_null, n_distinct): a pass for nulls and one for distinct values."""
     rows = F.count(F.lit(1))
     cells = []
     for field in df.schema.fields:
@@ -28,10 +47,10 @@ def feature_profile(df: DataFrame) -> DataFrame:
                 F.lit(field.dataType.simpleString()).alias("data_type"),
                 missing.alias("n_null"),
                 F.try_divide(missing * 100.0, rows).alias("pct_null"),
-                F.count_distinct(F.col(field.name)).alias("n_distinct"),
             )
         )
-    return df.agg(F.array(*cells).alias("columns")).select(F.inline("columns"))
+    stats = df.agg(F.array(*cells).alias("columns")).select(F.inline("columns"))
+    return _with_distinct(stats, df, df.columns)
 
 
 def sample_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
@@ -99,17 +118,10 @@ def text_cardinality(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     texts = [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in exclude
     ]
-    allowed = F.least(F.lit(100.0), F.count(F.lit(1)) * 0.1)
-    cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.count_distinct(F.col(c)).alias("n_distinct"),
-            allowed.alias("most_allowed"),
-            (F.count_distinct(F.col(c)) <= allowed).alias("kept"),
-        )
-        for c in texts
-    ]
-    if not cells:
+    if not texts:
         empty = "column_name string, n_distinct bigint, most_allowed double, kept boolean"
         return df.sparkSession.createDataFrame([], empty)
-    return df.agg(F.array(*cells).alias("columns")).select(F.inline("columns"))
+    allowed = F.least(F.lit(100.0), F.count(F.lit(1)) * 0.1).alias("most_allowed")
+    stats = df.agg(allowed).select(F.explode(F.array(*[F.lit(c) for c in texts])).alias("column_name"), "most_allowed")
+    found = _with_distinct(stats, df, texts).select("column_name", "n_distinct", "most_allowed")
+    return found.withColumn("kept", F.col("n_distinct") <= F.col("most_allowed"))

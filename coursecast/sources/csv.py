@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
@@ -15,6 +16,7 @@ from coursecast.functions.numbers import is_long_whole, is_number, is_whole
 from coursecast.schema import CSV_NULLS
 
 SHORT_TEXT = 255
+LOADS_AT_ONCE = 8
 DOUBLE_DIGITS = 15
 
 SPARK_TYPES = {
@@ -161,12 +163,15 @@ def load_csv_dir(spark: SparkSession, folder: str, out: str, multiline: bool = F
 
     Returns (table_name, loaded, error); one file that fails does not stop the others.
     """
-    outcome = []
-    for path in csv_paths(spark, folder):
+
+    def load(path: str) -> Row:
         name = table_name(path)
         try:
             save_table(load_csv(spark, path, multiline=multiline), f"{out}/{name}")
-            outcome.append(Row(table_name=name, loaded=True, error=None))
+            return Row(table_name=name, loaded=True, error=None)
         except Exception as error:  # reported in the result row
-            outcome.append(Row(table_name=name, loaded=False, error=str(error)))
+            return Row(table_name=name, loaded=False, error=str(error))
+
+    with ThreadPoolExecutor(LOADS_AT_ONCE) as pool:  # small files leave most of a cluster idle one by one
+        outcome = list(pool.map(load, csv_paths(spark, folder)))
     return spark.createDataFrame(outcome, "table_name string, loaded boolean, error string")

@@ -51,18 +51,22 @@ def load_new_files(
 ) -> StreamingQuery:
     """Append the files not loaded before to a parquet table and stop.
 
-    The file source remembers each file it has read and the file sink commits whole batches, so
-    a file is loaded once even when a run is cut off and started again.
+    The file source remembers each file it has read. A batch is stored under ``batch=<number>``, which a
+    repeated batch replaces, so a file is loaded once even when a run is cut off and started again. Rows are
+    brought together by ``partition_by`` first: a few files per value and batch, not one per task.
     """
-    writer = (
+
+    def store(batch: DataFrame, number: int) -> None:
+        rows = batch.hint("rebalance", partition_by) if partition_by else batch
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{out}/batch={number}")
+
+    query = (
         read_drop_folder(spark, folder, schema)
-        .writeStream.format("parquet")
-        .option("path", out)
+        .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
+        .start()
     )
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    query = writer.start()
     query.awaitTermination(timeout)
     return query
