@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursecast.llm.bits import bit_table, in_table
 from coursecast.llm.textops import LOWER, SPACE, Chunk, chunks, mix, split_words, whole_windows, windows
 
 WINDOW = 5
 MIN_LITERALS = 2
-FILTER_BITS = 22
 
 # Fixed word lists of the placeholders.
 NUMBER_WORDS = (
@@ -117,7 +117,7 @@ def _window_rows(rows: DataFrame, key: str, known: np.ndarray | None) -> DataFra
             for c in chunks(batch.column(2), space=BETWEEN):
                 text, pos, h, values = template_windows(c)
                 if shared is not None:
-                    use = shared.value[h >> np.uint64(64 - FILTER_BITS)]
+                    use = in_table(shared.value, h)
                     text, pos, h, values = text[use], pos[use], h[use], values[use]
                 if not len(h):
                     continue
@@ -152,10 +152,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = 0.5, t
     """
     items = _keyed(benchmark, "item_id", text_col).distinct()
     bench = _window_rows(items, "item_id", None)
-    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    known = np.zeros(1 << FILTER_BITS, bool)
-    known[[r[0] for r in bench.select(bit).distinct().collect()]] = True  # at most 2**FILTER_BITS numbers
-    found = _window_rows(_keyed(docs, "doc_id", text_col), "doc_id", known).distinct()
+    found = _window_rows(_keyed(docs, "doc_id", text_col), "doc_id", bit_table(bench, "h")).distinct()
     item = bench.select("item_id", F.col("uid").alias("item_uid"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)
     joined = found.join(item, "h").withColumn("pairs", pairs)

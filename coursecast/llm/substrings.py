@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursecast.llm.bits import bit_table, in_table
 from coursecast.llm.textops import Chunk, chunks, split_words, whole_windows, windows
 from coursecast.sources.scratch import settle
 
@@ -18,7 +19,6 @@ LENGTH = 50  # words of a repeated passage, at least
 GRAM = 8  # words of an anchor
 HOT_PASSAGES = 20_000
 SHARD_WORDS = 400_000
-FILTER_BITS = 22
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -193,16 +193,12 @@ def _marked(docs: DataFrame, rows: DataFrame) -> DataFrame:
     The marks are a bit table of fixed size. Few rows leave most texts out of the shuffle behind it; many
     rows fill the table, and then all texts go there.
     """
-    bit = F.shiftrightunsigned(F.col("row"), 64 - FILTER_BITS)
-    table = np.zeros(1 << FILTER_BITS, bool)
-    table[[r[0] for r in rows.select(bit).distinct().collect()]] = True  # at most 2**FILTER_BITS numbers
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(rows, "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            at = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known[at.astype(np.int64)])], [*batch.schema.names, "marked"])
+            marked = in_table(shared.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marked)], [*batch.schema.names, "marked"])
 
     return docs.mapInArrow(run, "doc_id long, row long, text string, marked boolean")
 
