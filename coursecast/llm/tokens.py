@@ -41,14 +41,14 @@ def _byte_letters() -> dict[int, str]:
 class _Words(dict):
     """Ids by word. A word not met lately is made anew; those in use outlive each change of generation."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.pop(word, None)
         if ids is None:
             ids = self.make(word)
-        if len(self) >= CACHE_WORDS // 2:
+        if len(self) >= self.most // 2:
             self.old = dict(self)
             self.clear()
         self[word] = ids
@@ -63,7 +63,7 @@ class TextEncoder:
     space or characters beyond U+00FF, and all texts of other tokenizers, go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -81,7 +81,7 @@ class TextEncoder:
         self.special = [t["content"] for t in setting.get("added_tokens", [])]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words = _Words(self._word)
+        self.words = _Words(self._word, cache_words)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():  # only the space is written otherwise
@@ -106,20 +106,21 @@ class TextEncoder:
         return b"".join(map(self.words.__getitem__, WORD.findall(text)))
 
 
-def worker_encoder(path: str) -> TextEncoder:
+def worker_encoder(path: str, cache_words: int) -> TextEncoder:
     """The encoder of this Python worker, which serves many tasks: its cache of words is filled once."""
     name = "coursecast_llm_worker"
     kept = sys.modules.setdefault(name, ModuleType(name)).__dict__
-    if path not in kept:
-        kept[path] = TextEncoder(path)
-    return kept[path]
+    if (path, cache_words) not in kept:
+        kept[path, cache_words] = TextEncoder(path, cache_words)
+    return kept[path, cache_words]
 
 
-def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2, text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2, text_col: str = "text",
+                      segment_ids: int = SEGMENT_IDS, cache_words: int = CACHE_WORDS) -> None:
     """Encode every text, append ``end_id``, and write the ids to ``path`` in ascending ``doc_id`` order.
 
     Documents are sorted over the cluster by id, equal and null ids (first) by the hash of their text. A file
-    holds segments of whole documents, about ``SEGMENT_IDS`` ids each: the document ids, their counts, and
+    holds segments of whole documents, about ``segment_ids`` ids each (fewer take less memory and more time): the document ids, their counts, and
     one buffer of the range coder. ``shard`` and ``segment`` number them in order. Files are Parquet, so Spark
     commits them, retries lost tasks, and any store it reaches will do. Null texts are empty.
     """
@@ -130,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = worker_encoder(tokenizer)
+        encoder = worker_encoder(tokenizer, cache_words)
         end = np.array([end_id], "<u2").tobytes()
         names, parts, n_ids, segment = [], [], 0, 0
 
@@ -151,7 +152,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
                 names.append(name)
                 parts.append(ids)
                 n_ids += len(ids) // 2
-                if n_ids >= SEGMENT_IDS:
+                if n_ids >= segment_ids:
                     yield pack()
                     names, parts, n_ids, segment = [], [], 0, segment + 1
         if parts:
@@ -211,7 +212,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", (F.col("segment_start") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
-def token_index(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str | None = None, text_col: str = "text") -> DataFrame:
+def token_index(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str | None = None, text_col: str = "text", **sizes) -> DataFrame:
     """Write token files and read them back: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` per document.
 
     A null or empty text is its end id alone; repeated rows are documents of their own, with equal digests
@@ -219,7 +220,7 @@ def token_index(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str |
     new folder, by default in the shared scratch folder.
     """
     path = path or scratch_path(docs.sparkSession, "tokens")
-    write_token_files(docs, path, tokenizer=tokenizer, end_id=end_id, text_col=text_col)
+    write_token_files(docs, path, tokenizer=tokenizer, end_id=end_id, text_col=text_col, **sizes)
     files = docs.sparkSession.read.parquet(path)
     found = decoded(files).select("shard", "segment", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     found = found.join(segment_starts(files), ["shard", "segment"])
