@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,26 +188,32 @@ def _runs(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(run, kinds)
 
 
-def _marked(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` with ``marked``: false for those whose ``row`` is surely not in ``rows``.
+def _marks(docs: DataFrame, rows: DataFrame):
+    """A broadcast bit table of the ``row`` values of ``rows``; a row that is not marked is surely not among them.
 
-    The marks are a bit table of fixed size. Few rows leave most texts out of the shuffle behind it; many
-    rows fill the table, and then all texts go there.
+    Few rows leave most texts out of the shuffle behind it; many rows fill the table, and then all texts go there.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(rows, "row"))
+    return docs.sparkSession.sparkContext.broadcast(bit_table(rows, "row"))
+
+
+def _is_marked(marks, batch: pa.RecordBatch) -> pa.Array:
+    return pa.array(in_table(marks.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+
+
+def _marked(docs: DataFrame, marks) -> DataFrame:
+    """The marked ones of ``docs`` (``doc_id``, ``row``, ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = in_table(shared.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marked)], [*batch.schema.names, "marked"])
+            yield batch.filter(_is_marked(marks, batch))
 
-    return docs.mapInArrow(run, "doc_id long, row long, text string, marked boolean")
+    return docs.mapInArrow(run, "doc_id long, row long, text string")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The word hashes of wanted passages (``row``, ``anchor``, ``passage``, ``first``, ``count``, ``hot``), each from one document."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "passage", "first", "count", "hot")).alias("cuts"))
-    texts = _marked(docs, wanted).filter("marked").select("row", "doc_id", "text").dropDuplicates(["row"])
+    texts = _marked(docs, _marks(docs, wanted)).dropDuplicates(["row"])
     texts = texts.join(lists, "row").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,21 +342,28 @@ def without_repeats(docs: DataFrame, *, text_col: str = "text", **options) -> Da
     docs = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), text.alias("text"))
     _, found = repeated_passages(docs, **options)
     lists = settle(found.groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("removed")), "removed")
-    marked = _marked(docs, lists)
-    some = marked.filter("marked").join(lists, "row", "left").select("doc_id", "text", "removed")
-    rest = marked.filter("not marked").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,count:int>>").alias("removed"))
+    marks = _marks(docs, lists)
+    some = _marked(docs, marks).join(lists, "row", "left").select("doc_id", "text", "removed")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def results(ids: pa.Array, texts: pa.Array, removed: list) -> pa.RecordBatch:
+        done = [_without((t.as_py() or "").encode(), r) for t, r in zip(texts, removed)]
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
+             pa.array([d[2] for d in done], pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        )
+
+    def with_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield results(batch.column(0), batch.column(1), batch.column(2).to_pylist())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [_without((t.as_py() or "").encode(), r.as_py()) for t, r in zip(batch.column(1), batch.column(2))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
-                 pa.array([d[2] for d in done], pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256"],
-            )
+            batch = batch.filter(pc.invert(_is_marked(marks, batch)))
+            yield results(batch.column(0), batch.column(2), [None] * batch.num_rows)
 
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return some.mapInArrow(run, kinds).unionByName(rest.mapInArrow(run, kinds))
+    return some.mapInArrow(with_lists, kinds).unionByName(docs.mapInArrow(whole, kinds))
 
 
 ORACLE = r"""
