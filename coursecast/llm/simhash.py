@@ -147,7 +147,7 @@ def _reordered(fp, blocks, order):
 def join_trie(
     keys: np.ndarray, groups: np.ndarray, skip: int, budget: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray]
 ) -> np.ndarray:
-    """For distinct keys sorted within groups: a label each, equal for keys that links within a group connect.
+    """For keys sorted within groups: a label each, equal for keys that links within a group connect.
 
     All keys of a group agree in their first ``skip`` bits. ``budget[d]`` is the number of bits in which a pair may
     differ among the first ``d``; ``close`` decides on the pairs of keys that are left.
@@ -155,6 +155,7 @@ def join_trie(
     The trie of a group is its sorted keys: a node is the range of keys with the same leading bits. Pairs of
     nodes go down together from the root's pair; a pair is dropped when the bits in which it differs exceed
     the budget, or when all keys of both nodes are already in one component, where more links change nothing.
+    Keys may repeat: rows of equal keys are one node of the last level, and ``close`` decides on each of its pairs.
     """
     n = len(keys)
     label = np.arange(n)
@@ -194,7 +195,14 @@ def join_trie(
         linked = close(i, j)
         unite(i[linked], j[linked])
         pairs, differ = pairs[:, ~single], differ[~single]
-        if not pairs.shape[1] or depth == 64:
+        if not pairs.shape[1]:
+            continue
+        if depth == 64:  # nodes of several rows with equal keys
+            for i, j in _row_pairs(pairs):
+                open_ = label[i] != label[j]
+                i, j = i[open_], j[open_]
+                linked = close(i, j)
+                unite(i[linked], j[linked])
             continue
         if pairs.shape[1] > MAX_FRONTIER:  # depth first, so that few pairs wait
             half = pairs.shape[1] // 2
@@ -221,6 +229,20 @@ def join_trie(
     return label
 
 
+def _row_pairs(pairs: np.ndarray, limit: int = MAX_FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each pair of different rows from pairs of ranges (a0, a1, b0, b1), at most ``limit`` at a time."""
+    a0, a1, b0, b1 = pairs
+    row = np.repeat(a0, a1 - a0) + np.arange((a1 - a0).sum()) - np.repeat(np.cumsum(a1 - a0) - (a1 - a0), a1 - a0)
+    left, right = np.repeat(b0, a1 - a0), np.repeat(b1, a1 - a0)
+    left = np.where(np.repeat(a0 == b0, a1 - a0), row + 1, left)  # within one range each pair once
+    n = right - left
+    at = np.concatenate([[0], np.cumsum(n)])
+    for lo in range(0, int(at[-1]), limit):
+        k = np.arange(lo, min(lo + limit, int(at[-1])))
+        of = np.searchsorted(at, k, "right") - 1
+        yield row[of], left[of] + k - at[of]
+
+
 def trie_links(prints: DataFrame, budget: int) -> DataFrame:
     """Edges (``a``, ``b``) that connect all distinct ``fp`` values within ``budget`` differing bits.
 

@@ -182,6 +182,18 @@ def test_trie_join(budget):
     assert len(set(zip(label.tolist(), want.values()))) == len(set(want.values())) == len(set(label.tolist()))
 
 
+@pytest.mark.parametrize("budget", [0, 2])
+def test_trie_join_of_repeated_keys(budget):
+    rng = np.random.default_rng(budget)
+    keys = np.sort(rng.integers(0, 6, 300).astype(np.uint64) * np.uint64(5))
+    rest = rng.integers(0, 1 << 12, 300)  # what tells rows of one key apart
+    differ = lambda i, j: np.bitwise_count(keys[i] ^ keys[j]) + np.bitwise_count(rest[i] ^ rest[j])
+    close = lambda i, j: differ(i, j) <= budget
+    label = join_trie(keys, np.zeros(300, int), 24, np.full(65, budget), close)
+    want = components_of(range(300), [(i, j) for i in range(300) for j in range(i) if close(i, j)])
+    assert len(set(zip(label.tolist(), want.values()))) == len(set(want.values())) == len(set(label.tolist()))
+
+
 def test_near_copies_are_found(spark):
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in range(5000)]
