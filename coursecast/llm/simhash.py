@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursecast.llm.graph import components
-from coursecast.llm.textops import LOWER, Chunk, chunks, mix, whole_windows, windows
+from coursecast.llm.textops import LOWER, Chunk, chunks, mix, sums, whole_windows, windows
 from coursecast.sources.scratch import settle
 
 # Fixed values of XXH64.
@@ -332,105 +332,167 @@ def near_components(docs: DataFrame, *, size: int = 3, budget: int = 2, text_col
     )
 
 
-# Near copies: at a similarity of 0.8 over five-word shingles, 64 bits differ in about 8 places, more than a trie
-# of 64 bits can prune by. So these fingerprints have 256 bits, cut into bands; a band of a near copy is often
-# within a small budget, and what a band's trie finds is decided by all 256 bits.
-WIDE_WORDS = 4
-BAND_BITS = 32
-BANDS = 64 * WIDE_WORDS // BAND_BITS
-BAND_BUDGET = 2
-WIDE_BITS = 36  # about the bits that differ at that similarity, with a margin of a standard deviation
-_WIDE = mix(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
+# Near copies: at a similarity of 0.8 over five-word shingles, 64 bits of a SimHash differ in about 8 places, more than
+# a trie can prune by. So candidates share one of 24 bands of 6 minima of the shingles' hashes, which a pair at 0.8
+# misses with a chance of 0.0007; what is linked is decided by the shingles themselves.
+SHINGLE = 5
+SIMILARITY = 0.8
+MINIMA = 6
+BANDS = 24
+BLOCK = 64
+_FACTORS = mix(np.arange(1, MINIMA * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def wide_fingerprints(chunk: Chunk, size: int) -> np.ndarray:
-    """Fingerprints of 256 bits, a row of four numbers per text; no words give zeros."""
+def _shingles(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of every text, and where each text begins; fewer words than ``size`` are one shingle."""
     words, n_words = chunk.hashes(chunk.start, chunk.end), chunk.n_words()
-    all_windows = windows(words, size)
-    use = whole_windows(chunk.word_at, size, len(words))
+    use = np.flatnonzero(whole_windows(chunk.word_at, size, len(words)))
     few = np.flatnonzero((n_words > 0) & (n_words < size))
     whole = [windows(words[chunk.word_at[k] : chunk.word_at[k + 1]], n_words[k]) for k in few]
-    h = np.concatenate([all_windows[use], *whole])
-    text = np.concatenate([chunk.owner()[np.flatnonzero(use)], few])
+    h = np.concatenate([windows(words, size)[use], *whole])
+    text = np.concatenate([chunk.owner()[use], few])
     h = h[np.argsort(text, kind="stable")]
-    at = np.concatenate([[0], np.cumsum(np.bincount(text.astype(np.int64), minlength=len(chunk)))])
-    return np.stack([majority(mix(h ^ w), at) for w in _WIDE], axis=1)
+    return h, np.concatenate([[0], np.cumsum(np.bincount(text.astype(np.int64), minlength=len(chunk)))])
+
+
+def _word_prints(chunk: Chunk) -> np.ndarray:
+    """A hash of each text's words in order; no words give zero."""
+    at = np.arange(len(chunk.start)) - np.repeat(chunk.word_at[:-1], chunk.n_words())
+    words = chunk.hashes(chunk.start, chunk.end)
+    words = mix(words ^ mix(at.astype(np.uint64) + np.uint64(1)))
+    return mix(sums(words.view(np.int64), chunk.word_at).view(np.uint64))
+
+
+def band_keys(chunk: Chunk, size: int) -> np.ndarray:
+    """The keys of the bands, a row of ``BANDS`` numbers per text."""
+    h, at = _shingles(chunk, size)
+    out = np.zeros((len(chunk), BANDS), np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        for k, factor in enumerate(_FACTORS):
+            least = np.minimum.reduceat(h * factor, at[some])
+            out[some, k // MINIMA] = mix((out[some, k // MINIMA] + np.uint64(k)) ^ least)
+    return out
+
 
+def similar(h: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """For texts with the shingles ``h[at[k] : at[k + 1]]``: a label each, equal for texts that pairs with at least this
+    Jaccard similarity connect. Pairs within one component are left out, as more links change nothing."""
+    n = len(at) - 1
+    text = np.repeat(np.arange(n), np.diff(at))
+    ids = np.unique(h, return_inverse=True)[1].astype(np.int64)
+    pairs = np.unique(text * (int(ids.max(initial=0)) + 1) + ids)
+    text, ids = np.divmod(pairs, int(ids.max(initial=0)) + 1)
+    at = np.searchsorted(text, np.arange(n + 1))
+    size, label = np.diff(at), np.arange(n)
+    marked = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    for i in range(n - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        other = other[(size[other] >= similarity * size[i]) & (size[i] >= similarity * size[other]) & (size[other] > 0)]
+        if not len(other) or not size[i]:
+            continue
+        marked[ids[at[i] : at[i + 1]]] = True
+        first = np.cumsum(size[other]) - size[other]
+        where = np.arange(size[other].sum()) + np.repeat(at[other] - first, size[other])
+        both = np.add.reduceat(marked[ids[where]], first, dtype=np.int64)
+        marked[ids[at[i] : at[i + 1]]] = False
+        found = other[both >= similarity * (size[i] + size[other] - both) - 1e-9]
+        joined = np.unique(label[np.append(found, i)])
+        label[np.isin(label, joined)] = joined[0]
+    return label
 
-def _band_layouts() -> list[tuple[int, tuple[int, ...]]]:
-    """Each band with each choice of two of its four bytes to agree in: a budget of two leaves two at least."""
-    return [(band, pair) for band in range(BANDS) for pair in combinations(range(4), 2)]
 
+def _candidates(prints: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of the ``fp`` that shared bands connect. Only the least ``fp`` of a band is joined to it."""
+    dealt = settle(prints.select("fp", F.explode("keys").alias("key")).distinct(), "bands")
+    least = dealt.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most")
+    edges = dealt.join(least, "key").filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return components(edges.distinct(), "band-links")
 
-def _band(prints: np.ndarray, band: int) -> np.ndarray:
-    word, half = divmod(band % BANDS, 2)
-    return (prints[:, word] >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
 
+def _exact_links(rows: DataFrame, classes: DataFrame, candidates: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) that connect all ``fp`` whose texts are similar, among those that ``candidates`` connect.
 
-def _band_keys(prints: np.ndarray, band: int, pair: tuple[int, ...]) -> np.ndarray:
-    """The band's bytes with ``pair`` in front, then the next band."""
-    value, out = _band(prints, band), np.zeros(len(prints), np.uint64)
-    for b in (*pair, *(b for b in range(4) if b not in pair)):
-        out = (out << np.uint64(8)) | ((value >> np.uint64(8 * b)) & np.uint64(0xFF))
-    return (out << np.uint64(32)) | _band(prints, band + 1)
+    One text of each ``fp`` is read again. Large groups are cut into blocks, and each pair of blocks is a unit of work
+    that returns a spanning forest, so that a group of m texts is m ** 1.5 rows at most and not one task.
+    """
+    of_group = candidates.groupBy("root").agg(F.count("*").alias("members"))
+    block = F.greatest(F.lit(BLOCK), F.ceil(8 * F.sqrt("members")))
+    of_group = of_group.select(F.col("root").alias("_root"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    members = candidates.join(of_group, F.col("root") == F.col("_root")).select("node", "root", "blocks")
+    chosen = settle(
+        classes.join(members, classes.fp == members.node).select(
+            "fp", "root", "blocks", F.col("chosen.doc_id").alias("_id"), F.col("chosen.uid").alias("_uid")
+        ), "near-members",
+    )
+    texts = rows.join(chosen, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    texts = texts.select("fp", "root", "blocks", mine.alias("mine"), "text").withColumn(
+        "theirs", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> mine or blocks = 1)"))
+    )
+    units = texts.select(
+        F.xxhash64("root", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("unit"), "fp", "text"
+    ).repartition("unit").sortWithinPartitions("unit", "fp")
 
+    def solve(unit: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        fp = np.array([k for k, _ in unit])
+        at = np.concatenate([[0], np.cumsum([len(x) for _, x in unit])])
+        label = similar(np.concatenate([x for _, x in unit]), at, similarity)
+        link = np.flatnonzero(label != np.arange(len(fp)))
+        return fp[link], fp[label[link]]
 
-def near_copies(docs: DataFrame, *, size: int = 3, text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
+        for batch in batches:
+            out = []
+            units, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for c in chunks(batch.column(2), fold=LOWER):
+                h, at = _shingles(c, size)
+                for k in range(len(c)):
+                    if units[c.first + k] != now:
+                        if len(waiting) > 1:
+                            out.append(solve(waiting))
+                        now, waiting = units[c.first + k], []
+                    if not waiting or waiting[-1][0] != fps[c.first + k]:  # repeated rows
+                        waiting.append((fps[c.first + k], np.unique(h[at[k] : at[k + 1]])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
+        if len(waiting) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(waiting)], ["a", "b"])
+
+    return units.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, *, size: int = SHINGLE, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
     """``doc_id``, ``uid`` (hash of the text) and ``component_id`` (smallest ``doc_id``) of near copies of every row.
 
-    As ``near_components``, for wide fingerprints: two are linked if a band of 32 bits differs in two at most
-    and all 256 bits in ``WIDE_BITS`` at most. That finds about nine in ten pairs with a similarity of 0.8 and
-    nearly all above 0.85; unrelated texts differ in about 128 bits.
+    Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles, in lower case, is at least
+    ``similarity``; components are by links. Candidates come from bands of minima, which miss a pair at 0.8 with a
+    chance of 0.0007 and nearly none above; each is decided exactly. Texts of fewer words are one shingle; texts
+    without words are copies of each other.
     """
     text = F.col(text_col).cast("string")
-    names = [f"w{k}" for k in range(WIDE_WORDS)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("uid"), text.alias("text"))
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprints(c, size) for c in chunks(batch.column(2), fold=LOWER)]
-            fp = np.concatenate(found) if found else np.zeros((0, WIDE_WORDS), np.uint64)
-            columns = [pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(WIDE_WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "uid", *names])
-
-    kinds = ", ".join(f"{n} long" for n in names)
-    prints = settle(rows.mapInArrow(fingerprint, f"doc_id long, uid long, {kinds}").withColumn("fp", F.xxhash64(*names)), "wide")
-    classes = settle(prints.groupBy("fp", *names).agg(F.min("doc_id").alias("least")), "wide-classes")
-    tries = _band_layouts()
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.stack([batch.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-            for t, (band, pair) in enumerate(tries):
-                part = (_band_keys(fps, band, pair) >> np.uint64(48)).astype(np.int32)
+            for c in chunks(batch.column(2), fold=LOWER):
+                keys = np.ascontiguousarray(band_keys(c, size)).ravel().view(np.int64)
+                at = pa.array(np.arange(len(c) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(fps), t, np.int32)), pa.array(part), *batch.columns], ["trie", "part", "fp", *names]
+                    [batch.column(0).slice(c.first, len(c)), batch.column(1).slice(c.first, len(c)),
+                     pa.array(_word_prints(c).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys))],
+                    ["doc_id", "uid", "fp", "keys"],
                 )
 
-    budget = np.full(65, BAND_BUDGET)
-    budget[BAND_BITS + 1 :] = BAND_BUDGET + 20
-
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        trie, part, fp = (table.column(k).to_numpy() for k in range(3))
-        wide = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-        out = [np.zeros((2, 0), np.int64)]
-        for t in np.unique(trie):
-            rows = np.flatnonzero(trie == t)
-            keys = _band_keys(wide[rows], *tries[t])
-            order = np.lexsort((fp[rows], keys))
-            rows, keys = rows[order], keys[order]
-            prints = wide[rows]
-            near = lambda i, j, p=prints: np.bitwise_count(p[i] ^ p[j]).sum(axis=1) <= WIDE_BITS
-            label = join_trie(keys, part[rows], 16, budget, near)
-            link = np.flatnonzero(label != np.arange(len(rows)))
-            out.append(np.stack([fp[rows[link]], fp[rows[label[link]]]]))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["a", "b"])
-
-    dealt = classes.select("fp", *names).mapInArrow(deal, f"trie int, part int, fp long, {kinds}")
-    dealt = dealt.repartition("trie", "part").sortWithinPartitions("trie", "part")
-    roots = components(dealt.mapInArrow(by_parts(solve), "a long, b long").distinct(), "wide-links")
+    prints = settle(rows.mapInArrow(fingerprint, "doc_id long, uid long, fp long, keys array<long>"), "near-prints")
+    classes = settle(
+        prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "uid")).alias("chosen")), "near-classes"
+    )
+    candidates = _candidates(prints)
+    roots = components(_exact_links(rows, classes, candidates, size, similarity), "near-links")
     of_class = settle(
-        classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "wide-roots"
+        classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "near-roots"
     )
     named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of_class.join(named, "root").select("fp", "component_id")

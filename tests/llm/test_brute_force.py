@@ -209,6 +209,43 @@ def test_near_copies_are_found(spark):
     assert all(got[2 * k] == 2 * k for k in range(150))
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Pairs around a similarity of 0.8 on five-word shingles, against brute force: none missed, none below linked."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5000)]
+    rows, want = [], {}
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    for k in range(900):
+        text = list(rng.choice(words, 300))
+        copy = list(text)
+        for at in rng.choice(300, 5 + k % 6, replace=False):
+            copy[at] = "changed"
+        a, b = shingles(text), shingles(copy)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+        want[2 * k + 1] = len(a & b) / len(a | b)
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [d for d, j in want.items() if 0.8 <= j < 0.85]
+    assert len(near) > 200 and sum(got[d] == d for d in near) <= 1
+    assert all(got[d] == d for d, j in want.items() if j < 0.8) and sum(j < 0.8 for j in want.values()) > 200
+
+
+def test_near_copies_of_a_large_group(spark):
+    """A group of more texts than a block has one component, and its neighbour below 0.8 stays outside."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(5000)]
+    base = list(rng.choice(words, 200))
+    rows = []
+    for k in range(400):
+        text = list(base)
+        text[rng.integers(200)] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    for at in range(10, 170, 20):  # 8 words far apart: 156 of 236 shingles
+        base[at] = "other"
+    rows.append((400, " ".join(base)))
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), 400: 400}
+
+
 @pytest.mark.parametrize("hot", [20_000, 0])
 def test_substrings(spark, tables, docs, hot):
     held = {}
