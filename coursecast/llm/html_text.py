@@ -19,6 +19,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in RAW}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -55,6 +56,7 @@ class Element:
     parent: int
     name: str  # tag with its class, as far as it tells elements apart
     dropped: bool
+    marked: bool = False  # dropped by nothing but its class, id or role
     linked: bool = False  # has a link, button or field below
     text: int = 0  # characters below
     digest: int = 0
@@ -62,14 +64,17 @@ class Element:
 
 
 def _furniture(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the tag or its state says so; ``_marked`` goes by name."""
     if tag in FURNITURE:
         return True
     if tag in ("html", "body", "article", "main") and not attributes:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
+
+
+def _marked(tag: str, attributes: dict[str, str]) -> bool:
     if tag in ("html", "body", "main"):
         return False
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
@@ -83,16 +88,10 @@ class Page:
         self.elements = [Element("", -1, "", False)]
         self.pieces: list[tuple[int, str | None]] = []  # element and text; None is a block's edge
         self._open = [0]
-        raw = ""
-        for m in TOKEN.finditer(html):
+        at = 0
+        while m := TOKEN.match(html, at):
+            at = m.end()
             end, tag, rest, text = m.groups()
-            if raw:  # inside script and the like nothing but its end tag counts
-                if end and tag and tag.lower() == raw:
-                    raw = ""
-                    self._close(tag.lower())
-                elif raw == "textarea" and text:
-                    self._text(text)
-                continue
             if text is not None:
                 self._text(text)
             elif tag:
@@ -101,10 +100,16 @@ class Page:
                     self._end(tag)
                     continue
                 self._start(tag, rest)
-                if tag in RAW and not rest.endswith("/"):
-                    raw = tag
+                if tag in RAW and not rest.endswith("/"):  # nothing but its end tag counts inside
+                    found = RAW_END[tag].search(html, at)
+                    if tag == "textarea":
+                        self._text(html[at : found.start() if found else len(html)])
+                    at = found.end() if found else len(html)
+                    if found:
+                        self._close(tag)
         while len(self._open) > 1:
             self._pop()
+        self._spare()
         self._finish(0)
 
     def _text(self, text: str) -> None:
@@ -176,7 +181,7 @@ class Page:
         up = self.elements[at]
         in_article = any(self.elements[k].tag == "article" for k in self._open)
         dropped = up.dropped or _furniture(tag, attributes) or (tag == "header" and not in_article)
-        e = Element(tag, at, f"{tag}.{attributes.get('class', '')}", dropped)
+        e = Element(tag, at, f"{tag}.{attributes.get('class', '')}", dropped, _marked(tag, attributes))
         self.elements.append(e)
         k = len(self.elements) - 1
         if tag not in INLINE:
@@ -186,6 +191,26 @@ class Page:
         else:
             self._open.append(k)
 
+    def _spare(self) -> None:
+        """Drops what is furniture by name, but no element that holds the main article or most of the page's text."""
+        shown = [0] * len(self.elements)
+        for k, text in self.pieces:
+            if text and not self.elements[k].dropped:
+                shown[k] += len("".join(text.split()))
+        holds = [e.tag == "main" and not e.dropped for e in self.elements]
+        articles = [k for k, e in enumerate(self.elements) if e.tag == "article" and not e.dropped]
+        if articles:
+            longest = lambda those: max(those, key=lambda k: self.elements[k].text)
+            best, by_name = longest(articles), self.within({k for k, e in enumerate(self.elements) if e.marked})
+            plain = [k for k in articles if not by_name[k] and 2 * self.elements[k].text >= self.elements[best].text]
+            holds[longest(plain) if plain else best] = True  # a long comment may be an article, too
+        for k in range(len(self.elements) - 1, 0, -1):
+            shown[self.elements[k].parent] += shown[k]
+            holds[self.elements[k].parent] |= holds[k]
+        for k, e in enumerate(self.elements[1:], 1):
+            by_name = e.marked and not holds[k] and 2 * shown[k] <= shown[0]
+            e.dropped |= self.elements[e.parent].dropped or by_name
+
     def within(self, roots: set[int]) -> list[bool]:
         """Per element, whether it is one of ``roots`` or below one."""
         out = [False] * len(self.elements)

@@ -317,6 +317,18 @@ def test_main_text():
     assert Page(PAGE).text(set()) == "Head & line\nOne bold text.\nTwo <x>\na\nb"
 
 
+@pytest.mark.parametrize("html", [
+    "<script>for(i=0;i<n;i++)x()</script><article><p>Own text.</p></article>",
+    "<style>a<b</style><script>s='</p>'+'<b'</SCRIPT ><article><p>Own text.</p></article>",
+    '<div class="content-sidebar-wrap"><p>Own text.</p></div><div class="sidebar">x</div>',
+    '<div class="has-sidebar"><article><p>Own text.</p></article><div class="related">y</div></div>',
+    '<article class="post has-sidebar"><p>Own text.</p><div class="share">z</div></article>',
+])
+def test_whole_articles_stay(html):
+    assert Page(html).text(set()) == "Own text."
+
+
+
 def test_templates_are_counted_per_host(spark):
     """A box without telling names goes where it recurs; a copied article does not."""
     box = "<div><a href='/'>Start</a> here</div>"
