@@ -122,21 +122,22 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, *, max_rows: int = 20000, rounds: int = 20, depth: int = 4, seed: int = 5) -> UrlModel:
-    """Trees from ``labelled`` (``url``, ``host``, ``path``, ``label`` 1 for block), at most ``max_rows`` by hash of the url.
+    """Trees from ``labelled`` (``url``, ``host``, ``path``, ``label`` 1 for block), at most ``max_rows`` of its different urls.
 
-    Suffix counts come from the same sample, so they are bounded too.
+    Suffix counts and the overall share come from all labelled rows. The trees' rows are taken by hash of the url,
+    repeats left out, so that copies of one url cannot fill the sample.
     """
-    sample = labelled.select("url", "host", "path", "label").orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    sample = settle(lexical(sample).coalesce(1), "url-sample")
-    per = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n = sum(per.values())
-    prior = per.get(1, 0) / n if n else 0.0
-    if len(per) < 2:
+    tails = labelled.groupBy(F.substring_index("host", ".", -2).alias("tail"))
+    tails = settle(tails.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "url-tail")
+    suffixes = tails.groupBy(F.substring_index("tail", ".", -1).alias("suffix"))
+    suffixes = settle(suffixes.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")), "url-suffix")
+    rates = {"suffix": suffixes, "tail": tails}
+    n, blocked = (x or 0 for x in suffixes.agg(F.sum("n"), F.sum("blocked")).first())
+    prior = blocked / n if n else 0.0
+    if blocked in (0, n):
         return UrlModel(None, {}, prior)
-    rates = {
-        name: settle(sample.groupBy(name).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), f"url-{name}")
-        for name in ("suffix", "tail")
-    }
+    once = labelled.select("url", "host", "path", "label").distinct()
+    sample = settle(lexical(once.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)).coalesce(1), "url-sample")
     rows = VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(_with_rates(sample, rates, prior))
     rows = settle(rows.select("features", F.col("label").cast("double").alias("label")).coalesce(2), "url-features")
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=seed, subsamplingRate=1.0, cacheNodeIds=False)

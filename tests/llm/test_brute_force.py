@@ -289,6 +289,18 @@ def test_leaks_with_other_values(spark):
     assert got == {1: 6}
 
 
+def test_url_counts_are_of_all_rows(spark):
+    """Counts beyond the sample, and a url whose copies would fill it."""
+    from coursecast.llm.url_filter import train
+
+    rows = [("http://a.net/x", "a.net", "/x", 1)] * 50
+    rows += [(f"http://h{k}.{'bad' if k % 2 else 'good'}.net/{k}", f"h{k}.{'bad' if k % 2 else 'good'}.net", f"/{k}", k % 2) for k in range(60)]
+    model = train(spark.createDataFrame(rows, "url string, host string, path string, label int"), max_rows=20, rounds=2)
+    counts = {name: {r[name]: (r.n, r.blocked) for r in t.collect()} for name, t in model.rates.items()}
+    assert counts == {"suffix": {"net": (110, 80)}, "tail": {"a.net": (50, 50), "bad.net": (30, 30), "good.net": (30, 0)}}
+    assert model.trees is not None and model.prior == 80 / 110
+
+
 def test_quality_held_out(spark, sf, tables):
     """Trained without every fifth label; those rows are mostly judged right."""
     known = tables["labels"].filter("doc_id % 5 <> 0")
