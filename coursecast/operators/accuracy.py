@@ -144,8 +144,8 @@ def mape_histogram(accuracy: DataFrame) -> DataFrame:
 
 def mape_summary(accuracy: DataFrame) -> DataFrame:
     """(courses, mean_mape, median_mape); courses without a MAPE are counted but not averaged."""
-    stored = settle(accuracy.select("subj", "crse", "mape"), "mape")
-    median = exact_quantiles(stored, "mape", {"m": 0.5}, ["subj", "crse"])["m"]
+    stored = settle(accuracy.select("mape"), "mape")
+    median = exact_quantiles(stored, "mape", {"m": 0.5})["m"]
     return stored.agg(
         F.count(F.lit(1)).alias("courses"),
         F.avg("mape").alias("mean_mape"),
@@ -172,11 +172,10 @@ def trimmed_mape(accuracy: DataFrame, drop: int = 10) -> DataFrame:
 
 def median_mape_without_smallest(accuracy: DataFrame, share: float = 0.05) -> DataFrame:
     """(courses, median_mape) of the courses at or above the ``share`` quantile of class size."""
-    key = ["subj", "crse"]
-    stored = settle(accuracy.select(*key, "avg_enrollment", "mape"), "mape")
-    cut = exact_quantiles(stored, "avg_enrollment", {"q": share}, key)["q"]
+    stored = settle(accuracy.select("avg_enrollment", "mape"), "mape")
+    cut = exact_quantiles(stored, "avg_enrollment", {"q": share})["q"]
     kept = stored.filter(F.col("avg_enrollment") >= F.lit(cut).cast("double"))
-    median = exact_quantiles(kept, "mape", {"m": 0.5}, key)["m"]
+    median = exact_quantiles(kept, "mape", {"m": 0.5})["m"]
     return kept.agg(
         F.count(F.lit(1)).alias("courses"), F.lit(median).cast("double").alias("median_mape")
     )

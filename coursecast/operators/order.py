@@ -3,50 +3,91 @@
 from __future__ import annotations
 
 import math
-import os
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")  # read when pyspark.pandas is imported
+from coursecast.sources.scratch import settle
+
+DIGIT_BITS = 16  # of a value's 64 bits, counted in one pass
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
     """Number the rows ``start``, ``start + 1``, ... in sort order.
 
-    Uses the distributed sequence index: the sort is range-partitioned, each task numbers its
-    own rows from an offset, and no task sees them all. ``order`` should end in a unique key, so
-    that rows that tie on the leading columns can be split too.
+    Rows are dealt by ranges of the sort key, sorted in their task, and stored with their number in the
+    task; the counts of the tasks, one number each, give the offsets. No task sees all rows. ``order``
+    should end in a unique key, so that rows that tie on the leading columns can be split too.
     """
-    import pyspark.pandas as ps
+    part, row = fresh(df, "part"), fresh(df, "row")
+    kept = [F.col(c) for c in df.columns if c.lower() != name.lower()]
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = settle(ranged.select("*", F.spark_partition_id().alias(part), at.alias(row)), "positions")
+    counts = {r[0]: r[1] for r in stored.groupBy(part).count().collect()}
+    offsets, total = [], start
+    for k in range(max(counts, default=-1) + 1):
+        offsets.append(f"{total}L")
+        total += counts.get(k, 0)
+    if not offsets:
+        return stored.select(F.lit(start).cast("long").alias(name), *kept)
+    offset = F.expr(f"element_at(array({', '.join(offsets)}), `{part}` + 1)")
+    return stored.select((offset + F.col(row)).alias(name), *kept)
+
+
+def _ranked_bits(value: Column) -> Column:
+    """The 64 bits of a double as a long whose order is the order of the values; -0.0 is 0.0."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(value, F.lit(0.0)) + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, F.bitwise_not(bits).bitwiseXOR(F.lit(-(1 << 63)))).otherwise(bits)
+
 
-    with ps.option_context("compute.default_index_type", "distributed-sequence"):
-        numbered = df.orderBy(*order).pandas_api().to_spark(index_col=name)
-    return numbered.withColumn(name, F.col(name) + start) if start else numbered
+def _value(bits: int) -> float:
+    raw = bits if bits >= 0 else ~bits ^ -(1 << 63)
+    return struct.unpack(">d", struct.pack(">q", raw))[0]
 
 
-def exact_quantiles(
-    stored: DataFrame, column: str, probabilities: Mapping[str, float], key: Sequence[str]
-) -> dict[str, float | None]:
+def exact_quantiles(stored: DataFrame, column: str, probabilities: Mapping[str, float]) -> dict[str, float | None]:
     """Interpolated quantiles of a column by name, nulls skipped.
 
-    The values are sorted across tasks and the two neighbours of each quantile are picked by
-    position; only those few numbers reach the driver. ``key`` identifies a row and splits runs
-    of equal values. (``percentile`` would gather every distinct value in one task.) The frame
-    is read twice, so it should be a stored table.
+    The two neighbours of each quantile are found by radix selection: each pass counts the values by the
+    next 16 bits among those that agree with a neighbour in all bits before, so four passes over the
+    column fix all 64. Nothing is sorted or kept; the driver gets counts, 65,536 a neighbour at most. (``percentile``
+    would gather every distinct value in one task.) The frame is read five times, so it should be a stored table.
     """
-    values = stored.select(F.col(column).cast("double").alias("v"), *key).filter("v is not null")
-    last = values.count() - 1
+    bits = stored.filter(F.col(column).isNotNull()).select(_ranked_bits(F.col(column).cast("double")).alias("bits"))
+    last = bits.count() - 1
     if last < 0:
         return dict.fromkeys(probabilities)
     places = {name: last * p for name, p in probabilities.items()}
-    wanted = sorted({end(place) for place in places.values() for end in (math.floor, math.ceil)})
-    ranked = with_position(values, ["v", *key], "at")
-    at = {r["at"]: r["v"] for r in ranked.filter(F.col("at").isin(wanted)).collect()}
+    # Per wanted position: the leading bits found so far, and the position among the values that share them.
+    wanted = {at: (None, at) for at in {end(place) for place in places.values() for end in (math.floor, math.ceil)}}
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        lead = F.shiftright("bits", shift)  # the sign stays, so leading bits keep the order
+        heads = {head for head, _ in wanted.values() if head is not None}
+        among = bits.filter(F.shiftright("bits", shift + DIGIT_BITS).isin(list(heads))) if heads else bits
+        counts = sorted((r[0], r[1]) for r in among.groupBy(lead.alias("lead")).count().collect())
+        for at, (head, left) in wanted.items():
+            for found, n in counts:
+                if head is not None and found >> DIGIT_BITS != head:
+                    continue
+                if left < n:
+                    wanted[at] = (found, left)
+                    break
+                left -= n
+    at = {place: _value(head) for place, (head, _) in wanted.items()}
 
     def between(place: float) -> float:
         low, high = at[math.floor(place)], at[math.ceil(place)]
-        return low + (high - low) * (place - math.floor(place))
+        return low + (high - low) * (place - math.floor(place)) if low != high else low
 
     return {name: between(place) for name, place in places.items()}

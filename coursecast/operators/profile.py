@@ -58,15 +58,13 @@ def sample_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     return df.select(column).distinct().limit(n)
 
 
-def describe_target(
-    df: DataFrame, column: str = TARGET, key: Sequence[str] = ("term", "subj", "crse")
-) -> DataFrame:
+def describe_target(df: DataFrame, column: str = TARGET) -> DataFrame:
     """count, mean, std, min, quartiles and max of a column as one row.
 
-    The column is written once with the key of its rows; all figures come from that table.
+    The column is written once; all figures come from that table.
     """
-    stored = settle(df.select(column, *key), "target")
-    quartiles = exact_quantiles(stored, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, key)
+    stored = settle(df.select(column), "target")
+    quartiles = exact_quantiles(stored, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     value = F.col(column)
     return stored.agg(
         F.count(value).alias("n"),

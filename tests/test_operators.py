@@ -140,10 +140,26 @@ def test_positions_over_ties(spark):
     assert [(r.g, r.id) for r in got] == sorted((i % 3, i) for i in range(1000))
 
 
-@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 3.0, 3.0, 3.0, 9.0, 7.0], [2.0] * 50 + [1.0]])
+def test_positions_keep_clashing_columns(spark):
+    df = spark.range(20).select("id", F.lit("p").alias("part"), F.lit("r").alias("row"), F.lit(9).alias("n"))
+    got = order.with_position(df, [F.desc("id")], "n")
+    assert got.columns == ["n", "id", "part", "row"]
+    assert [tuple(r) for r in got.orderBy("n").collect()] == [(k, 19 - k, "p", "r") for k in range(20)]
+    assert order.with_position(df.limit(0), ["id"], "n").count() == 0
+
+
+def test_quantiles_and_positions_sort_nothing_whole(spark):
+    df = spark.range(1000).select("id", (F.col("id") * 37 % 1000 - 500.0).alias("x"))
+    plan = order.with_position(df, ["x"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "AttachDistributedSequence" not in plan and "SinglePartition" not in plan
+    assert order.exact_quantiles(df, "x", {"m": 0.5, "z": 0.999}) == {"m": -0.5, "z": statistics.quantiles(range(-500, 500), n=1000, method="inclusive")[-1]}
+
+
+@pytest.mark.parametrize("values", [
+    [-1e308, -5e-324, -0.0, 0.0, 5e-324, 1e308], [float("-inf"), -2.5, -2.5, 7.0, float("inf")], [3.0], [1.0, 2.0], [5.0, 1.0, 3.0, 3.0, 3.0, 9.0, 7.0], [2.0] * 50 + [1.0]])
 def test_exact_quantiles(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "id int, x double")
-    got = order.exact_quantiles(df, "x", {"a": 0.0, "q": 0.25, "m": 0.5, "z": 1.0}, ["id"])
+    got = order.exact_quantiles(df, "x", {"a": 0.0, "q": 0.25, "m": 0.5, "z": 1.0})
     ordered = sorted(values)
     place = (len(ordered) - 1) * 0.25
     low = ordered[math.floor(place)]
@@ -153,8 +169,8 @@ def test_exact_quantiles(spark, values):
 
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "id int, x double")
-    assert order.exact_quantiles(df, "x", {"m": 0.5}, ["id"]) == {"m": None}
-    assert profile.describe_target(df, "x", ["id"]).first().n == 0
+    assert order.exact_quantiles(df, "x", {"m": 0.5}) == {"m": None}
+    assert profile.describe_target(df, "x").first().n == 0
 
 
 # --- accuracy ---
