@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursecast.llm import mixing, substrings
+from coursecast.llm import fill_middle, merkle, mixing, substrings
 from coursecast.llm.decontaminate import leaks
 from coursecast.llm.html_text import main_text
+from coursecast.llm.packing import packing_index
 from coursecast.llm.quality import quality
 from coursecast.llm.rules import quality_rules
 from coursecast.llm.simhash import near_components
@@ -89,3 +90,18 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_substring_dedup", substrings.ORACLE)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf, "documents"))
+
+
+@query("op11_merkle_manifest", merkle.oracle())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf, "documents"))
+
+
+@query("op12_slack_packing")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return packing_index(table(spark, sf, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op13_fill_middle", fill_middle.ORACLE)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.fill_middle_index(table(spark, sf, "documents"))

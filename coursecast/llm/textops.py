@@ -26,6 +26,7 @@ _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
+_MOST_POWERS = 4 << 20  # kept for the worker's life; longer texts make their own
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,10 +42,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        for name, base in (("up", _STEP), ("down", _BACK)):
+        made = []
+        for base in (_STEP, _BACK):
             p = np.full(n, base, np.uint64)
             p[:1] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
+            made.append(np.cumprod(p, out=p))
+        if n > _MOST_POWERS:
+            return made[0], made[1]
+        _POWERS["up"], _POWERS["down"] = made
     return _POWERS["up"], _POWERS["down"]
 
 
