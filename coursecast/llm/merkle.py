@@ -166,17 +166,18 @@ class Trees:
     """One hash tree per group over stored blocks of slots; stage ``s`` holds nodes of level ``DEPTH * s``.
 
     ``nodes`` has ``g``, ``pos``, ``digest`` (and further columns, kept in the slots of the first stage), ``sizes`` has
-    ``g`` and ``n``. All blocks have at most ``BLOCK`` slots, so no task holds a group.
+    ``g`` and ``n``, or is the size of the only group. All blocks have at most ``BLOCK`` slots, so no task holds a group.
     """
 
-    def __init__(self, nodes: DataFrame, sizes: DataFrame, most: int) -> None:
+    def __init__(self, nodes: DataFrame, sizes: DataFrame | int, most: int) -> None:
         self.stages: list[DataFrame] = []
         width, span = most, 1
         while True:
             names = [c for c in nodes.columns if c not in ("g", "pos")]
             slot = F.struct((F.col("pos") % BLOCK).cast("int").alias("slot"), *names)
             per = nodes.groupBy("g", F.expr(f"pos div {BLOCK}").alias("block")).agg(F.collect_list(slot).alias("slots"))
-            per = per.join(sizes, "g").withColumn("width", F.ceil(F.col("n") / span)).drop("n")
+            per = per.withColumn("n", F.lit(sizes).cast("long")) if isinstance(sizes, int) else per.join(sizes, "g")
+            per = per.withColumn("width", F.ceil(F.col("n") / span)).drop("n")
             per = settle(per, "merkle-slots")
             self.stages.append(per)
             nodes = self._up(per)
@@ -235,8 +236,7 @@ def manifest(docs: DataFrame, *, fields: Sequence[str] = FIELDS, group: str = "l
     where = placed(rows).select("g", "pos", F.col("leaf").alias("digest"), "seen", "doc_id")
     trees = Trees(where, sizes, most or 1)
     tops = with_position(trees.tops, ["g"], "pos").select(F.lit("").alias("g"), "pos", "digest", F.col("g").alias("name"))
-    whole = docs.sparkSession.range(1).select(F.lit("").alias("g"), F.lit(groups).cast("long").alias("n"))
-    over = Trees(settle(tops, "merkle-subroots"), whole, groups or 1)
+    over = Trees(settle(tops, "merkle-subroots"), groups, groups or 1)
     root = over.tops.select("g", F.col("digest").alias("root"))
     ends = root.select("g", F.array().cast(STEPS).alias("steps"))
     groups_steps = settle(_expand(over.blocks(ends).join(root, "g")), "merkle-group-steps")
