@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from coursecast.llm.bits import bit_table, in_table
 from coursecast.llm.textops import LOWER, SPACE, Chunk, chunks, mix, split_words, whole_windows, windows
+from coursecast.operators.order import fresh
 
 WINDOW = 5
 MIN_LITERALS = 2
@@ -174,6 +175,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = 0.5, t
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with the columns of ``docs``; same cases as ``leaks``."""
-    dirty = leaks(docs, benchmark, text_col=text_col, **options).select(F.col("uid").alias("_dirty")).distinct()
-    return docs.join(dirty, F.xxhash64(F.col(text_col).cast("string")) == F.col("_dirty"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with the columns of ``docs``; same cases as ``leaks``.
+
+    Further columns stay as they are, whatever their names.
+    """
+    uid = fresh(docs, "dirty_uid")
+    dirty = leaks(docs, benchmark, text_col=text_col, **options).select(F.col("uid").alias(uid)).distinct()
+    return docs.join(dirty, F.xxhash64(F.col(text_col).cast("string")) == F.col(uid), "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursecast.llm.rules import rule_statistics
+from coursecast.llm.shared import by_hash, share
 from coursecast.llm.textops import Chunk, chunks, sums
 
 SOURCE_BUCKETS, LANG_BUCKETS = 64, 16
@@ -185,10 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, max_poo
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min("quality").cast("int").alias("quality"))
-    order = F.xxhash64("doc_id")
-    some = known.orderBy(order, "doc_id").limit(max_labelled)
+    some = by_hash(known, ["doc_id"], max_labelled)
     others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").join(known, "doc_id", "left_anti")
-    others = others.distinct().orderBy(order, "doc_id").limit(max_pool).withColumn("quality", F.lit(-1))
+    others = by_hash(others.distinct(), ["doc_id"], max_pool).withColumn("quality", F.lit(-1))
     chosen = some.unionByName(others)  # bounded by the two limits
     rows = _columns(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "quality")
 
@@ -199,7 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, max_poo
                 [batch.column(0), batch.column(5), pa.array([r.tobytes() for r in both], pa.binary())], ["doc_id", "quality", "x"]
             )
 
-    found = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").collect())
+    seen = rows.mapInArrow(run, "doc_id long, quality int, x binary")
+    once = seen.groupBy("doc_id").agg(F.min("quality"), F.min("x"))  # one text of a repeated id
+    found = sorted(tuple(r) for r in once.collect())
     y = np.array([r[1] for r in found])
     if min((y == 1).sum(), (y == 0).sum()) < 2:
         return None
@@ -215,10 +217,10 @@ def quality(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
     columns are ignored. Without two labelled rows of each class every score is 0.5 and all rows are kept. An
     empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **fitting))
+    shared = share(docs.sparkSession, fit(docs, labels, **fitting))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             if model is None:
                 score, kept = np.full(batch.num_rows, 0.5), np.ones(batch.num_rows, bool)
@@ -231,13 +233,16 @@ def quality(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with the columns of ``docs``; same cases as ``quality``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **fitting))
+    """The rows of ``docs`` that the classifier keeps, with the columns of ``docs`` (further ones stay as they are).
+
+    Null and empty texts, null metadata, repeated rows, too few labels and an empty table are as for ``quality``.
+    """
+    shared = share(docs.sparkSession, fit(docs, labels, **fitting))
     names = ("doc_id", "text", "source", "lang", "n_chars")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             if model is not None:
                 used = pa.RecordBatch.from_arrays([batch.column(n) for n in names], list(names))

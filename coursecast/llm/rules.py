@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursecast.llm.shared import by_hash, share
 from coursecast.llm.textops import Chunk, chunks, covered, sums, whole_windows, windows
 
 # Fixed values of the rules.
@@ -184,13 +185,13 @@ def fit(stats: DataFrame, labels: DataFrame, *, max_rows: int = 8000, max_labell
     fail take part in neither: the forest judges what is left.
     """
     left = stats.filter(~base_rules(F.col("n_words"), F.col("n_repeat_words")))
-    order = F.xxhash64("doc_id", *STATISTICS)
-    rows = left.select(*STATISTICS).orderBy(order).limit(max_rows).toPandas()
+    key = ["doc_id", *STATISTICS]
+    rows = by_hash(left, key, max_rows).select(*STATISTICS).toPandas()
     if not len(rows):
         return IsolationForest(np.full((1, 1), -1), np.zeros((1, 1)), np.ones((1, 1)), 1.0)
     forest = grow(features(rows.to_numpy()), trees, sample, seed)
     named = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = left.join(named, "doc_id").select("quality", *STATISTICS).orderBy(order).limit(max_labelled).toPandas()
+    known = by_hash(left.join(named, "doc_id"), key, max_labelled).select("quality", *STATISTICS).toPandas()
     if len(known):
         scores = forest.score(features(known[list(STATISTICS)].to_numpy()))
         forest.threshold = calibrate(scores, known["quality"].to_numpy() == 1, keep)
@@ -199,14 +200,15 @@ def fit(stats: DataFrame, labels: DataFrame, *, max_rows: int = 8000, max_labell
 
 def judge(stats: DataFrame, forest: IsolationForest) -> DataFrame:
     """Statistics with ``base_failed``, ``anomaly`` and ``kept``."""
-    shared = stats.sparkSession.sparkContext.broadcast(forest)
+    shared = share(stats.sparkSession, forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared()
         for batch in batches:
             values = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS], axis=1)
             failed = base_rules(values[:, 0], values[:, 4])
-            anomaly = shared.value.score(features(values))
-            kept = ~failed & (anomaly <= shared.value.threshold)
+            anomaly = forest.score(features(values))
+            kept = ~failed & (anomaly <= forest.threshold)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(failed), pa.array(anomaly), pa.array(kept)],
                 [*batch.schema.names, "base_failed", "anomaly", "kept"],

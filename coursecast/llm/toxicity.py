@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursecast.llm.shared import by_hash, share
 from coursecast.llm.textops import LOWER, SPACE, Chunk, chunks, mix
 
 #: Bytes between words: white space and ASCII punctuation.
@@ -105,8 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, bits: int =
     known = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
     )
+    known = by_hash(known, ["doc_id"], max_rows, seed)
     sample = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, bits: int =
                 ["doc_id", "toxic", "features"],
             )
 
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary").collect()
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary")
+    rows = rows.groupBy("doc_id").agg(F.min("toxic"), F.min("features")).collect()  # one text of a repeated id
     rows = [(r[0], r[1], np.frombuffer(r[2], np.int32)) for r in rows]
     rows.sort(key=lambda r: (r[0], len(r[2]), r[2].tobytes()))
     model = Ftrl(bits)
@@ -136,10 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, bits: int =
 
 def score(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
     """``doc_id``, ``score`` and ``predicted`` of every row, from its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = share(docs.sparkSession, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         dense = model.dense()
         for batch in batches:
             sums = []

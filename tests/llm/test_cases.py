@@ -37,7 +37,8 @@ WEB = [
 @pytest.fixture(scope="module")
 def odd(spark):
     """The cases, with columns whose names the operators use themselves."""
-    more = ["fp", "size", "row", "uid", "score", "kept", "copies", "passage", "words"]
+    more = ["fp", "size", "row", "uid", "score", "kept", "copies", "passage", "words", "_size", "_text", "_id", "_rows", "_dirty", "_taken", "_copies",
+            "root", "stays_id", "mix_id", "mix_words", "dirty_uid"]
     return spark.createDataFrame(ODD, SCHEMA).select("*", *[F.lit("x").alias(c) for c in more])
 
 
