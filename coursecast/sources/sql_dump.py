@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coursecast.sources.sql_lexer import insert_rows
+
 _DDL_TYPES = (
     (T.IntegralType, "INTEGER"),
     (T.NumericType, "NUMERIC"),
@@ -14,20 +15,6 @@ _DDL_TYPES = (
     (T.TimestampNTZType, "TIMESTAMP"),
 )
 
-# A statement begins on a line of its own; the line may end before the statement does.
-_BEGINS = r"(?i)^\s*INSERT\s+INTO\b"
-_ENDS = r";\s*(--[^']*)?$"
-_HEAD = r"(?is)\bINSERT\s+INTO\s+([^\s(]+)\s*(?:\(([^)]*)\))?\s*VALUES\b"
-# A further statement on the same line.
-_NEXT = r"(?i);\s*(?=INSERT\s+INTO\b[^']*\bVALUES\b)"
-
-# A tuple behind VALUES or behind the comma after the tuple before. Doubled quotes inside quoted text read as two
-# quoted texts side by side.
-_TUPLE = r"(?is)(?:\bVALUES|\G\s*,)\s*\(((?:[^'()]++|'[^']*+'|\([^'()]*+\))*+)\)"
-
-# One value of a tuple: quoted text with doubled quotes inside, or bare up to the next comma.
-_VALUE = r"'(?:[^']++|'')*+'|[^',\s][^,]*"
-
 
 def _literal(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
@@ -39,10 +26,14 @@ def _literal(field: T.StructField) -> Column:
     return F.coalesce(text, F.lit("NULL"))
 
 
-def _value(cell: Column, kind: T.DataType) -> Column:
-    inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit("''"), F.lit("'"))
-    text = F.when(cell.startswith("'"), inner).otherwise(F.nullif(F.trim(cell), F.lit("NULL")))
-    return text.try_cast(kind)
+def _value(cell: Column, kind: T.DataType, name: str, strict: bool) -> Column:
+    """A cell's value: text has a quote in front and no other mark."""
+    text = F.when(cell.startswith("'"), F.substring(cell, F.lit(2), F.length(cell))).otherwise(cell)
+    value = text.try_cast(kind)
+    if not strict or isinstance(kind, T.StringType):
+        return value
+    wrong = F.raise_error(F.concat(F.lit(f"not a value of {name} ({kind.simpleString()}): "), text)).cast(kind)
+    return F.when(value.isNotNull() | text.isNull(), value).otherwise(wrong)
 
 
 def sql_dump_lines(df: DataFrame, table: str) -> DataFrame:
@@ -73,61 +64,36 @@ def write_sql_dump(df: DataFrame, table: str, path: str) -> None:
     sql_dump_lines(df, table).write.mode("overwrite").text(f"{path}/data")
 
 
-def _statements(spark: SparkSession, path: str) -> DataFrame:
-    """One column ``text``: INSERT statements, each with whatever stands up to the next one.
-
-    Lines are read in parallel. Most statements are one whole line and need nothing else. The other lines are
-    put together from a statement's first line on: their order is the file's, from the place of their block and
-    the line's number in it, so only running counts per block and file are computed.
-    """
-    lines = spark.read.text(path).select(
-        F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("id"),
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-    )
-    lines = lines.withColumn("begins", F.col("line").rlike(_BEGINS))
-    quotes = F.length("line") - F.length(F.replace("line", F.lit("'"), F.lit("")))
-    whole = F.col("begins") & (quotes % 2 == 0) & F.col("line").rlike(_ENDS)
-    single = lines.filter(whole).select(F.explode(F.split("line", _NEXT)).alias("text"))
-    rest = lines.filter(~whole)
-    blocks = rest.groupBy("file", "block").agg(F.sum(F.col("begins").cast("int")).alias("n"))
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    upto = F.sum(F.col("begins").cast("int")).over(W.partitionBy("file", "block").orderBy("id"))
-    numbered = rest.withColumn("upto", upto).join(blocks, ["file", "block"])
-    parts = numbered.groupBy("file", (F.col("before") + F.col("upto")).alias("statement")).agg(
-        F.sort_array(F.collect_list(F.struct("block", "id", "line"))).alias("lines")
-    )
-    joined = parts.filter("statement > 0").select(F.array_join("lines.line", "\n").alias("text"))
-    return single.unionByName(joined)
-
-
-def _plain_name(name: Column) -> Column:
+def _plain_name(name: Column | str) -> Column:
     """A table or column name without its schema and quotes, in lower case."""
     return F.lower(F.regexp_replace(F.substring_index(F.trim(name), ".", -1), '["`\\s]', ""))
 
 
-def read_sql_dump(spark: SparkSession, path: str, schema: T.StructType, table: str | None = None) -> DataFrame:
+def read_sql_dump(
+    spark: SparkSession, path: str, schema: T.StructType, table: str | None = None, strict: bool = True
+) -> DataFrame:
     """Rows of the INSERT statements in dump files; other statements and comments are skipped.
 
-    Any layout goes: one or many tuples per statement, over any number of lines, with either line end and either
-    case of the keywords. Values go to ``schema`` by the statement's column list, by position if it has none; a
-    column that the list leaves out is null. ``table`` keeps the statements of one table. A tuple with another
-    number of values than columns is an error.
+    Any layout goes: one or many tuples per statement, over any number of lines or on one, with comments between,
+    nested parentheses, and quotes, semicolons or whole statements inside of texts. A statement of any size is read by many
+    tasks. Values go to ``schema`` by the statement's column list, by position if it has none; a column that the list
+    leaves out is null. ``table`` keeps the statements of one table. Literals are decoded (doubled quotes, ``E''``,
+    ``$$``, a type before or behind); any other expression stays as its text in a text column.
+
+    A row with another number of values than columns is an error, and so is a value that is none of its column's
+    type, unless ``strict`` is off: it is null then. No row is left out: see ``insert_rows`` for what else is an error.
     """
-    found = _statements(spark, path).select(
-        _plain_name(F.regexp_extract("text", _HEAD, 1)).alias("table"), F.regexp_extract("text", _HEAD, 2).alias("columns"),
-        F.explode(F.regexp_extract_all("text", F.lit(_TUPLE), F.lit(1))).alias("tuple"),
-    )
+    found = insert_rows(spark, path)
     if table is not None:
-        found = found.filter(F.col("table") == _plain_name(F.lit(table)))
+        found = found.filter(_plain_name("table") == _plain_name(F.lit(table)))
     given = F.transform(F.split("columns", ","), _plain_name)
     own = F.array(*[F.lit(f.name.lower()) for f in schema.fields])
-    names = F.when(F.col("columns") == "", own).otherwise(given)
-    cells = found.select(names.alias("names"), F.regexp_extract_all("tuple", F.lit(_VALUE), F.lit(0)).alias("cells"), "tuple")
-    same = F.size("names") == F.size("cells")
-    wrong = F.raise_error(F.concat(F.lit("the number of values is not that of the columns: ("), F.col("tuple"), F.lit(")")))
-    cells = cells.select("names", F.when(same, F.col("cells")).otherwise(wrong).alias("cells"))
-    return cells.select([
-        _value(F.get("cells", (F.array_position("names", f.name.lower()) - 1).cast("int")), f.dataType).alias(f.name)
-        for f in schema.fields
-    ])
+    rows = found.select(F.when(F.col("columns").isNull(), own).otherwise(given).alias("names"), "cells")
+    shown = F.array_join(F.transform("cells", lambda c: F.ltrim(c, F.lit("'"))), ", ", "NULL")
+    wrong = F.raise_error(F.concat(F.lit("the number of values is not that of the columns: ("), shown, F.lit(")")))
+    rows = rows.select("names", F.when(F.size("names") == F.size("cells"), F.col("cells")).otherwise(wrong).alias("cells"))
+
+    def cell(field: T.StructField) -> Column:
+        return F.get("cells", (F.array_position("names", field.name.lower()) - 1).cast("int"))
+
+    return rows.select([_value(cell(f), f.dataType, f.name, strict).alias(f.name) for f in schema.fields])
