@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from coursecast.functions.courses import bucket
 from coursecast.functions.names import key_columns
 from coursecast.operators.accuracy import course_accuracy, regression_metrics
 from coursecast.operators.features import fit_preprocessing, in_training, row_key, select_features
+from coursecast.operators.forest import Trees, cut_back, squared_errors
 from coursecast.schema import TARGET
 from coursecast.sources.scratch import settle
 
@@ -28,9 +29,12 @@ ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)  # fixed values: ridge penalties tried
 LEAST_BINS = 1024
 MAX_DEPTH = 30  # deepest tree Spark builds; stands in for "no limit"
 
-# The whole forest grid, searched unless the caller names another, and a small one. Minimum split size has no Spark counterpart.
-FULL_FOREST = {"numTrees": (100, 200, 300), "maxDepth": (MAX_DEPTH, 10, 20), "minInstancesPerNode": (1, 2, 4)}
-SMALL_FOREST = {"numTrees": (100,), "maxDepth": (MAX_DEPTH, 10), "minInstancesPerNode": (1, 4)}
+# The whole forest grid of 108 points, searched unless the caller names another, and a small one. No limit of the
+# depth and 30 are one and the same here, so 81 points differ. ``minSplit`` is the fewest rows that a node needs to be split.
+FULL_FOREST = {
+    "numTrees": (100, 200, 300), "maxDepth": (MAX_DEPTH, 10, 20, 30), "minSplit": (2, 5, 10), "minInstancesPerNode": (1, 2, 4),
+}
+SMALL_FOREST = {"numTrees": (100,), "maxDepth": (MAX_DEPTH, 10), "minSplit": (2,), "minInstancesPerNode": (1, 4)}
 
 
 @dataclass
@@ -102,26 +106,40 @@ def _search_ridge(encoded, columns, grid, folds, parallelism, labels):
 
 
 def _search_forest(encoded, columns, grid, folds, parallelism, labels):
-    forest = RandomForestRegressor(
-        featuresCol="features", labelCol="label", featureSubsetStrategy="all",
-        maxBins=max(LEAST_BINS, labels + 1), seed=42,
-    )
-    builder = ParamGridBuilder()
-    for name, values in (grid or FULL_FOREST).items():
-        builder = builder.addGrid(forest.getParam(name), list(dict.fromkeys(values)))
-    points = builder.build()
-    settings = [{p.name: v for p, v in point.items()} for point in points]
-    if len(points) == 1:
-        return forest.fit(encoded, points[0]), settings, []
-    search = CrossValidator(
-        estimator=forest,
-        estimatorParamMaps=points,
-        evaluator=RegressionEvaluator(metricName="mse"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(encoded)
-    return search.bestModel, settings, search.avgMetrics
+    """Mean squared error of all grid points over the folds.
+
+    For each combination of the settings that change how a tree grows, one forest per fold is grown to the greatest depth;
+    all depths and minimum split sizes are read off by cutting it back. The best point's forest is grown
+    on all rows.
+    """
+    spark = encoded.sparkSession
+    grid = {name: tuple(dict.fromkeys(values)) for name, values in (grid or FULL_FOREST).items()}
+    depths, splits = grid.pop("maxDepth", (5,)), grid.pop("minSplit", (2,))
+    cuts = list(product(depths, splits))
+    grown = [dict(zip(grid, values)) for values in product(*grid.values())]
+    settings = [{**g, "maxDepth": d, "minSplit": s} for g in grown for d, s in cuts]
+
+    def forest(depth: int, setting: Mapping) -> RandomForestRegressor:
+        return RandomForestRegressor(
+            featuresCol="features", labelCol="label", featureSubsetStrategy="all", maxBins=max(LEAST_BINS, labels + 1), seed=42,
+            maxDepth=depth, **setting,
+        )
+
+    def errors_of(unit: tuple[Mapping, int]) -> np.ndarray:
+        setting, fold = unit
+        model = forest(max(depths), setting).fit(encoded.filter(F.col("fold") != fold))
+        return squared_errors(encoded.filter(F.col("fold") == fold), Trees.of(spark, model), cuts)
+
+    errors = []
+    if len(settings) > 1:
+        units = list(product(grown, range(folds)))
+        with ThreadPoolExecutor(parallelism) as pool:
+            found = np.array(list(pool.map(errors_of, units))).reshape(len(grown), folds, len(cuts))
+        errors = np.nanmean(found, axis=1).ravel().tolist()
+    best = settings[int(np.argmin(errors))] if errors else settings[0]
+    rest = {k: v for k, v in best.items() if k not in ("maxDepth", "minSplit")}
+    model = forest(best["maxDepth"], rest).fit(encoded)
+    return cut_back(spark, model, best["minSplit"]), settings, errors
 
 
 # Search function and number of folds of each kind of model.

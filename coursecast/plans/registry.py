@@ -1009,7 +1009,7 @@ def m6(spark, sf):
     return M.search_report(spark, M.fit(standin.features(spark, sf), "linear")).withColumns(_r6("mse"))
 
 
-_SEARCHED = {"numTrees": (20,), "maxDepth": (5, 10)}
+_SEARCHED = {"numTrees": (20,), "maxDepth": (5, 10), "minSplit": (2, 5, 10)}
 _VALIDATION = f"{bucket(100, 'term', 'subj', 'crse')} >= 80"
 
 
@@ -1083,11 +1083,30 @@ def m8(spark, sf):
 _NAMES = "(values ('term'), ('subj'), ('crse'), ('credits')) as t(feature)"
 
 
+@query("m7_forest_predictions")
+def m7_predictions(spark, sf):
+    """What a searched forest predicts for each validation row, and its error."""
+    scored = M.predict(standin.features(spark, sf).filter(~FT.in_training()), _forest(spark, sf))
+    return scored.select("term", "subj", "crse", TARGET, "prediction", F.abs(F.col(TARGET) - F.col("prediction")).alias("error"))
+
+
+@query("m7_forest_search")
+def m7_search(spark, sf):
+    """The error of every grid point: depths and minimum split sizes from the same grown forests."""
+    return M.search_report(spark, _forest(spark, sf))
+
+
+@query("m9_feature_importance")
+def m9(spark, sf):
+    """The importances of a searched forest, strongest first."""
+    return M.feature_importance(spark, _forest(spark, sf))
+
+
 @query(
-    "m9_feature_importance",
+    "m9_importance_properties",
     sql(f"select feature, true as sums_to_one, true as descending from {_NAMES}"),
 )
-def m9(spark, sf):
+def m9_properties(spark, sf):
     """A searched forest's importances: one per feature, together 1, strongest first."""
     found = M.feature_importance(spark, _forest(spark, sf)).collect()
     values = [r.importance for r in found]
@@ -1104,11 +1123,17 @@ def m9_single_split(spark, sf):
     return M.feature_importance(spark, _stump(spark, sf))
 
 
+@query("w10_top_features")
+def w10(spark, sf):
+    """The five strongest features of a searched forest."""
+    return M.feature_importance(spark, _forest(spark, sf), top=5)
+
+
 @query(
-    "w10_top_features",
+    "w10_single_split",
     sql("select feature, 1.0::double as importance from best", "features", **_CODING, **_SPLITS),
 )
-def w10(spark, sf):
+def w10_single_split(spark, sf):
     return M.feature_importance(spark, _stump(spark, sf), top=1)
 
 

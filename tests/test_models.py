@@ -130,7 +130,7 @@ def test_forest(spark, data):
 def test_full_grids_are_the_fixed_ones():
     assert models.ALPHAS == (0.1, 1.0, 10.0, 100.0, 1000.0)
     sizes = [len(v) for v in models.FULL_FOREST.values()]
-    assert sizes == [3, 3, 3]
+    assert sizes == [3, 4, 3, 3]  # 108 points
 
 
 def test_unknown_kind(data):
