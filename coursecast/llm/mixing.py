@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from coursecast.operators.order import fresh
 from coursecast.sources.scratch import settle
 
 # Fixed values of the mix.
@@ -103,7 +104,8 @@ def pareto_mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "so
         .withColumn("coarse", F.floor(F.col("cell") / _CELLS).cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "sure", "rank", "cell", "coarse")
     )
-    need = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("sure") * F.col("size"))).alias("need"))
+    # One row per source, stored: Spark knows its size and does not deal all rows by source to join it.
+    need = settle(rows.groupBy("source").agg((F.max("target") - F.sum(F.col("sure") * F.col("size"))).alias("need")), "mix-need")
 
     def edge(counted: DataFrame, cell: str, need: DataFrame) -> DataFrame:
         """Per source the cell in which the need is met, and what it still needs there."""
@@ -128,13 +130,13 @@ def pareto_mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "so
     columns = ["doc_id", "source", "size", "source_size", "target", "sure", "rank", "more"]
     drawn = settle(easy.select(*columns).unionByName(close.select(*columns)), "mix-drawn")
 
-    gaps = drawn.groupBy("source").agg(
+    gaps = settle(drawn.groupBy("source").agg(
         (F.max("target") - F.sum((F.col("sure") + F.col("more").cast("long")) * F.col("size"))).alias("gap")
-    )
+    ), "mix-gaps")
     off = F.abs(F.col("size") - F.col("gap"))
     fits = F.min(F.struct(off.alias("off"), "rank", "doc_id", "size")).alias("last")
     left = with_source(drawn.filter("rank is not null and not more"), gaps, "gap").filter(off < F.col("gap"))
-    last = left.groupBy("source").agg(fits)
+    last = settle(left.groupBy("source").agg(fits), "mix-last")
     final = with_source(drawn, last, "last")
     is_last = ~F.col("more") & F.struct("rank", "doc_id", "size").eqNullSafe(F.struct("last.rank", "last.doc_id", "last.size")) & F.col("last").isNotNull()
     final = final.withColumn("is_last", is_last)
@@ -150,18 +152,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with the columns of ``docs``.
 
     Documents without words are in no mix. Rows with the same ``doc_id`` and size share their copies evenly, the
-    first by the hash of their text getting what is left over.
+    first by the hash of their text getting what is left over. Further columns stay as they are, whatever their names;
+    an empty table gives an empty result.
     """
-    take = pareto_mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_taken"))
-    take = take.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    id_, taken, copies, n, words, copy = (
+        fresh(docs, c) for c in ("mix_id", "mix_size", "mix_copies", "mix_rows", "mix_words", "mix_copy")
+    )
+    take = pareto_mix(docs, **options).groupBy(F.col("doc_id").alias(id_), F.col("size").alias(taken))
+    take = take.agg(F.sum("copies").alias(copies), F.count("*").alias(n)).filter(F.col(copies) > 0)
     text = F.col(options.get("text_col", "text")).cast("string")
-    rows = docs.withColumn("_size", size_of(text))
-    rows = rows.join(take, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_taken")))
-    place = F.row_number().over(W.partitionBy("_id", "_size").orderBy(F.xxhash64(text)))
-    alone = rows.filter("_rows = 1")
-    shared = rows.filter("_rows > 1").withColumn("_copies", F.floor(F.col("_copies") / F.col("_rows")) + (place <= F.col("_copies") % F.col("_rows")).cast("long"))
-    rows = alone.unionByName(shared.filter("_copies > 0"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.withColumn(words, size_of(text))
+    rows = rows.join(take, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(words) == F.col(taken)))
+    place = F.row_number().over(W.partitionBy(id_, words).orderBy(F.xxhash64(text)))
+    alone = rows.filter(F.col(n) == 1)
+    even = F.floor(F.col(copies) / F.col(n)) + (place <= F.col(copies) % F.col(n)).cast("long")
+    several = rows.filter(F.col(n) > 1).withColumn(copies, even)
+    rows = alone.unionByName(several.filter(F.col(copies) > 0))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 ORACLE = r"""
