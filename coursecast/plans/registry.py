@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ from coursecast.plans import scoring, standin, training
 from coursecast.plans.oracle import FLOOR, bucket, coding, ridge, sql
 from coursecast.schema import REPORT_NAMES, SECTION_SCHEMA, TARGET
 from coursecast.sources import catalog, csv, results, sql_dump
+from coursecast.sources.replace import move
 from coursecast.sources.scratch import scratch_path
-from coursecast.streaming.drop_folder import load_new_files
+from coursecast.streaming.drop_folder import load_mixed_files, load_new_files
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +150,36 @@ def s5(spark, sf):
     )
 
 
+@query(
+    "s5_many_files",
+    sql("select replace(lower(term_desc), ' ', '_') as table_name, true as loaded, count(*) as n_rows, cast(sum(act) as bigint) as total_act "
+        "from sections group by term_desc union all select 'nation', true, count(*), cast(sum(n_regionkey) as bigint) from nation "
+        "union all select 'empty', false, null, null union all select 'nation', false, null, null", "sections"),
+)
+def s5_many(spark, sf):
+    """A file per term, one of other columns, an empty one, and one whose name gives a table that is there already."""
+    folder, out, parts = scratch_path(spark, "s5-many"), scratch_path(spark, "s5-many-out"), scratch_path(spark, "s5-parts")
+    named = F.replace(F.lower("term_desc"), F.lit(" "), F.lit("_"))
+    sections = standin.sections(spark, sf).withColumn("file", named).repartition("file")
+    sections.write.partitionBy("file").option("header", True).csv(parts)
+    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    for name in ("nation", "nation.", "empty"):
+        rows = nation if name != "empty" else nation.filter("false")
+        rows.coalesce(1).write.option("header", True).csv(f"{parts}/file={name}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(parts).select("path").collect()
+    for r in found:  # one part file each, moved to the folder under its table's name
+        move(spark, r.path, f"{folder}/{r.path.split('file=')[1].split('/')[0]}.csv")
+    loaded = csv.load_csv_dir(spark, folder, out).select("table_name", "loaded")
+    good = [r.table_name for r in loaded.filter("loaded").collect()]
+    sums = [
+        spark.read.parquet(f"{out}/{n}").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum("n_regionkey" if n == "nation" else "act").cast("long").alias("total_act")
+        ).select(F.lit(n).alias("table_name"), F.lit(True).alias("loaded"), "*")
+        for n in sorted(good)
+    ]
+    return loaded.join(reduce(DataFrame.unionByName, sums), ["table_name", "loaded"], "left")
+
+
 _S6_VALUES = ", ', ', ".join(
     [
         "cast(term as varchar)", "'''' || replace(term_desc, '''', '''''') || ''''", "cast(crn as varchar)",
@@ -248,6 +280,29 @@ def s11(spark, sf):
     return _per_term(spark.read.parquet(out))
 
 
+@query(
+    "s11_mixed_folder",
+    sql("select 'sections' as table_name, count(*) as n_rows, cast(sum(act) as bigint) as total from sections "
+        "union all select 'nation', count(*), cast(sum(n_regionkey) as bigint) from nation "
+        "union all select 'region', count(*), cast(sum(r_regionkey) as bigint) from region union all select 'rejected', 1, 0", "sections"),
+)
+def s11_mixed(spark, sf):
+    """Files of three tables, one with its columns in another order, and an odd one, in one folder."""
+    folder, out, mark = (scratch_path(spark, f"s11-mixed-{n}") for n in ("in", "out", "checkpoint"))
+    sections, nation, region = standin.sections(spark, sf), *(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("nation", "region"))
+    odd = region.select(F.col("r_name").alias("something"), F.col("r_regionkey").alias("else"))
+    for rows in (sections, nation.select(*nation.columns[::-1]), region, odd.coalesce(1)):
+        rows.write.mode("append").option("header", True).csv(folder)
+    shapes = {"sections": sections.schema, "nation": nation.schema, "region": region.schema}
+    for _ in range(2):  # the second run finds nothing new
+        load_mixed_files(spark, folder, out, mark, shapes)
+    totals = {"sections": F.sum("act"), "nation": F.sum("n_regionkey"), "region": F.sum("r_regionkey"), "rejected": F.lit(0)}
+    return reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{out}/{n}").agg(F.count(F.lit(1)).alias("n_rows"), total.cast("long").alias("total")).select(F.lit(n).alias("table_name"), "*")
+        for n, total in totals.items()
+    ])
+
+
 # --- catalog and profiles ---------------------------------------------------------------------
 
 _CATALOG = ["orders", "part", "sections", "term_context", "year_context"]
