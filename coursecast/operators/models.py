@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -69,24 +70,45 @@ def _fit_ridge(encoded: DataFrame, alpha: float) -> Model:
     ).fit(encoded)
 
 
+def moments(encoded: DataFrame, columns: Sequence[str]) -> list[np.ndarray]:
+    """Per fold, in order, the sums of all products of a one, the columns and the label, in one job.
+
+    Each task multiplies its rows as one matrix and hands on the upper triangle; the sums over the tasks are
+    Spark's. So hundreds of columns are one product a batch, not an expression for each pair.
+    """
+    values = [*columns, "label"]
+    size = len(values) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold = batch.column(0).to_numpy()
+            x = np.column_stack([np.ones(batch.num_rows), *(batch.column(k).to_numpy() for k in range(1, size))])
+            for f in np.unique(fold).tolist():
+                mine = x[fold == f]
+                own[f] = own.get(f, 0.0) + mine.T @ mine
+        i, j = np.triu_indices(size)
+        for f, m in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), f)), pa.array(i), pa.array(j), pa.array(m[i, j])], ["fold", "i", "j", "v"])
+
+    rows = encoded.select(F.col("fold").cast("long").alias("fold"), *[F.col(c).cast("double").alias(c) for c in values])
+    sums = rows.mapInArrow(run, "fold long, i long, j long, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    out = []
+    for _, part in sorted(sums.groupby("fold")):
+        m = np.zeros((size, size))
+        m[part.i, part.j] = m[part.j, part.i] = part.v
+        out.append(m)
+    return out
+
+
 def ridge_errors(encoded: DataFrame, columns: Sequence[str], alphas: Sequence[float]) -> list[float]:
     """Mean squared error of each penalty, averaged over the held-out folds.
 
-    One pass over the data serves the whole search: it sums the products of the columns within
-    each fold, and a fold's training and held-out errors for any penalty follow from those sums.
-    Only one small matrix per fold reaches the driver.
+    One pass over the data serves the whole search: a fold's training and held-out errors for any penalty follow
+    from the sums of products within each fold. Only one matrix per fold reaches the driver.
     """
-    values = ["1.0D", *columns, "label"]
-    size = len(values)
-    cells = [(i, j) for i in range(size) for j in range(i, size)]
-    sums = [F.sum(F.expr(f"{values[i]} * {values[j]}")).alias(f"s_{i}_{j}") for i, j in cells]
-    moments = []
-    for row in encoded.groupBy("fold").agg(*sums).orderBy("fold").collect():
-        m = np.zeros((size, size))
-        for i, j in cells:
-            m[i, j] = m[j, i] = row[f"s_{i}_{j}"]
-        moments.append(m)
-    total = sum(moments)
+    moments_ = moments(encoded, columns)
+    total = sum(moments_)
 
     def held_out_error(test: np.ndarray, alpha: float) -> float:
         fit_on = total - test
@@ -95,7 +117,7 @@ def ridge_errors(encoded: DataFrame, columns: Sequence[str], alphas: Sequence[fl
         residual = np.append(-w, 1.0)
         return residual @ test @ residual / test[0, 0]
 
-    return [float(np.mean([held_out_error(m, a) for m in moments])) for a in alphas]
+    return [float(np.mean([held_out_error(m, a) for m in moments_])) for a in alphas]
 
 
 def _search_ridge(encoded, columns, grid, folds, parallelism, labels):

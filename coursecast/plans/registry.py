@@ -305,7 +305,7 @@ def s11_mixed(spark, sf):
 
 # --- catalog and profiles ---------------------------------------------------------------------
 
-_CATALOG = ["orders", "part", "sections", "term_context", "year_context"]
+_CATALOG = sorted([*standin.STORED, "sections", "term_context", "year_context"])
 _CONTEXTS = ["sections", "term_context", "year_context"]
 
 
@@ -337,6 +337,14 @@ def c1(spark, sf):
     return catalog.table_columns(spark, tables).join(catalog.row_counts(tables), "table_name")
 
 
+@query(
+    "c1_auto_schema",
+    _catalog_sql("select table_name, cast(ordinal as integer) as ordinal, column_name, '' as description from cols"),
+)
+def c1_auto(spark, sf):
+    return catalog.schema_rows(spark, standin.catalog(spark, sf))
+
+
 @query(
     "c2_first_table_with_columns",
     sql("select distinct 'sections' as table_name, term, term_desc from sections", "sections"),
@@ -365,6 +373,22 @@ def c4(spark, sf):
     return catalog.table_roles(standin.catalog(spark, sf))
 
 
+@query(
+    "c4_counts_by_file",
+    sql("select count(*) as n_rows, 2 as tables, true as only_new from (select * from sections union all select * from sections)", "sections"),
+)
+def c4_files(spark, sf):
+    """Counts kept by file: after a second load only its files are counted."""
+    path, kept = scratch_path(spark, "c4-table"), scratch_path(spark, "c4-counts")
+    rows = standin.sections(spark, sf)
+    rows.write.parquet(path)
+    first = catalog.counted_files(spark.read.parquet(path), kept).count()
+    rows.repartition(3).write.mode("append").parquet(path)
+    counts = catalog.counted_files(spark.read.parquet(path), kept)
+    only_new = spark.read.parquet(kept).count() == first + 3
+    return counts.agg(F.sum("n_rows").alias("n_rows"), F.lit(2).alias("tables"), F.lit(only_new).alias("only_new"))
+
+
 @query(
     "c5_primary_table",
     _catalog_sql("""

@@ -89,11 +89,16 @@ def repeated_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_totals(spark, sf_dir, "term", "priority")
 
 
+STORED = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part",
+    "region", "supplier",
+)
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Section data, context tables and stored tables, by name."""
+    """Section data, context tables and all stored tables, by name."""
     return {
-        "orders": table(spark, sf_dir, "orders"),
-        "part": table(spark, sf_dir, "part"),
+        **{name: table(spark, sf_dir, name) for name in STORED},
         "sections": sections(spark, sf_dir),
         "term_context": term_context(spark, sf_dir),
         "year_context": year_context(spark, sf_dir),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursecast.functions.names import role_flags
+from coursecast.sources.replace import file_system
 
 Tables = Mapping[str, DataFrame]
 
@@ -38,6 +40,11 @@ def table_schema(tables: Tables) -> dict[str, dict[str, str]]:
     return {name: dict.fromkeys(tables[name].columns, "") for name in sorted(tables)}
 
 
+def schema_rows(spark: SparkSession, tables: Tables) -> DataFrame:
+    """(table_name, ordinal, column_name, description): the generated feature schema as a dataset, descriptions empty."""
+    return table_columns(spark, tables).withColumn("description", F.lit(""))
+
+
 def first_table_with(tables: Tables, columns: Iterable[str]) -> str | None:
     """First table, by name, that has all the columns."""
     needed = set(columns)
@@ -53,6 +60,27 @@ def row_counts(tables: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def counted_files(df: DataFrame, kept: str) -> DataFrame:
+    """(file, n_rows) of a stored table's files, from the counts kept at ``kept``.
+
+    Only files that have no count yet are counted, from their footers, and added to it; files that are gone are left
+    out. Files of tables are never changed, so a name stands for a content.
+    """
+    spark = df.sparkSession
+    files, place = file_system(spark, kept)
+    now = df.inputFiles()
+    known = {r.file for r in spark.read.parquet(kept).select("file").collect()} if files.exists(place) else set()
+    new = sorted(set(now) - known)
+    if new:
+        same = lambda c: F.regexp_replace(c, ":/+", ":/")  # noqa: E731  one form of a path without a host
+        counts = spark.read.parquet(*map(unquote, new)).groupBy(same(F.col("_metadata.file_path")).alias("place")).agg(F.count(F.lit(1)).alias("n_rows"))
+        listed = spark.createDataFrame([(f,) for f in new], "file string").withColumn("place", same(F.col("file")))
+        listed.join(counts, "place", "left").select("file", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows")).coalesce(1).write.mode("append").parquet(kept)
+    if not now:
+        return spark.createDataFrame([], "file string, n_rows long")
+    return spark.read.parquet(kept).join(F.broadcast(spark.createDataFrame([(f,) for f in now], "file string")), "file").select("file", "n_rows")
+
+
 def table_roles(tables: Tables) -> DataFrame:
     """(table_name, has_subj .. has_enrollment, row_count) of every table."""
     flags = {name: role_flags(df.columns) for name, df in tables.items()}

@@ -91,3 +91,16 @@ def test_mixed_drop_folder(spark, tmp_path):
     assert rows(spark.read.parquet(f"{out}/marks").select("id", "the_mark")) == [(1, 2.5)]
     rejected = {r.file.split("/")[-1]: r.reason for r in spark.read.parquet(f"{out}/rejected").collect()}
     assert set(rejected) == {"odd.csv", "wide.csv"} and "more values" in rejected["wide.csv"]
+
+
+def test_counts_are_kept_by_file(spark, tmp_path):
+    from coursecast.sources import catalog
+
+    path, kept = str(tmp_path / "a table"), str(tmp_path / "kept")
+    spark.range(10).withColumn("k", F.lit("a b+c%")).repartition(2).write.partitionBy("k").parquet(path)
+    assert sum(r.n_rows for r in catalog.counted_files(spark.read.parquet(path), kept).collect()) == 10
+    spark.range(5).withColumn("k", F.lit("z")).coalesce(1).write.mode("append").partitionBy("k").parquet(path)
+    assert sum(r.n_rows for r in catalog.counted_files(spark.read.parquet(path), kept).collect()) == 15
+    assert spark.read.parquet(kept).count() == 3
+    spark.range(2).withColumn("k", F.lit("y")).coalesce(1).write.mode("overwrite").partitionBy("k").parquet(path)
+    assert [r.n_rows for r in catalog.counted_files(spark.read.parquet(path), kept).collect()] == [2]

@@ -216,3 +216,22 @@ def test_rows_without_a_key_stay(spark, sections):
     rows = sections.limit(5).unionByName(sections.limit(1).withColumn("subj", F.lit(None).cast("string")))
     scored = scoring.score_rows(rows, fitted)
     assert scored.count() == 6 and scored.filter("prediction is null").count() == 1
+
+
+def test_wide_ridge_search_is_one_job(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 300))
+    y = x[:, 0] * 2 + rng.normal(size=400)
+    rows = [(int(k % 3), *map(float, x[k]), float(y[k])) for k in range(400)]
+    names = [f"c{k}" for k in range(300)]
+    encoded = spark.createDataFrame(rows, ["fold", *names, "label"]).repartition(4).cache()
+    encoded.count()
+    spark.sparkContext.setJobGroup("wide-ridge", "")
+    got = models.moments(encoded, names)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("wide-ridge")) <= 2  # the second reads the shuffle of the first
+    spark.sparkContext.setJobGroup("", "")
+    for fold in range(3):
+        part = np.column_stack([np.ones(400), x, y])[np.arange(400) % 3 == fold]
+        assert np.allclose(got[fold], part.T @ part)
+    errors = models.ridge_errors(encoded, names, [1.0, 1000.0])
+    assert len(errors) == 2 and all(e > 0 for e in errors)
