@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from coursecast.functions.terms import term_year, whole_term
 from coursecast.operators.order import exact_quantiles
 from coursecast.schema import TARGET
+from coursecast.sources.replace import file_system
 from coursecast.sources.scratch import settle
 
 ID_WORDS = ("id", "guid", "uuid")  # fixed values: parts of a name that mark an id column
@@ -123,3 +124,55 @@ def text_cardinality(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     stats = df.agg(allowed).select(F.explode(F.array(*[F.lit(c) for c in texts])).alias("column_name"), "most_allowed")
     found = _with_distinct(stats, df, texts).select("column_name", "n_distinct", "most_allowed")
     return found.withColumn("kept", F.col("n_distinct") <= F.col("most_allowed"))
+
+
+SKETCH_BITS = 14  # of a sketch's buckets: a standard error of about 0.6 %
+
+
+def term_sketches(df: DataFrame, by: str = "term") -> DataFrame:
+    """(``by``, column_name, n_rows, n_null, sketch) of every other column: a mergeable count of distinct values per term."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns if c != by])
+    narrow = df.select(by, F.explode(cells).alias("cell")).select(by, "cell.column_name", "cell.value")
+    return narrow.groupBy(by, "column_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_null"),
+        F.hll_sketch_agg("value", F.lit(SKETCH_BITS)).alias("sketch"),
+    )
+
+
+def refresh_sketches(df: DataFrame, path: str, by: str = "term") -> list:
+    """Add the sketches of terms that ``path`` does not hold yet, and return these terms.
+
+    Only their rows are read: the filter on ``by`` prunes a table that is stored by it. A term whose rows have changed
+    has to be removed from ``path`` first.
+    """
+    spark = df.sparkSession
+    files, place = file_system(spark, path)
+    terms = {r[0] for r in df.select(by).distinct().collect() if r[0] is not None}
+    known = {r[0] for r in spark.read.parquet(path).select(by).distinct().collect()} if files.exists(place) else set()
+    new = sorted(terms - known)
+    if new:
+        term_sketches(df.filter(F.col(by).isin(new)), by).repartition(1).write.mode("append").partitionBy(by).parquet(path)
+    return new
+
+
+def sketched_profile(sketches: DataFrame) -> DataFrame:
+    """(column_name, n_rows, n_null, pct_null, n_distinct) over all terms; distinct counts are estimates."""
+    return sketches.groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"),
+        F.try_divide(F.sum("n_null") * 100.0, F.sum("n_rows")).alias("pct_null"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"),
+    )
+
+
+def sketched_cardinality(df: DataFrame, sketches: DataFrame, texts: Sequence[str], margin: float = 0.1) -> DataFrame:
+    """What ``text_cardinality`` gives for ``texts``, from sketches; only columns whose estimate is within ``margin`` of the
+    limit are counted in the data."""
+    found = sketched_profile(sketches).filter(F.col("column_name").isin(list(texts))).select("column_name", "n_rows", "n_distinct").collect()
+    rows = []
+    near = [r for r in found if abs(r.n_distinct - min(100.0, r.n_rows * 0.1)) <= margin * min(100.0, r.n_rows * 0.1)]
+    exact = {r.column_name: r.n_distinct for r in _distinct_counts(df, [r.column_name for r in near]).collect()} if near else {}
+    for r in found:
+        limit = min(100.0, r.n_rows * 0.1)
+        count = exact.get(r.column_name, r.n_distinct)
+        rows.append((r.column_name, int(count), limit, count <= limit))
+    return df.sparkSession.createDataFrame(rows, "column_name string, n_distinct bigint, most_allowed double, kept boolean")

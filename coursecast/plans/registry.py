@@ -416,6 +416,26 @@ def c6(spark, sf):
     return P.feature_profile(standin.sections(spark, sf)).withColumns(_r6("pct_null"))
 
 
+@query(
+    "c6_sketched_profile",
+    sql(" union all ".join(
+        f"""select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, true as near, (select count(distinct term) from sections) as terms
+        from sections""" for c in _C6 if c != "term"), "sections"),
+)
+def c6_sketched(spark, sf):
+    """Profiles from sketches kept per term, added in two turns; distinct counts within 3 % of the exact ones."""
+    path, kept = scratch_path(spark, "c6-sections"), scratch_path(spark, "c6-sketches")
+    csv.save_table(standin.sections(spark, sf), path)
+    stored = spark.read.parquet(path)
+    first = P.refresh_sketches(stored.filter("term < 199900"), kept)
+    second = P.refresh_sketches(stored, kept)
+    terms = len(first) + len(second) if not P.refresh_sketches(stored, kept) else -1
+    estimate = P.sketched_profile(spark.read.parquet(kept))
+    exact = P.feature_profile(stored).select("column_name", F.col("n_distinct").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")
+    return estimate.join(exact, "column_name").select("column_name", "n_rows", "n_null", near.alias("near"), F.lit(terms).cast("long").alias("terms"))
+
+
 @query(
     "c7_target_describe",
     sql("""select count(act_enrollment) as n, avg(act_enrollment) as mean,
@@ -1039,6 +1059,21 @@ def m2(spark, sf):
     return P.text_cardinality(standin.sections(spark, sf))
 
 
+_M2_KEPT = "(select count(distinct {c}) <= least(100, 0.1 * count(*)) from sections)"
+
+
+@query(
+    "m2_chosen_features",
+    sql("select feature from (values " + ", ".join(
+        f"('{c}', {_M2_KEPT.format(c=c) if c in ('term_desc', 'sec', 'title') else 'true'})"
+        for c in ("term", "subj", "crse", "credits", "term_desc", "sec", "title", "crn", "xl_act")) + ") as t(feature, kept) where kept", "sections"),
+)
+def m2_chosen(spark, sf):
+    """The rich feature list of the sections."""
+    chosen = FT.rich_features(standin.sections(spark, sf))
+    return spark.createDataFrame([(c,) for c in chosen], "feature string")
+
+
 @query(
     "m3_hash_split",
     sql(f"select term, subj, crse, {bucket(100, 'term', 'subj', 'crse')} < 80 as in_training from features", "features"),

@@ -315,3 +315,20 @@ def test_training_data_discovers_tables(spark):
     assert query.count() == 2
     with pytest.raises(ValueError):
         training.training_data(spark, tables={"staff": tables["staff"]})
+
+
+def test_sketches_are_added_per_term(spark, tmp_path):
+    path, kept = str(tmp_path / "t"), str(tmp_path / "kept")
+    df = spark.range(4000).select((F.col("id") % 4).cast("int").alias("term"), (F.col("id") % 90).cast("string").alias("few"), F.col("id").cast("string").alias("many"),
+                                  F.when(F.col("id") % 2 == 0, "x").alias("half"))
+    df.write.partitionBy("term").parquet(path)
+    stored = spark.read.parquet(path)
+    assert profile.refresh_sketches(stored.filter("term < 2"), kept) == [0, 1]
+    assert profile.refresh_sketches(stored, kept) == [2, 3] and profile.refresh_sketches(stored, kept) == []
+    got = {r.column_name: r for r in profile.sketched_profile(spark.read.parquet(kept)).collect()}
+    assert got["few"].n_distinct == pytest.approx(90, rel=0.03) and got["many"].n_distinct == pytest.approx(4000, rel=0.03)
+    assert (got["half"].n_null, got["half"].pct_null, got["half"].n_rows) == (2000, 50.0, 4000)
+    plan = profile.term_sketches(stored.filter(F.col("term").isin([2])))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(term" in plan.replace("\n", "")
+    kinds = {r.column_name: (r.n_distinct, r.kept) for r in profile.sketched_cardinality(stored, spark.read.parquet(kept), ["few", "many", "half"]).collect()}
+    assert kinds["few"] == (90, True) and kinds["half"] == (1, True) and not kinds["many"][1]  # 90 is near the limit: counted

@@ -25,8 +25,11 @@ from tests.conftest import rows
 def _beside(pattern: str) -> str | None:
     """The first file of a name pattern below the folders beside the repository's."""
     here = Path(__file__).resolve().parents[1]
-    folders = [p for p in sorted(here.parent.iterdir()) if p.is_dir() and not p.is_symlink() and p != here and not p.name.startswith(".")]
-    return next((str(f) for p in folders for f in sorted(p.glob(pattern))), None)
+    try:
+        folders = [p for p in sorted(here.parent.iterdir()) if p.is_dir() and not p.is_symlink() and p != here and not p.name.startswith(".")]
+        return next((str(f) for p in folders for f in sorted(p.glob(pattern))), None)
+    except OSError:  # the folders beside the repository cannot be read
+        return None
 
 
 DUMP = os.environ.get("COURSECAST_SECTION_DUMP") or _beside("*/data/sql/*section*.sql")
