@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursecast.llm.shared import giving_back
 from coursecast.llm.token_ids import worker_encoder
 
 WINDOW = 2048
@@ -198,7 +199,7 @@ def packed(docs: DataFrame, *, tokenizer: str, end_id: int = 1, text_col: str =
         if ready:
             yield table()
 
-    return rows.mapInArrow(run, KINDS)
+    return rows.mapInArrow(giving_back(run), KINDS)
 
 
 def packing_index(docs: DataFrame, *, tokenizer: str, **settings) -> DataFrame:

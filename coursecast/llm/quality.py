@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursecast.llm.rules import rule_statistics
-from coursecast.llm.shared import by_hash, share
+from coursecast.llm.shared import by_hash, giving_back, share
 from coursecast.llm.textops import Chunk, chunks, sums
 
 SOURCE_BUCKETS, LANG_BUCKETS = 64, 16
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, max_poo
                 [batch.column(0), batch.column(5), pa.array([r.tobytes() for r in both], pa.binary())], ["doc_id", "quality", "x"]
             )
 
-    seen = rows.mapInArrow(run, "doc_id long, quality int, x binary")
+    seen = rows.mapInArrow(giving_back(run), "doc_id long, quality int, x binary")
     once = seen.groupBy("doc_id").agg(F.min("quality"), F.min("x"))  # one text of a repeated id
     found = sorted(tuple(r) for r in once.collect())
     y = np.array([r[1] for r in found])
@@ -229,7 +229,7 @@ def quality(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
                 kept = score >= model.threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(kept)], ["doc_id", "score", "kept"])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, score double, kept boolean")
+    return _columns(docs).mapInArrow(giving_back(run), "doc_id long, score double, kept boolean")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
@@ -249,4 +249,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
                 batch = batch.filter(pa.array(model.score(*_views(used)) >= model.threshold))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)

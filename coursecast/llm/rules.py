@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursecast.llm.shared import by_hash, share
+from coursecast.llm.shared import by_hash, giving_back, share
 from coursecast.llm.textops import Chunk, chunks, covered, sums, whole_windows, windows
 
 # Fixed values of the rules.
@@ -171,7 +171,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *STATISTICS]
             )
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} long" for s in STATISTICS))
+    return docs.mapInArrow(giving_back(run), "doc_id long, " + ", ".join(f"{s} long" for s in STATISTICS))
 
 
 def fit(stats: DataFrame, labels: DataFrame, *, max_rows: int = 8000, max_labelled: int = 8000,
@@ -215,7 +215,7 @@ def judge(stats: DataFrame, forest: IsolationForest) -> DataFrame:
             )
 
     kinds = ", ".join(f"{s} long" for s in STATISTICS)
-    return stats.mapInArrow(run, f"doc_id long, {kinds}, base_failed boolean, anomaly double, kept boolean")
+    return stats.mapInArrow(giving_back(run), f"doc_id long, {kinds}, base_failed boolean, anomaly double, kept boolean")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **fitting) -> DataFrame:

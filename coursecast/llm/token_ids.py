@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from types import ModuleType
 
 import numpy as np
@@ -82,10 +82,20 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.kind = _kind(setting)
         self.special = [t["content"].encode() for t in setting.get("added_tokens", [])]
+        self.between = self._separator(setting.get("added_tokens", []))
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.most = most_words
         self._forget()
 
+    def _separator(self, added: list[dict]) -> tuple[bytes, int] | None:
+        """A text that ends every word and has one id, which no word has."""
+        if self.kind == "spaced":
+            mark = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            return (b"\n", mark[0]) if len(mark) == 1 else None
+        if self.kind == "words" and added:
+            return added[0]["content"].encode(), added[0]["id"]
+        return None
+
     def _forget(self) -> None:
         self.slot_hash = np.zeros(1 << SLOT_BITS, np.uint64)
         self.slot_word = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -116,24 +126,54 @@ class TextEncoder:
             self.slot_hash[slot[mine]] = hashes[mine]
             hashes, number, slot = hashes[~mine], number[~mine], (slot[~mine] + 1) & ((1 << SLOT_BITS) - 1)
 
-    def _place(self, number: int, at: int, found: Sequence[Sequence[int]]) -> int:
+    def _place(self, number: int, at: int, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Put ids behind the first ``at`` as words ``number`` and on; the end of them."""
-        lengths = np.fromiter((len(f) for f in found), np.int64, len(found))
-        end = at + int(lengths.sum())
-        for name, need in (("word_at", number + len(found)), ("word_len", number + len(found)), ("flat", end)):
+        end = at + len(ids)
+        for name, need in (("word_at", number + len(lengths)), ("word_len", number + len(lengths)), ("flat", end)):
             old = getattr(self, name)
             if need > len(old):
                 new = np.zeros(max(need, 2 * len(old)), old.dtype)
                 new[: len(old)] = old
                 setattr(self, name, new)
-        self.word_len[number : number + len(found)] = lengths
-        self.word_at[number : number + len(found)] = at + np.cumsum(lengths) - lengths
-        self.flat[at:end] = np.fromiter((i for f in found for i in f), self.dtype, end - at)
+        self.word_len[number : number + len(lengths)] = lengths
+        self.word_at[number : number + len(lengths)] = at + np.cumsum(lengths) - lengths
+        self.flat[at:end] = ids
         return end
 
-    def _ask(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[Sequence[int]]:
-        texts = [buf[s:e].tobytes().decode() for s, e in zip(start.tolist(), end.tolist())]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ask(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of byte ranges by the library, how many each has, and the order in which the ranges come.
+
+        Many words go as one text with a separator between that has an id of its own: a line feed if white space has
+        ids, else a special token. White space, and words with special tokens, go by themselves.
+        """
+        pieces = [buf[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())]
+        if self.between is None:
+            many, alone = np.zeros(0, np.int64), np.arange(len(pieces))
+        else:
+            space = SPACE[buf[start]] & (SPACE[buf[np.minimum(start + 1, len(buf) - 1)]] | (end - start < 2))
+            marks = {self.between[0], *self.special}
+            data = b"".join(pieces)
+            if any(s in data for s in marks) or len(_other_space(np.frombuffer(data, np.uint8))):
+                odd = [any(s in p for s in marks) or len(_other_space(np.frombuffer(p, np.uint8))) > 0 for p in pieces]
+                space |= np.array(odd, bool)
+            many, alone = np.flatnonzero(~space), np.flatnonzero(space)
+        flat, lengths = [], []
+        if len(many):
+            mark, mark_id = self.between
+            groups = [many[lo : lo + 64].tolist() for lo in range(0, len(many), 64)]
+            joined = [(mark.join([pieces[k] for k in g]) + mark).decode() for g in groups]
+            for g, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(found.ids, self.dtype)
+                cut = np.flatnonzero(ids == mark_id)
+                if len(cut) != len(g):
+                    raise ValueError("the tokenizer joins words with what stands between them")
+                lengths.append(np.diff(cut, prepend=-1) - 1)
+                flat.append(ids[ids != mark_id])
+        texts = [pieces[k].decode() for k in alone.tolist()]
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            lengths.append(np.array([len(found.ids)]))
+            flat.append(np.array(found.ids, self.dtype))
+        return np.concatenate(flat), np.concatenate(lengths), np.concatenate([many, alone])
 
     def _numbers(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The number of each piece's word; words not met before are given to the library together."""
@@ -143,10 +183,12 @@ class TextEncoder:
         if len(miss):
             some, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             at = miss[first]
+            mine = np.empty(len(some), np.int64)
             for lo in range(0, len(at), 4096):
                 part = at[lo : lo + 4096]
-                self.n_ids = self._place(self.n_words + lo, self.n_ids, self._ask(buf, start[part], end[part]))
-            mine = np.arange(self.n_words, self.n_words + len(some))
+                ids, lengths, order = self._ask(buf, start[part], end[part])
+                self.n_ids = self._place(self.n_words + lo, self.n_ids, ids, lengths)
+                mine[lo + order] = self.n_words + lo + np.arange(len(part))
             self._remember(some, mine)
             self.n_words += len(some)
             number[miss] = mine[back]
@@ -154,8 +196,9 @@ class TextEncoder:
         behind, end_ids = self.n_words, self.n_ids  # behind the words that are kept, for this chunk only
         for lo in range(0, len(at), 64):
             part = at[lo : lo + 64]
-            end_ids = self._place(behind, end_ids, self._ask(buf, start[part], end[part]))
-            number[part] = np.arange(behind, behind + len(part))
+            ids, lengths, order = self._ask(buf, start[part], end[part])
+            end_ids = self._place(behind, end_ids, ids, lengths)
+            number[part[order]] = np.arange(behind, behind + len(part))
             behind += len(part)
         return number
 

@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import struct
-import sys
-from collections.abc import Callable, Iterator
-from types import ModuleType
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,105 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coursecast.llm.range_coder import decode, encode
+from coursecast.llm.shared import giving_back
+from coursecast.llm.token_ids import MOST_WORDS, worker_encoder
 from coursecast.sources.scratch import scratch_path
 
 SEGMENT_IDS = 8 << 20
-CACHE_WORDS = 800_000
-
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-#: How byte-level tokenizers cut texts into words (their fixed pattern), for letters and numbers up to U+00FF.
-WORD = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_L}{_N}]+| ?[{_N}]+|\s+(?!\S)|\s+")
-#: Characters up to U+00FF on which libraries differ about what white space is.
-ODD = "\x1c\x1d\x1e\x1f\x85"
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else the next
-    free code point from U+0100."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-class _Words(dict):
-    """Ids by word. A word not met lately is made anew; those in use outlive each change of generation."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.pop(word, None)
-        if ids is None:
-            ids = self.make(word)
-        if len(self) >= self.most // 2:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-
-class TextEncoder:
-    """Ids of whole texts exactly as the tokenizers library gives them, as little-endian 16-bit numbers.
-
-    If the tokenizer is byte-level without normalizer, its words are independent: the library's model encodes
-    each different word once and a bounded cache serves the rest. Texts with special tokens, unusual white
-    space or characters beyond U+00FF, and all texts of other tokenizers, go to the library whole.
-    """
-
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
-            raise ValueError("the file format holds ids below 65536")
-        setting = json.loads(self.tokenizer.to_str())
-        pre = setting.get("pre_tokenizer") or {}
-        self.by_word = (
-            setting.get("normalizer") is None and pre.get("type") == "ByteLevel"
-            and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        )
-        self.special = [t["content"] for t in setting.get("added_tokens", [])]
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.words = _Words(self._word, cache_words)
-
-    def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():  # only the space is written otherwise
-            letters = word.replace(" ", self.letters[32])
-        else:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}H", *ids)
-
-    def _whole(self, text: str) -> bool:
-        if not self.by_word or any(s in text for s in self.special) or any(c in text for c in ODD):
-            return True
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return True
-        return False
-
-    def encode(self, text: str) -> bytes:
-        if self._whole(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
-
-
-def worker_encoder(path: str, cache_words: int) -> TextEncoder:
-    """The encoder of this Python worker, which serves many tasks: its cache of words is filled once."""
-    name = "coursecast_llm_worker"
-    kept = sys.modules.setdefault(name, ModuleType(name)).__dict__
-    if (path, cache_words) not in kept:
-        kept[path, cache_words] = TextEncoder(path, cache_words)
-    return kept[path, cache_words]
 
 
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2, text_col: str = "text",
-                      segment_ids: int = SEGMENT_IDS, cache_words: int = CACHE_WORDS) -> None:
+                      segment_ids: int = SEGMENT_IDS, most_words: int = MOST_WORDS) -> None:
     """Encode every text, append ``end_id``, and write the ids to ``path`` in ascending ``doc_id`` order.
 
     Documents are sorted over the cluster by id, equal and null ids (first) by the hash of their text. A file
@@ -131,7 +35,9 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = worker_encoder(tokenizer, cache_words)
+        encoder = worker_encoder(tokenizer, most_words)
+        if encoder.dtype != np.uint16:
+            raise ValueError("the file format holds ids below 65536")
         end = np.array([end_id], "<u2").tobytes()
         names, parts, n_ids, segment = [], [], 0, 0
 
@@ -147,19 +53,20 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
             )
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py()) + end
-                names.append(name)
-                parts.append(ids)
-                n_ids += len(ids) // 2
-                if n_ids >= segment_ids:
-                    yield pack()
-                    names, parts, n_ids, segment = [], [], 0, segment + 1
+            mine = batch.column(0).to_pylist()
+            for first, ids, at in encoder.encode_texts(batch.column(1)):
+                for k in range(len(at) - 1):
+                    names.append(mine[first + k])
+                    parts.append(ids[at[k] : at[k + 1]].tobytes() + end)
+                    n_ids += len(parts[-1]) // 2
+                    if n_ids >= segment_ids:
+                        yield pack()
+                        names, parts, n_ids, segment = [], [], 0, segment + 1
         if parts:
             yield pack()
 
     kinds = "shard int, segment int, n_ids long, doc_ids array<long>, counts array<long>, ids binary"
-    rows.select("doc_id", "text").mapInArrow(run, kinds).write.parquet(path)
+    rows.select("doc_id", "text").mapInArrow(giving_back(run), kinds).write.parquet(path)
 
 
 def segment_starts(files: DataFrame) -> DataFrame:
@@ -202,7 +109,7 @@ def decoded(files: DataFrame) -> DataFrame:
                     )
 
     kinds = "shard int, segment int, doc_id long, at long, n_tokens long, ids binary"
-    return files.select("shard", "segment", "doc_ids", "counts", "ids").mapInArrow(run, kinds)
+    return files.select("shard", "segment", "doc_ids", "counts", "ids").mapInArrow(giving_back(run), kinds)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

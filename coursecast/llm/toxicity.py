@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursecast.llm.shared import by_hash, share
+from coursecast.llm.shared import by_hash, giving_back, share
 from coursecast.llm.textops import LOWER, SPACE, Chunk, chunks, mix
 
 #: Bytes between words: white space and ASCII punctuation.
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, bits: int =
                 ["doc_id", "toxic", "features"],
             )
 
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features binary")
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(giving_back(run), "doc_id long, toxic int, features binary")
     rows = rows.groupBy("doc_id").agg(F.min("toxic"), F.min("features")).collect()  # one text of a repeated id
     rows = [(r[0], r[1], np.frombuffer(r[2], np.int32)) for r in rows]
     rows.sort(key=lambda r: (r[0], len(r[2]), r[2].tobytes()))
@@ -159,7 +159,7 @@ def score(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFram
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(giving_back(run), "doc_id long, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
