@@ -1427,6 +1427,29 @@ def x9(spark, sf):
     return H.with_lagged_totals(standin.features(spark, sf))
 
 
+@query(
+    "x9_three_levels",
+    sql("""select f.*, cast(p.lagged as bigint) as lagged_program, cast(s.lagged as bigint) as lagged_school, cast(u.lagged as bigint) as lagged_university
+        from schools f
+        join (select subj, term, lag(sum(act_enrollment)) over (partition by subj order by term) as lagged from schools group by subj, term) p
+          on f.subj = p.subj and f.term = p.term
+        join (select school, term, lag(sum(act_enrollment)) over (partition by school order by term) as lagged from schools group by school, term) s
+          on f.school = s.school and f.term = s.term
+        join (select term, lag(sum(act_enrollment)) over (order by term) as lagged from schools group by term) u on f.term = u.term""",
+        "features", schools="select *, crse % 4 as school from features"),
+)
+def x9_levels(spark, sf):
+    """Totals of the program, of a school column, and of everything, one term back."""
+    features = standin.features(spark, sf).withColumn("school", F.col("crse") % 4)
+    return H.with_lagged_totals(features, {"program": ["subj"], "school": ["school"], "university": []})
+
+
+@query("c6_sample_values", sql("select distinct term_desc from sections", "sections"))
+def c6_samples(spark, sf):
+    """The values of a column of few different ones, by a sample at least as large."""
+    return P.sample_values(standin.sections(spark, sf), "term_desc", 100)
+
+
 @query(
     "x9_enrollment_trend",
     sql("""select subj, crse, round(regr_slope(total, year) filter (year > 1996), 6) as trend_5y,
