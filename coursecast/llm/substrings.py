@@ -130,6 +130,30 @@ def repeated_in_smaller(passages: list[np.ndarray], docs: np.ndarray, length: in
     return np.split(flat, flat_at[1:-1])
 
 
+STRETCH = 1 << 22  # windows whose anchors are found together
+
+
+def least_places(h: np.ndarray, span: int) -> np.ndarray:
+    """Where, for each run of ``span`` numbers, the least one stands; the first of those equal in their 40 leading bits.
+
+    Numbers and places share 64 bits, so long texts are taken in overlapping stretches, whose places fit.
+    """
+    n = len(h) - span + 1
+    out = np.empty(max(n, 0), np.int64)
+    low = np.uint64((1 << 24) - 1)
+    for lo in range(0, n, STRETCH):
+        mine = h[lo : lo + STRETCH + span - 1]
+        least = (mine & ~low) | np.arange(len(mine), dtype=np.uint64)
+        width, many = 1, len(mine) - span + 1
+        while 2 * width <= span:
+            least = np.minimum(least[: len(least) - width], least[width:])
+            width *= 2
+        if width < span:
+            least = np.minimum(least[:many], least[span - width : span - width + many])
+        out[lo : lo + many] = (least[:many] & low).astype(np.int64) + lo
+    return out
+
+
 def anchors(chunk: Chunk) -> tuple[np.ndarray, ...]:
     """Runs of windows of ``LENGTH`` words that have the same anchor: the least of the hashes of their grams.
 
@@ -141,15 +165,7 @@ def anchors(chunk: Chunk) -> tuple[np.ndarray, ...]:
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     grams = windows(words, GRAM)
-    low = np.uint64((1 << 24) - 1)
-    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # of equals, the first
-    width, span = 1, LENGTH - GRAM + 1
-    while 2 * width <= span:
-        least = np.minimum(least[: len(least) - width], least[width:])
-        width *= 2
-    if width < span:
-        least = np.minimum(least[:n], least[span - width : span - width + n])
-    at = (least[:n] & low).astype(np.int64)
+    at = least_places(grams, LENGTH - GRAM + 1)
     one_text = whole_windows(chunk.word_at, LENGTH, len(words))
     owner = chunk.owner()[:n]
     fresh = np.ones(n, bool)

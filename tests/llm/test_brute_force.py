@@ -205,6 +205,19 @@ def test_one_of_each_component_stays(spark, tables):
     assert all(component[d + 1000] == component[d] for d in component if d < 1000)
 
 
+def test_places_beyond_24_bits():
+    """The least of each window in a text of more words than 24 bits count, against a plain minimum at its parts."""
+    from coursecast.llm.substrings import STRETCH, least_places
+
+    h = np.random.default_rng(5).integers(0, 1 << 64, (1 << 24) + 5000, dtype=np.uint64)
+    h[1000:1010] = h[2000:2010] = h[(1 << 24) + 1000 : (1 << 24) + 1010] = 5
+    got = least_places(h, 46)
+    assert len(got) == len(h) - 45
+    for lo in (0, 990, STRETCH - 30, 3 * STRETCH - 50, (1 << 24) - 100, (1 << 24) + 990, len(got) - 60):
+        for k in range(lo, lo + 60):
+            assert got[k] == k + int(np.argmin(h[k : k + 46] >> np.uint64(24)))
+
+
 @pytest.mark.parametrize("hot", [20_000, 0])
 def test_substrings(spark, tables, docs, hot):
     held = {}
@@ -244,8 +257,21 @@ def test_leaks_with_other_values(spark):
     same = item.replace("120", "77").replace("Germans", "Danes").replace("45 km", "9 miles").replace("Paris", "Rome").replace("3", "five")
     mixed = same.replace("that 77", "that 78")  # one value of the item is two here
     docs = spark.createDataFrame([(1, "x y z " + same + " end"), (2, mixed), (3, "nothing of the kind is in here at all")], "doc_id long, text string")
-    got = {r.doc_id: r.changed for r in leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
-    assert got == {1: 6}
+    got = {r.doc_id: (r.changed, r.matched == r.windows) for r in leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {1: (6, True), 2: (6, False)}
+
+
+@pytest.mark.parametrize("item,text,held", [
+    ("2 3 5 7 11 13 17 19 23", "so it goes 2 3 5 7 11 13 17 19 23 and on", True),  # numbers, a literal copy
+    ("2 3 5 7 11 13 17 19 23", "so it goes 4 6 8 9 10 12 14 15 16 and on", False),
+    ("add 3 apples and 4 pears to the 3 plums in the bowl", "add 5 apples and 5 pears to the 5 plums in the bowl", True),  # two values become one
+    ("add 3 apples and 4 pears to the 3 plums in the bowl", "add 5 apples and 6 pears to the 7 plums in the bowl", True),  # one of two equal ones differs
+    ("What is 5 plus 7 over the number 2", "Q: What is 8 plus 9 over the number 4", True),
+    ("add 3 apples and 4 pears to the 3 plums in the bowl", "the weather is fine in the hills today and the 3 plums are ripe", False),
+])
+def test_leaks_of_one_item(spark, item, text, held):
+    found = leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert (found.count() == 1) == held
 
 
 def test_url_counts_are_of_all_rows(spark):
