@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coursecast.llm.shared import by_hash
 from coursecast.sources.scratch import settle
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,13 +94,18 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
-def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
-    """Share of blocked urls per suffix in the training data, drawn towards the overall share."""
+def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], prior: float, own: Column | None = None) -> DataFrame:
+    """Share of blocked urls per suffix in the training data, drawn towards the overall share.
+
+    ``own`` is the number of a training row's copies: they are taken out of the counts, so that no rate tells the row's label.
+    """
+    mine = F.lit(0) if own is None else own
+    mine_blocked = F.lit(0) if own is None else own * F.col("label")
     for name, counts in rates.items():
         counts = counts.select(F.col(name).alias("_key"), F.col("n").alias("_n"), F.col("blocked").alias("_b"))
         rows = rows.join(counts, rows[name] == F.col("_key"), "left").withColumns({
-            f"{name}_rate": (F.coalesce("_b", F.lit(0)) + 2 * F.lit(prior)) / (F.coalesce("_n", F.lit(0)) + 2),
-            f"{name}_seen": F.log1p(F.coalesce("_n", F.lit(0)).cast("double")),
+            f"{name}_rate": (F.coalesce("_b", F.lit(0)) - mine_blocked + 2 * F.lit(prior)) / (F.coalesce("_n", F.lit(0)) - mine + 2),
+            f"{name}_seen": F.log1p((F.coalesce("_n", F.lit(0)) - mine).cast("double")),
         }).drop("_key", "_n", "_b")
     return rows
 
@@ -124,7 +130,7 @@ class UrlModel:
 def train(labelled: DataFrame, *, max_rows: int = 20000, rounds: int = 20, depth: int = 4, seed: int = 5) -> UrlModel:
     """Trees from ``labelled`` (``url``, ``host``, ``path``, ``label`` 1 for block), at most ``max_rows`` of its different urls.
 
-    Suffix counts and the overall share come from all labelled rows. The trees' rows are taken by hash of the url,
+    Suffix counts and the overall share come from all labelled rows, for a training row from all but its own copies. The trees' rows are taken by hash of the url,
     repeats left out, so that copies of one url cannot fill the sample.
     """
     tails = labelled.groupBy(F.substring_index("host", ".", -2).alias("tail"))
@@ -136,9 +142,10 @@ def train(labelled: DataFrame, *, max_rows: int = 20000, rounds: int = 20, depth
     prior = blocked / n if n else 0.0
     if blocked in (0, n):
         return UrlModel(None, {}, prior)
-    once = labelled.select("url", "host", "path", "label").distinct()
-    sample = settle(lexical(once.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)).coalesce(1), "url-sample")
-    rows = VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(_with_rates(sample, rates, prior))
+    once = labelled.groupBy("url", "host", "path", "label").agg(F.count("*").alias("copies"))
+    sample = settle(lexical(by_hash(once, ["url", "label"], max_rows)).coalesce(1), "url-sample")
+    rates_of_others = _with_rates(sample, rates, prior, F.col("copies"))
+    rows = VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(rates_of_others)
     rows = settle(rows.select("features", F.col("label").cast("double").alias("label")).coalesce(2), "url-features")
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=seed, subsamplingRate=1.0, cacheNodeIds=False)
     return UrlModel(gbt.fit(rows), rates, prior)

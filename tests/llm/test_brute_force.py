@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from coursecast.llm import range_coder, registry
 from coursecast.llm.decontaminate import leaks
@@ -286,6 +287,17 @@ def test_url_counts_are_of_all_rows(spark):
     assert model.trees is not None and model.prior == 80 / 110
 
 
+def test_rates_leave_the_row_out(spark):
+    from coursecast.llm.url_filter import _with_rates
+
+    counts = {"tail": spark.createDataFrame([("a.net", 3, 2), ("b.net", 1, 1)], "tail string, n long, blocked long")}
+    rows = spark.createDataFrame([("a.net", 1, 1), ("a.net", 0, 1), ("b.net", 1, 1)], "tail string, label int, copies long")
+    got = sorted((r.tail, r.label, round(r.tail_rate, 6)) for r in _with_rates(rows, counts, 0.5, F.col("copies")).collect())
+    assert got == [("a.net", 0, 0.75), ("a.net", 1, 0.5), ("b.net", 1, 0.5)]
+    kept = {r.tail: round(r.tail_rate, 6) for r in _with_rates(rows, counts, 0.5).collect()}
+    assert kept == {"a.net": 0.6, "b.net": round(2 / 3, 6)}
+
+
 def test_quality_held_out(spark, sf, tables):
     """Trained without every fifth label; those rows are mostly judged right."""
     known = tables["labels"].filter("doc_id % 5 <> 0")
