@@ -7,6 +7,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coursecast.sources.scratch import scratch_path
+
 
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path."""
@@ -37,23 +39,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def replace_table(rows: DataFrame, target: str, partition_by: Sequence[str] = ()) -> None:
-    """Write ``rows`` and switch ``target``, a path if it has a slash, else a catalog table's name, to them."""
+    """Write ``rows`` and switch ``target``, a path if it has a slash, else a catalog table's name, to them.
+
+    A path is switched by renaming folders. A catalog table is overwritten by a copy of the rows once all of them are
+    written, so that what can fail in making them fails before the table is touched.
+    """
     spark = rows.sparkSession
-    mark = uuid4().hex
-    if "/" in target:
-        staged = f"{target.rstrip('/')}.new-{mark}"
-        try:
+    by_name = "/" not in target
+    staged = scratch_path(spark, "table") if by_name else f"{target.rstrip('/')}.new-{uuid4().hex}"
+    try:
+        if by_name:
+            rows.write.parquet(staged)
+            made = spark.read.schema(rows.schema).parquet(staged)
+            made.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).saveAsTable(target)
+        else:
             rows.write.partitionBy(*partition_by).parquet(staged)
             move(spark, staged, target)
-        except Exception:
-            remove(spark, staged)
-            raise
-        return
-    staged = f"{target}_new_{mark}"
-    try:
-        rows.write.partitionBy(*partition_by).saveAsTable(staged)
-    except Exception:
-        spark.sql(f"drop table if exists {staged}")
-        raise
-    spark.sql(f"drop table if exists {target}")
-    spark.sql(f"alter table {staged} rename to {target}")
+    finally:
+        remove(spark, staged)
