@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursecast.llm.bits import bit_table, in_table
+from coursecast.llm.shared import giving_back
 from coursecast.llm.textops import LOWER, SPACE, Chunk, chunks, mix, split_words, whole_windows, windows
 from coursecast.operators.order import fresh
+from coursecast.sources.scratch import settle
 
 WINDOW = 5
 MIN_LITERALS = 2
@@ -33,7 +35,7 @@ BETWEEN = SPACE.copy()
 BETWEEN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _DIGIT, _UPPER, _SMALL, _STOP = (np.zeros(256, bool) for _ in range(4))
 _DIGIT[48:58] = _UPPER[65:91] = _SMALL[97:123] = True
-_STOP[[10, 33, 46, 63]] = True  # line feed ! . ?
+_STOP[[10, 33, 46, 58, 63]] = True  # line feed ! . : ?
 
 
 def folded(buf: np.ndarray) -> np.ndarray:
@@ -51,7 +53,7 @@ def _word_hashes(words: str) -> np.ndarray:
 
 
 _NUMBERS, _UNITS = _word_hashes(NUMBER_WORDS), _word_hashes(UNITS)
-NUMBER, UNIT, NAME = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
+NUMBER, UNIT, NAME, LITERAL = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
 
 
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -93,21 +95,29 @@ def canonical(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return template, np.where(slot, h | np.uint64(1), np.uint64(0))
 
 
-def template_windows(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, position in its words, hash and slot values (one column per word) of each window that has
-    at least ``MIN_LITERALS`` literal words."""
+def template_windows(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position in its words, hash, slot values (one column per word) of each window, and whether it is literal.
+
+    A window with at least ``MIN_LITERALS`` literal words is its template. One with fewer is too common as a template: it
+    is literal, the hash of its words as they are, in lower case, and has no slots.
+    """
     template, value = canonical(chunk)
-    h = windows(template, WINDOW)
-    n = len(h)
-    values = np.stack([value[k : k + n] for k in range(WINDOW)], axis=1) if n else np.zeros((0, WINDOW), np.uint64)
-    use = whole_windows(chunk.word_at, WINDOW, len(template)) & ((values == 0).sum(axis=1) >= MIN_LITERALS)
-    at = np.flatnonzero(use)
-    text = chunk.owner()[at] if n else np.zeros(0, np.int64)
-    return text, at - chunk.word_at[text], h[at], values[at]
+    n = max(len(template) - WINDOW + 1, 0)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), np.zeros((0, WINDOW), np.uint64), np.zeros(0, bool)
+    values = np.stack([value[k : k + n] for k in range(WINDOW)], axis=1)
+    literal = (values == 0).sum(axis=1) < MIN_LITERALS
+    words = np.where(value != 0, value, template)
+    h = np.where(literal, mix(windows(words, WINDOW) ^ LITERAL), windows(template, WINDOW))
+    values[literal] = 0
+    at = np.flatnonzero(whole_windows(chunk.word_at, WINDOW, len(template)))
+    text = chunk.owner()[at]
+    return text, at - chunk.word_at[text], h[at], values[at], literal[at]
 
 
 def _window_rows(rows: DataFrame, key: str, known: np.ndarray | None) -> DataFrame:
-    """``key``, ``uid``, ``pos``, ``h`` and ``slots`` of the windows of ``rows`` (``key``, ``uid``, ``text``).
+    """``key``, ``uid``, ``pos``, ``h``, ``slots`` and ``literal`` of the windows of ``rows`` (``key``, ``uid``, ``text``).
 
     ``known`` marks the hashes that a window must fall on, by their leading bits.
     """
@@ -116,21 +126,21 @@ def _window_rows(rows: DataFrame, key: str, known: np.ndarray | None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(2), space=BETWEEN):
-                text, pos, h, values = template_windows(c)
+                text, pos, h, values, literal = template_windows(c)
                 if shared is not None:
                     use = in_table(shared.value, h)
-                    text, pos, h, values = text[use], pos[use], h[use], values[use]
+                    text, pos, h, values, literal = text[use], pos[use], h[use], values[use], literal[use]
                 if not len(h):
                     continue
                 at = pa.array(text + c.first)
                 slots = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(values).ravel().view(np.int64)), WINDOW)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), pa.array(h.view(np.int64)),
-                     slots.cast(pa.list_(pa.int64()))],
-                    [key, "uid", "pos", "h", "slots"],
+                     slots.cast(pa.list_(pa.int64())), pa.array(literal)],
+                    [key, "uid", "pos", "h", "slots", "literal"],
                 )
 
-    return rows.mapInArrow(run, f"{key} long, uid long, pos long, h long, slots array<long>")
+    return rows.mapInArrow(giving_back(run), f"{key} long, uid long, pos long, h long, slots array<long>, literal boolean")
 
 
 def _keyed(rows: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -143,26 +153,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, min_coverage: float = 0.5, t
 
     ``doc_id``, ``uid`` (hash of the document's text), ``item_id``, ``matched`` and ``windows`` (windows of the
     item that were found, and that it has), ``coverage``, and ``changed`` (slots with another value: 0 for a
-    literal copy). Windows of five template words are joined by hash; those at one distance belong together, and
-    count only if every slot value of the item has one value in the document, and no value stands for two. An item
-    is held if ``min_coverage`` of its windows count.
+    literal copy). Windows of five template words are joined by hash; those at one distance belong together. Each slot
+    value of the item stands for one value of the document, the one most of its windows have; windows with another do not
+    count. Two values of the item may become the same one. An item is held if ``min_coverage`` of its windows count.
+    An item whose windows all have fewer than two literal words, such as a list of numbers, is matched by its words as they are.
 
     Null and empty texts, and items of fewer than five words, have no windows. Equal rows give one row; rows
     without id are told apart by their text; other columns are ignored. An empty table gives an empty result. A
     bit table of fixed size holds back windows of documents that cannot match; the join is exact.
     """
     items = _keyed(benchmark, "item_id", text_col).distinct()
-    bench = _window_rows(items, "item_id", None)
-    found = _window_rows(_keyed(docs, "doc_id", text_col), "doc_id", bit_table(bench, "h")).distinct()
+    bench = settle(_window_rows(items, "item_id", None), "item-windows")
+    per_item = bench.groupBy("item_id", "uid").agg(F.count_if(~F.col("literal")).alias("templates"), F.count("*").alias("windows"))
+    per_item = per_item.withColumnsRenamed({"item_id": "_item", "uid": "_uid"})
+    of_item = (F.col("item_id").eqNullSafe(F.col("_item"))) & (F.col("uid") == F.col("_uid"))
+    # Literal windows count only where there are no others.
+    bench = settle(bench.join(per_item, of_item).filter(~F.col("literal") | (F.col("templates") == 0)).drop("_item", "_uid", "windows", "templates"), "item-windows")
+    found = _window_rows(_keyed(docs, "doc_id", text_col), "doc_id", bit_table(bench, "h")).drop("literal").distinct()
     item = bench.select("item_id", F.col("uid").alias("item_uid"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)
     joined = found.join(item, "h").withColumn("pairs", pairs)
     lined = joined.groupBy("doc_id", "uid", "item_id", "item_uid", (F.col("pos") - F.col("item_pos")).alias("off")).agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )  # lists no longer than the item
-    distinct = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda x: x[name])))
-    lined = lined.filter((distinct("item_slots") == F.size("pairs")) & (distinct("slots") == F.size("pairs")))
-    lined = lined.withColumn("changed", F.size(F.filter("pairs", lambda x: x["item_slots"] != x["slots"])))
+        F.collect_set(F.struct("item_pos", "pairs")).alias("found")  # no longer than the item
+    )
+    lined = lined.withColumn("all_pairs", F.flatten("found.pairs")).withColumn("of", F.array_distinct("all_pairs.item_slots"))
+
+    def most_frequent(value: Column) -> Column:
+        mine = F.filter("all_pairs", lambda p: p["item_slots"] == value)
+        ranked = F.transform(F.array_distinct(mine["slots"]), lambda s: F.struct(F.size(F.filter(mine, lambda p: p["slots"] == s)).alias("n"), s.alias("s")))
+        return F.array_max(ranked)["s"]
+
+    lined = lined.withColumn("becomes", F.map_from_arrays("of", F.transform("of", most_frequent)))
+    agrees = lambda w: F.forall(w["pairs"], lambda p: F.element_at("becomes", p["item_slots"]) == p["slots"])
+    lined = lined.select(
+        "doc_id", "uid", "item_id", "item_uid", F.transform(F.filter("found", agrees), lambda w: w["item_pos"]).alias("places"),
+        F.size(F.filter("of", lambda v: F.element_at("becomes", v) != v)).alias("changed"),
+    ).filter(F.size("places") > 0)
     per = lined.groupBy("doc_id", "uid", "item_id", "item_uid").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("matched"),
         F.min("changed").cast("long").alias("changed"),
