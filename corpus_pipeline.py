@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group whose SimHashes over three-word shingles differ in two bits at most."""
     return without_near_copies(docs)
 
 
@@ -40,9 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix: place, number and checksum of each document's ids.
 
-    Python workers of the stages before are still there, so segments and the cache of words are small.
+    Python workers of the stages before are still there, so segments and the memory of words are small.
     """
-    return token_index(docs, tokenizer=tokenizer_path(), segment_ids=2 << 20, cache_words=150_000)
+    return token_index(docs, tokenizer=tokenizer_path(), segment_ids=1 << 20, most_words=400_000)
 
 
 STAGES = [

@@ -8,11 +8,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursecast.llm.graph import components
-from coursecast.llm.textops import LOWER, Chunk, chunks, mix, sums, whole_windows, windows
+from coursecast.llm.shared import giving_back
+from coursecast.llm.textops import LOWER, Chunk, chunks
+from coursecast.operators.order import fresh
 from coursecast.sources.scratch import settle
 
 # Fixed values of XXH64.
@@ -108,17 +110,20 @@ def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def simhash(docs: DataFrame, *, size: int = 3, text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a long) of every row; no words give zero."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def simhash(docs: DataFrame, *, size: int = 3, text_col: str = "text", uid: Column | None = None) -> DataFrame:
+    """``doc_id``, ``uid`` (a long to tell rows apart, if given) and ``fp`` (the 64 bits as a long) of every row; no words
+    give zero."""
+    more = [] if uid is None else [uid.alias("uid")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprints(c, size) for c in chunks(batch.column(1), fold=LOWER)]
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            kept = [batch.column(0), *batch.columns[2:], pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(kept, ["doc_id", *batch.schema.names[2:], "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(giving_back(run), f"doc_id long, {'uid long, ' if more else ''}fp long")
 
 
 def layouts(budget: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -282,7 +287,7 @@ def trie_links(prints: DataFrame, budget: int) -> DataFrame:
             [pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"]
         )
 
-    return rows.mapInArrow(by_parts(solve), "a long, b long").distinct()
+    return rows.mapInArrow(giving_back(by_parts(solve)), "a long, b long").distinct()
 
 
 def by_parts(solve: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
@@ -309,6 +314,16 @@ def by_parts(solve: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
     return run
 
 
+def _rooted(prints: DataFrame, budget: int) -> DataFrame:
+    """``fp``, ``least`` (its smallest ``doc_id``) and ``root`` (the smallest ``fp`` that links reach) of every fingerprint."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(trie_links(classes.select("fp"), budget), "simhash-links")
+    return settle(
+        classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")),
+        "simhash-classes",
+    )
+
+
 def near_components(docs: DataFrame, *, size: int = 3, budget: int = 2, text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
@@ -319,12 +334,7 @@ def near_components(docs: DataFrame, *, size: int = 3, budget: int = 2, text_col
     their number of documents.
     """
     prints = settle(simhash(docs, size=size, text_col=text_col), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(trie_links(classes.select("fp"), budget), "simhash-links")
-    of_class = settle(
-        classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")),
-        "simhash-classes",
-    )
+    of_class = _rooted(prints, budget)
     named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of_class.join(named, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -332,184 +342,30 @@ def near_components(docs: DataFrame, *, size: int = 3, budget: int = 2, text_col
     )
 
 
-# Near copies: at a similarity of 0.8 over five-word shingles, 64 bits of a SimHash differ in about 8 places, more than
-# a trie can prune by. So candidates share one of 24 bands of 6 minima of the shingles' hashes, which a pair at 0.8
-# misses with a chance of 0.0007; what is linked is decided by the shingles themselves.
-SHINGLE = 5
-SIMILARITY = 0.8
-MINIMA = 6
-BANDS = 24
-BLOCK = 64
-_FACTORS = mix(np.arange(1, MINIMA * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def _shingles(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of every text, and where each text begins; fewer words than ``size`` are one shingle."""
-    words, n_words = chunk.hashes(chunk.start, chunk.end), chunk.n_words()
-    use = np.flatnonzero(whole_windows(chunk.word_at, size, len(words)))
-    few = np.flatnonzero((n_words > 0) & (n_words < size))
-    whole = [windows(words[chunk.word_at[k] : chunk.word_at[k + 1]], n_words[k]) for k in few]
-    h = np.concatenate([windows(words, size)[use], *whole])
-    text = np.concatenate([chunk.owner()[use], few])
-    h = h[np.argsort(text, kind="stable")]
-    return h, np.concatenate([[0], np.cumsum(np.bincount(text.astype(np.int64), minlength=len(chunk)))])
-
-
-def _word_prints(chunk: Chunk) -> np.ndarray:
-    """A hash of each text's words in order; no words give zero."""
-    at = np.arange(len(chunk.start)) - np.repeat(chunk.word_at[:-1], chunk.n_words())
-    words = chunk.hashes(chunk.start, chunk.end)
-    words = mix(words ^ mix(at.astype(np.uint64) + np.uint64(1)))
-    return mix(sums(words.view(np.int64), chunk.word_at).view(np.uint64))
-
-
-def band_keys(chunk: Chunk, size: int) -> np.ndarray:
-    """The keys of the bands, a row of ``BANDS`` numbers per text."""
-    h, at = _shingles(chunk, size)
-    out = np.zeros((len(chunk), BANDS), np.uint64)
-    some = np.flatnonzero(np.diff(at))
-    if len(some):
-        for k, factor in enumerate(_FACTORS):
-            least = np.minimum.reduceat(h * factor, at[some])
-            out[some, k // MINIMA] = mix((out[some, k // MINIMA] + np.uint64(k)) ^ least)
-    return out
-
-
-def similar(h: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
-    """For texts with the shingles ``h[at[k] : at[k + 1]]``: a label each, equal for texts that pairs with at least this
-    Jaccard similarity connect. Pairs within one component are left out, as more links change nothing."""
-    n = len(at) - 1
-    text = np.repeat(np.arange(n), np.diff(at))
-    ids = np.unique(h, return_inverse=True)[1].astype(np.int64)
-    pairs = np.unique(text * (int(ids.max(initial=0)) + 1) + ids)
-    text, ids = np.divmod(pairs, int(ids.max(initial=0)) + 1)
-    at = np.searchsorted(text, np.arange(n + 1))
-    size, label = np.diff(at), np.arange(n)
-    marked = np.zeros(int(ids.max(initial=0)) + 1, bool)
-    for i in range(n - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        other = other[(size[other] >= similarity * size[i]) & (size[i] >= similarity * size[other]) & (size[other] > 0)]
-        if not len(other) or not size[i]:
-            continue
-        marked[ids[at[i] : at[i + 1]]] = True
-        first = np.cumsum(size[other]) - size[other]
-        where = np.arange(size[other].sum()) + np.repeat(at[other] - first, size[other])
-        both = np.add.reduceat(marked[ids[where]], first, dtype=np.int64)
-        marked[ids[at[i] : at[i + 1]]] = False
-        found = other[both >= similarity * (size[i] + size[other] - both) - 1e-9]
-        joined = np.unique(label[np.append(found, i)])
-        label[np.isin(label, joined)] = joined[0]
-    return label
-
-
-def _candidates(prints: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of the ``fp`` that shared bands connect. Only the least ``fp`` of a band is joined to it."""
-    dealt = settle(prints.select("fp", F.explode("keys").alias("key")).distinct(), "bands")
-    least = dealt.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most")
-    edges = dealt.join(least, "key").filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    return components(edges.distinct(), "band-links")
+def without_near_copies(docs: DataFrame, *, size: int = 3, budget: int = 2, text_col: str = "text") -> DataFrame:
+    """One row of each component of ``near_components``, the one with the smallest ``doc_id``, with the columns of ``docs``.
 
-
-def _exact_links(rows: DataFrame, classes: DataFrame, candidates: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (``a``, ``b``) that connect all ``fp`` whose texts are similar, among those that ``candidates`` connect.
-
-    One text of each ``fp`` is read again. Large groups are cut into blocks, and each pair of blocks is a unit of work
-    that returns a spanning forest, so that a group of m texts is m ** 1.5 rows at most and not one task.
-    """
-    of_group = candidates.groupBy("root").agg(F.count("*").alias("members"))
-    block = F.greatest(F.lit(BLOCK), F.ceil(8 * F.sqrt("members")))
-    of_group = of_group.select(F.col("root").alias("_root"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    members = candidates.join(of_group, F.col("root") == F.col("_root")).select("node", "root", "blocks")
-    chosen = settle(
-        classes.join(members, classes.fp == members.node).select(
-            "fp", "root", "blocks", F.col("chosen.doc_id").alias("_id"), F.col("chosen.uid").alias("_uid")
-        ), "near-members",
-    )
-    texts = rows.join(chosen, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    texts = texts.select("fp", "root", "blocks", mine.alias("mine"), "text").withColumn(
-        "theirs", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> mine or blocks = 1)"))
-    )
-    units = texts.select(
-        F.xxhash64("root", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("unit"), "fp", "text"
-    ).repartition("unit").sortWithinPartitions("unit", "fp")
-
-    def solve(unit: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        fp = np.array([k for k, _ in unit])
-        at = np.concatenate([[0], np.cumsum([len(x) for _, x in unit])])
-        label = similar(np.concatenate([x for _, x in unit]), at, similarity)
-        link = np.flatnonzero(label != np.arange(len(fp)))
-        return fp[link], fp[label[link]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, waiting = None, []
-        for batch in batches:
-            out = []
-            units, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for c in chunks(batch.column(2), fold=LOWER):
-                h, at = _shingles(c, size)
-                for k in range(len(c)):
-                    if units[c.first + k] != now:
-                        if len(waiting) > 1:
-                            out.append(solve(waiting))
-                        now, waiting = units[c.first + k], []
-                    if not waiting or waiting[-1][0] != fps[c.first + k]:  # repeated rows
-                        waiting.append((fps[c.first + k], np.unique(h[at[k] : at[k + 1]])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
-        if len(waiting) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(waiting)], ["a", "b"])
-
-    return units.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_copies(docs: DataFrame, *, size: int = SHINGLE, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``uid`` (hash of the text) and ``component_id`` (smallest ``doc_id``) of near copies of every row.
-
-    Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles, in lower case, is at least
-    ``similarity``; components are by links. Candidates come from bands of minima, which miss a pair at 0.8 with a
-    chance of 0.0007 and nearly none above; each is decided exactly. Texts of fewer words are one shingle; texts
-    without words are copies of each other.
+    A row without id stays only if its component has no id at all; of several texts with one id, the one with the
+    smallest hash; of rows equal in id and text, one. Texts without words are copies of each other. Further columns
+    stay as they are, whatever their names; an empty table gives an empty result. Texts are read twice, and once more
+    for rows equal in both, if there are any; only ids and hashes are shuffled beside what stays.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("uid"), text.alias("text"))
-
-    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column(2), fold=LOWER):
-                keys = np.ascontiguousarray(band_keys(c, size)).ravel().view(np.int64)
-                at = pa.array(np.arange(len(c) + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.first, len(c)), batch.column(1).slice(c.first, len(c)),
-                     pa.array(_word_prints(c).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys))],
-                    ["doc_id", "uid", "fp", "keys"],
-                )
-
-    prints = settle(rows.mapInArrow(fingerprint, "doc_id long, uid long, fp long, keys array<long>"), "near-prints")
-    classes = settle(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "uid")).alias("chosen")), "near-classes"
-    )
-    candidates = _candidates(prints)
-    roots = components(_exact_links(rows, classes, candidates, size, similarity), "near-links")
-    of_class = settle(
-        classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "near-roots"
+    uid = F.xxhash64(F.col(text_col).cast("string"))
+    prints = settle(simhash(docs, size=size, text_col=text_col, uid=uid), "simhash")
+    found = prints.join(_rooted(prints, budget).select("fp", "root"), "fp")
+    of_row = found.groupBy("root", "doc_id", "uid").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "uid", "n")).alias("first")
+    id_, hash_, n = (fresh(docs, c) for c in ("stays_id", "stays_hash", "stays_rows"))
+    stays = settle(
+        of_row.groupBy("root").agg(first).select(F.col("first.doc_id").alias(id_), F.col("first.uid").alias(hash_), F.col("first.n").alias(n)),
+        "simhash-stays",
     )
-    named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_class.join(named, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "uid", "component_id")
-
 
-def without_near_copies(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near copies, the one with the smallest ``doc_id``, with the columns of ``docs``.
+    def of(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (uid == F.col(hash_)))
 
-    A row without id stays if its group has no id at all. Of rows that are equal in id and text, or without id in
-    text, one stays. Texts without words are copies of each other.
-    """
-    found = near_copies(docs, text_col=text_col, **options)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "uid").agg(F.count("*").alias("_rows"))
-    # One text for each id, and one for each group without id, should an id have several.
-    stays = stays.select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), "_rows")
-    uid = F.xxhash64(F.col(text_col).cast("string"))
-    kept = docs.withColumn("_text", uid).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_uid")))
-    once = kept.filter("_rows = 1").select(*docs.columns)
-    return once.unionByName(kept.filter("_rows > 1").dropDuplicates(["doc_id", "_text"]).select(*docs.columns))
+    once = of(stays.filter(F.col(n) == 1)).select(*docs.columns)
+    several = stays.filter(F.col(n) > 1)
+    if not several.take(1):
+        return once
+    return once.unionByName(of(several).dropDuplicates([id_, hash_]).select(*docs.columns))
