@@ -79,10 +79,10 @@ def features(stats: np.ndarray) -> np.ndarray:
 
 
 def mean_path(n: np.ndarray) -> np.ndarray:
-    """Mean path length of an unsuccessful search among ``n`` points."""
-    n = np.asarray(n, float)
-    big = 2 * (np.log(np.maximum(n - 1, 1)) + _EULER) - 2 * (n - 1) / np.maximum(n, 1)
-    return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
+    """Mean path length of an unsuccessful search among ``n`` points, which need not be whole."""
+    n = np.maximum(np.asarray(n, float), 1.0)
+    harmonic = np.log(n - 0.5) + _EULER + 1 / (24 * (n - 0.5) ** 2)  # of n - 1, to 0.2 percent from 2 points on
+    return np.where(n >= 2, 2 * harmonic - 2 * (n - 1) / n, n - 1)
 
 
 @dataclass
@@ -95,13 +95,10 @@ class IsolationForest:
     norm: float
     threshold: float = 1.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly between 0 and 1 of each row; about 0.5 is ordinary, nearer 1 is isolated early."""
-        if not len(x):
-            return np.zeros(0)
-        total = np.zeros(len(x))
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree the leaf of each row."""
         rows = np.arange(len(x))
-        for column, cut, length in zip(self.column, self.cut, self.length):
+        for column, cut in zip(self.column, self.cut):
             node = np.zeros(len(x), np.int64)
             while True:
                 inner = column[node] >= 0
@@ -109,12 +106,20 @@ class IsolationForest:
                     break
                 right = x[rows, np.maximum(column[node], 0)] >= cut[node]
                 node = np.where(inner, 2 * node + 1 + right, node)
+            yield node
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Anomaly between 0 and 1 of each row, to five digits; about 0.5 is ordinary, nearer 1 is isolated early."""
+        if not len(x):
+            return np.zeros(0)
+        total = np.zeros(len(x))
+        for node, length in zip(self.leaves(x), self.length):
             total += length[node]
-        return 2.0 ** (-total / len(self.column) / max(self.norm, 1e-9))
+        return np.round(2.0 ** (-total / len(self.column) / max(self.norm, 1e-9)), 5)
 
 
 def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> IsolationForest:
-    """Random splits of random subsamples of ``x``, to the depth an average point needs."""
+    """Random splits of random subsamples, to the depth an average point needs. Each tree has rows of its own if ``x`` has enough."""
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
     depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
@@ -122,14 +127,16 @@ def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> IsolationForest:
     column = np.full((trees, size), -1)
     cut = np.zeros((trees, size))
     length = np.zeros((trees, size))
+    dealt = rng.permutation(len(x))
     for t in range(trees):
-        todo = [(0, 0, rng.choice(len(x), sample, replace=False))]
+        own = dealt[t * sample : (t + 1) * sample]
+        todo = [(0, 0, own if len(own) == sample else rng.choice(len(x), sample, replace=False))]
         while todo:
             node, level, rows = todo.pop()
             low, high = x[rows].min(axis=0), x[rows].max(axis=0)
             usable = np.flatnonzero(high > low)
             if level == depth or len(rows) <= 1 or not len(usable):
-                length[t, node] = level + float(mean_path(np.array(len(rows))))
+                length[t, node] = level  # what is left to go comes from the counts of all rows
                 continue
             c = rng.choice(usable)
             column[t, node], cut[t, node] = c, rng.uniform(low[c], high[c])
@@ -140,19 +147,20 @@ def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> IsolationForest:
     return IsolationForest(column, cut, length, float(mean_path(np.array(sample))))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, keep: float) -> float:
+def calibrate(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, keep: float) -> float:
     """The threshold with the best balanced accuracy among those that keep ``keep`` of the good rows.
 
-    With no good or no bad row, nothing is above the threshold.
+    ``scores`` ascend; ``good`` and ``bad`` count the rows of each. With no good or no bad row, nothing is above the threshold.
     """
-    if good.all() or not good.any():
+    if not good.sum() or not bad.sum():
         return 1.0
-    least = float(np.quantile(scores[good], keep, method="higher"))
-    cuts = np.unique(scores[scores >= least])
-    right = np.array([np.mean(scores[good] <= c) + np.mean(scores[~good] > c) for c in cuts])
-    best = np.flatnonzero(right >= right.max() - 1e-12)[-1]
-    upper = cuts[best + 1] if best + 1 < len(cuts) else 1.0
-    return float((cuts[best] + upper) / 2)
+    kept, passed = np.cumsum(good), np.cumsum(bad)
+    place = int(np.ceil(round(keep * (kept[-1] - 1), 6)))
+    least = int(np.searchsorted(kept, place, "right"))
+    right = (kept / kept[-1] - passed / passed[-1])[least:]
+    best = least + np.flatnonzero(right >= right.max() - 1e-12)[-1]
+    upper = scores[best + 1] if best + 1 < len(scores) else 1.0
+    return float((scores[best] + upper) / 2)
 
 
 def base_rules(n_words, n_repeat_words):
@@ -174,27 +182,56 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.mapInArrow(giving_back(run), "doc_id long, " + ", ".join(f"{s} long" for s in STATISTICS))
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, max_rows: int = 8000, max_labelled: int = 8000,
-        trees: int = 200, sample: int = 16, keep: float = 0.995, seed: int = 7) -> IsolationForest:
-    """A forest from ``max_rows`` rows in hash order, its threshold from ``max_labelled`` labelled ones.
+def _rates(batch: pa.RecordBatch) -> np.ndarray:
+    return features(np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS], axis=1))
+
+
+def weighed(forest: IsolationForest, rows: DataFrame, sample: int) -> IsolationForest:
+    """The forest with path lengths by the share of all ``rows`` that is in each leaf."""
+    shared, size = share(rows.sparkSession, forest), forest.column.shape[1]
 
-    Subsamples are small because junk of one kind is frequent: in a larger one it would form a cluster
-    that no longer looks isolated.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, n = shared(), np.zeros(shared().column.size, np.int64)
+        for batch in batches:
+            for t, node in enumerate(forest.leaves(_rates(batch))):
+                n[t * size : (t + 1) * size] += np.bincount(node, minlength=size)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["leaf", "n"])
+
+    counts = rows.select(*STATISTICS).mapInArrow(giving_back(run), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
+    share_of = np.zeros(forest.column.size)
+    share_of[counts["leaf"].to_numpy()] = counts["n"].to_numpy() / (counts["n"].sum() / len(forest.column))
+    forest.length += mean_path(sample * share_of.reshape(forest.column.shape))
+    return forest
+
+
+def fit(stats: DataFrame, labels: DataFrame, *, trees: int = 200, sample: int = 16, keep: float = 0.995, seed: int = 7) -> IsolationForest:
+    """A forest of all rows, its threshold from all labelled ones.
+
+    The cuts of a tree are random, between values of ``sample`` rows that hash order draws from all; path lengths come
+    from the numbers of all rows in each leaf. Subsamples are small because junk of one kind is frequent: in a larger one
+    it would form a cluster that no longer looks isolated.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad; null is no label). Rows that the base rules
-    fail take part in neither: the forest judges what is left.
+    fail take part in neither: the forest judges what is left. The driver gets the rows that cuts come from, a number per leaf and
+    a pair of numbers per different score.
     """
     left = stats.filter(~base_rules(F.col("n_words"), F.col("n_repeat_words")))
-    key = ["doc_id", *STATISTICS]
-    rows = by_hash(left, key, max_rows).select(*STATISTICS).toPandas()
+    rows = by_hash(left, ["doc_id", *STATISTICS], trees * sample).select(*STATISTICS).toPandas()
     if not len(rows):
         return IsolationForest(np.full((1, 1), -1), np.zeros((1, 1)), np.ones((1, 1)), 1.0)
     forest = grow(features(rows.to_numpy()), trees, sample, seed)
+    forest = weighed(forest, left, min(sample, len(rows)))
     named = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = by_hash(left.join(named, "doc_id"), key, max_labelled).select("quality", *STATISTICS).toPandas()
-    if len(known):
-        scores = forest.score(features(known[list(STATISTICS)].to_numpy()))
-        forest.threshold = calibrate(scores, known["quality"].to_numpy() == 1, keep)
+    shared = share(stats.sparkSession, forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int64()), pa.array(shared().score(_rates(batch)))], ["quality", "score"])
+
+    known = left.join(named, "doc_id").select("quality", *STATISTICS).mapInArrow(giving_back(run), "quality long, score double")
+    known = known.groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).toPandas().sort_values("score")
+    forest.threshold = calibrate(*(known[c].to_numpy() for c in ("score", "good", "bad")), keep) if len(known) else 1.0
     return forest
 
 
