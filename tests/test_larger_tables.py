@@ -43,3 +43,9 @@ def test_directory_of_several_files(spark, several_files, folders):
     found = registry.REGISTRY["s5_csv_directory"].build(spark, several_files).collect()
     assert len(list(Path(folders["s5-out"]).glob("part*"))) == N_FILES
     assert [tuple(r) for r in found] == [(4 * N_FILES, 18 * N_FILES)]
+
+
+def test_counts_by_file_of_several_files(spark, several_files, folders):
+    found = registry.REGISTRY["c4_counts_by_file"].build(spark, several_files).collect()
+    assert [tuple(r) for r in found] == [(8 * N_FILES, 2, True)]
+    assert len(list(Path(folders["c4-table"]).glob("part*"))) == 2 * N_FILES  # the second load is as wide as the first
