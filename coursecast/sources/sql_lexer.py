@@ -5,6 +5,9 @@ before it. So the lexer is a finite automaton whose effect on a split is a small
 in, the state it ends in and the change of nesting. The tables are composed over the splits of a file, one row each;
 then every split is read again from the state it really begins in.
 
+Text without comments, quoted names, dollar quotes and ``E''`` in its code, which most of a dump is, is lexed as an array: whether
+a byte is in a text follows from the number of quotes before it. All other text is lexed symbol by symbol.
+
 Files are read with ``)`` as the record separator, so a statement is cut into many records even if it is one line, and
 no symbol of two characters lies across a cut.
 """
@@ -15,8 +18,11 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +69,45 @@ def parts(text: str, state: int) -> Iterator[tuple[str, str, int]]:
             at, state = end, behind
 
 
+_RARE = (b'"', b"$", b"--", b"/*")
+_NESTING = np.zeros(256, bool)
+_NESTING[list(b"();")] = True
+
+
+def structure(data: bytes, state: int) -> tuple[np.ndarray, int] | None:
+    """Where the parentheses and semicolons of code are, and the state behind; None if there is more than quotes to it."""
+    if state not in (CODE, TEXT) or not data:
+        return None
+    buf = np.frombuffer(data, np.uint8)
+    quote = np.flatnonzero(buf == 39)
+    first = int(state == TEXT)  # a text has an odd number of quotes before it
+
+    def in_code(at: np.ndarray) -> np.ndarray:
+        return (np.searchsorted(quote, at) + first) & 1 == 0
+
+    opening = quote[first::2]
+    if len(opening) and (buf[opening[int(opening[0] == 0) :] - 1] | 32 == 101).any():
+        return None  # E''
+    for symbol in _RARE:
+        if symbol in data and in_code(np.array([m.start() for m in re.finditer(re.escape(symbol), data)])).any():
+            return None
+    at = np.flatnonzero(_NESTING[buf])
+    return at[in_code(at)], TEXT if (len(quote) + first) & 1 else CODE
+
+
 def effect(text: str, state: int) -> tuple[int, bool, int]:
     """State behind ``text``, whether a statement ends in it, and the nesting gained (since the last end, if one does)."""
+    if state in (NAME, LINE, COMMENT):
+        found = _LEAVES[state].search(text)
+        return effect(text[found.end() :], CODE) if found else (state, False, 0)
+    data = text.encode()
+    if plain := structure(data, state):
+        at, behind = plain
+        symbols = np.frombuffer(data, np.uint8)[at]
+        ends = np.flatnonzero(symbols == 59)
+        nesting = np.cumsum(81 - 2 * symbols[ends[-1] + 1 if len(ends) else 0 :].astype(np.int64))  # 1 for ( and -1 for )
+        depth = int(nesting[-1]) if len(nesting) else 0
+        return behind, len(ends) > 0, depth - min(0, int(nesting.min(initial=0))) if len(ends) else depth
     ended, depth = False, 0
     for kind, _, state in parts(text, state):
         if kind == "(":
@@ -87,7 +130,19 @@ _VALUES = re.compile(r"\bvalues$", re.I)
 HEAD, LIST, REST, UNKNOWN = "head", "list", "rest", "unknown"
 
 
-@dataclass
+@lru_cache(1024)
+def _insert_into(words: str) -> str | None:
+    """The table of an INSERT that begins with ``words``."""
+    start = _INSERT.match(words)
+    return start.group(1) if start else None
+
+
+@lru_cache(1024)
+def _ends_in_values(words: str) -> bool:
+    return bool(_VALUES.search(words))
+
+
+@dataclass(slots=True)
 class Statement:
     """What is known of the statement that is being read."""
 
@@ -99,11 +154,11 @@ class Statement:
     def group(self, before: str, inside: str) -> bool:
         """Take in a group in parentheses; whether it is a row."""
         if self.phase == HEAD:
-            start = _INSERT.match(self.opening[0][0] if self.opening else before)
-            if not start:
+            table = _insert_into(self.opening[0][0] if self.opening else before)
+            if table is None:
                 self.phase = REST
-            elif _VALUES.search(before):
-                self.table, self.phase = start.group(1), LIST
+            elif _ends_in_values(before):
+                self.table, self.phase = table, LIST
                 self.columns = self.opening[0][1] if self.opening else None
                 return True
             else:
@@ -154,25 +209,53 @@ class Reader:
         self.gap = []
         return text
 
+    def _end(self) -> None:
+        if self.depth:
+            raise ValueError(f"a statement ends within parentheses: ({''.join(self.inside)[-200:]}")
+        if self.now.phase == UNKNOWN:
+            self.summary |= {"ended": True, "end_words": self.words(), "n_open": self.ord}
+        else:
+            self.now.end(self.words())
+        self.gap, self.now = [], Statement()
+
+    def _close_group(self) -> None:
+        self.depth = 0
+        inside, self.inside = "".join(self.inside), []
+        if self.summary["starts_inside"] and self.summary["closes"] is None:
+            self.summary["closes"] = inside
+        else:
+            self._group(inside)
+
+    def _feed_plain(self, data: bytes, at: np.ndarray) -> None:
+        """Text of which the symbols of code are at ``at``."""
+        last = 0
+        for place, symbol in zip(at.tolist(), np.frombuffer(data, np.uint8)[at].tolist()):
+            if self.depth and symbol != 59 and (symbol == 40 or self.depth > 1):  # within a group
+                self.depth += 1 if symbol == 40 else -1
+                continue
+            (self.inside if self.depth else self.gap).append(data[last:place].decode())
+            last = place + 1
+            if symbol == 59:
+                self._end()
+            elif symbol == 40:
+                self.before, self.inside, self.depth = self.words(), [], 1
+            elif self.depth:
+                self._close_group()
+        (self.inside if self.depth else self.gap).append(data[last:].decode())
+
     def feed(self, text: str) -> None:
+        data = text.encode()
+        if plain := structure(data, self.state):
+            self.state = plain[1]
+            self._feed_plain(data, plain[0])
+            return
         for kind, piece, self.state in parts(text, self.state):
             if kind == ";":
-                if self.depth:
-                    raise ValueError(f"a statement ends within parentheses: ({''.join(self.inside)[-200:]}")
-                if self.now.phase == UNKNOWN:
-                    self.summary |= {"ended": True, "end_words": self.words(), "n_open": self.ord}
-                else:
-                    self.now.end(self.words())
-                self.gap, self.now = [], Statement()
+                self._end()
             elif kind == "(" and not self.depth:
                 self.before, self.inside, self.depth = self.words(), [], 1
             elif kind == ")" and self.depth == 1:
-                self.depth = 0
-                inside, self.inside = "".join(self.inside), []
-                if self.summary["starts_inside"] and self.summary["closes"] is None:
-                    self.summary["closes"] = inside
-                else:
-                    self._group(inside)
+                self._close_group()
             elif self.depth:
                 self.depth += (kind == "(") - (kind == ")")
                 self.inside.append(piece or " ")
@@ -317,11 +400,67 @@ def cells(inside: str) -> list[str | None]:
     return [*out, _literal("".join(now))]
 
 
+_BARE = np.zeros(256, bool)  # what numbers and plain words are made of
+_BARE[list(b"0123456789+-._ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r")] = True
+
+
+def cell_lists(insides: list[str]) -> pa.ListArray:
+    """``cells`` of many rows. Rows of numbers, plain words and texts without doubled quotes are cut as arrays, others one by one."""
+    rows = pa.array(insides, pa.large_string())
+    edge = np.frombuffer(rows.buffers()[1], np.int64)[: len(rows) + 1]
+    buf = np.frombuffer(rows.buffers()[2] or b"", np.uint8)
+    quotes = np.concatenate([[0], np.cumsum(buf == 39)])
+    comma = np.flatnonzero(buf == 44)
+    row = np.searchsorted(edge, comma, "right") - 1
+    outside = (quotes[comma] - quotes[edge[row]]) & 1 == 0
+    comma, row = comma[outside], row[outside]
+    n_cells = np.bincount(row, minlength=len(rows)) + 1
+    first = np.concatenate([[0], np.cumsum(n_cells)])
+    owner = np.repeat(np.arange(len(rows)), n_cells)
+    begin, end = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    opens = np.zeros(first[-1], bool)
+    opens[first[:-1]] = True
+    closes = np.append(opens[1:], True)[: first[-1]]
+    begin[opens], begin[~opens] = edge[:-1], comma + 1
+    end[closes], end[~closes] = edge[1:], comma
+    padded = np.append(buf, 0)
+    while (blank := (begin < end) & _BLANK[padded[begin]]).any():
+        begin += blank
+    while (blank := (begin < end) & _BLANK[padded[end - 1]]).any():
+        end -= blank
+    n_quotes = quotes[end] - quotes[begin]
+    text = (n_quotes == 2) & (padded[begin] == 39) & (padded[end - 1] == 39) & (end > begin)
+    strange = np.concatenate([[0], np.cumsum(~_BARE[buf])])
+    plain = text | (end > begin) & (strange[end] == strange[begin])
+    simple = np.bincount(owner[~plain], minlength=len(rows)) == 0
+    end -= text  # a text keeps the quote in front
+    letters = [(padded[np.minimum(begin + k, len(buf))] | 32) == c for k, c in enumerate(b"null")]
+    null = ~text & (end - begin == 4) & letters[0] & letters[1] & letters[2] & letters[3]
+    keep = simple[owner]
+    begin, length, null = begin[keep], (end - begin)[keep], null[keep]
+    at = np.concatenate([[0], np.cumsum(length)])
+    data = buf[np.repeat(begin - at[:-1], length) + np.arange(at[-1])]
+    mask = pa.py_buffer(np.packbits(~null, bitorder="little"))
+    values = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data), mask).cast(pa.string())
+    found = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n_cells[simple])]).astype(np.int32), values)
+    others = np.flatnonzero(~simple)
+    if not len(others):
+        return found
+    odd = pa.array([cells(insides[k]) for k in others.tolist()], pa.list_(pa.string()))
+    place = np.empty(len(rows), np.int64)
+    place[simple], place[others] = np.arange(len(found)), len(found) + np.arange(len(others))
+    return pa.concat_arrays([found.cast(odd.type), odd]).take(pa.array(place))
+
+
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per stretch up to a closing parenthesis, in order within its split."""
+    """One row per stretch up to a closing parenthesis, in order within its split. ``value`` has a parenthesis in front, so that rows
+    put together are the text."""
     return spark.read.option("lineSep", ")").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_size").alias("size"), F.octet_length("value").cast("long").alias("bytes"), "value",
+        F.col("_metadata.file_size").alias("size"), F.octet_length("value").cast("long").alias("bytes"),
+        F.concat(F.lit(")"), "value").alias("value"),
     )
 
 
@@ -333,16 +472,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int, int, s
     """
     seen = None
     for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        n_bytes, values, at = batch.column(3).to_pylist(), batch.column(4).to_pylist(), 0
-        while at < len(keys):
-            to = at + 1
-            while to < len(keys) and keys[to] == keys[at]:
-                to += 1
-            lead = "" if keys[at][1] == 0 and keys[at] != seen else ")"
-            first = {n: batch.column(k)[at].as_py() for k, n in enumerate(batch.schema.names) if n != "value"}
-            yield first, sum(n_bytes[at:to]), to - at, (lead + ")".join(values[at:to])).replace("\r\n", "\n")
-            seen, at = keys[at], to
+        n = batch.num_rows
+        if not n:
+            continue
+        file, block = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+        other = pc.not_equal(file.slice(1), file.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool) | (block[1:] != block[:-1])
+        edges = [0, *(np.flatnonzero(other) + 1).tolist(), n]
+        n_bytes, values = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).cast(pa.large_string())
+        begins = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + n + 1].tolist()
+        for at, to in zip(edges, edges[1:]):
+            first = {name: batch.column(k)[at].as_py() for k, name in enumerate(batch.schema.names) if name != "value"}
+            key = first["file"], first["block"]
+            text = values.buffers()[2][begins[at] + int(key[1] == 0 and key != seen) : begins[to]].to_pybytes().decode()
+            yield first, int(n_bytes[at:to].sum()), to - at, text.replace("\r\n", "\n")
+            seen = key
 
 
 def _ends_in_separator(n_bytes: int, n_records: int, size: int) -> bool:
@@ -396,30 +539,35 @@ def _groups(records: DataFrame) -> DataFrame:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in _GROUP.split(", ")])
 
-        def rows() -> list[tuple]:
-            made = [(begin["file"], begin["block"], o[0], cells(o[2]), *o[3:], None) for o in reader.out]
+        def rows() -> pa.RecordBatch:
+            n, (ords, _, insides, *others) = len(reader.out), zip(*reader.out)
             reader.out = []
-            return made
+            columns = [[begin["file"]] * n, [begin["block"]] * n, ords, cell_lists(list(insides)), *others, [None] * n]
+            return pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in _GROUP.split(", ")]
+            )
 
-        def finish() -> list[tuple]:
+        def finish() -> Iterator[pa.RecordBatch]:
             tail = begin["tail"] if begin["tail"] is not None else _ends_in_separator(total, count, begin["size"])
             if begin["last"] and tail:
                 reader.feed(")")
             done = json.dumps(reader.close(begin["last"]))
-            return [*rows(), (begin["file"], begin["block"], -1, None, False, None, None, done)]
+            if reader.out:
+                yield rows()
+            yield batch_of([(begin["file"], begin["block"], -1, None, False, None, None, done)])
 
         for first, n_bytes, n, text in _runs(batches):
             if (first["file"], first["block"]) != (begin.get("file"), begin.get("block")):
                 if reader is not None:
-                    yield batch_of(finish())
+                    yield from finish()
                 begin, total, count = first, 0, 0
                 reader = Reader(first["state"], first["depth"], first["block"] == 0)
             total, count = total + n_bytes, count + n
             reader.feed(text)
             if reader.out:
-                yield batch_of(rows())
+                yield rows()
         if reader is not None:
-            yield batch_of(finish())
+            yield from finish()
 
     return records.mapInArrow(run, _GROUP)
 
