@@ -6,6 +6,7 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from coursecast.plans import registry
 
@@ -49,3 +50,17 @@ def test_counts_by_file_of_several_files(spark, several_files, folders):
     found = registry.REGISTRY["c4_counts_by_file"].build(spark, several_files).collect()
     assert [tuple(r) for r in found] == [(8 * N_FILES, 2, True)]
     assert len(list(Path(folders["c4-table"]).glob("part*"))) == 2 * N_FILES  # the second load is as wide as the first
+
+
+def test_term_files_are_written_without_a_sort(spark, several_files, monkeypatch):
+    spark.createDataFrame([(1, 4)], "n_nationkey int, n_regionkey int").coalesce(1).write.parquet(f"{several_files}/nation.parquet")
+    setting, seen, real = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.csv
+
+    def noted(writer, path, *given, **named):
+        seen.append(int(spark.conf.get(setting)))
+        return real(writer, path, *given, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "csv", noted)
+    found = registry.REGISTRY["s5_many_files"].build(spark, several_files).collect()
+    assert {r.table_name: r.n_rows for r in found if r.loaded} == {"nation": 1, "spring_1998": 2 * N_FILES, "fall_1998": 2 * N_FILES}
+    assert seen[0] > 0 and int(spark.conf.get(setting)) == 0
