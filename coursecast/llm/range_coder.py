@@ -12,7 +12,8 @@ before it, from the one before it, and without context:
 
 The probabilities of all three drive one coding step per id. All blocks of a buffer go through the coder side
 by side, one array operation for all of them, so nothing is done per id in Python. Everything is integer
-arithmetic and so the same on every machine.
+arithmetic and so the same on every machine. Arrays hold what all blocks have at one place side by side, as
+blocks look at about the same places of them at a time.
 
 Layout: ``<4sHIQII`` magic, ids per block, number of blocks, number of ids, bytes and crc32 of the packed
 counts; the counts (zlib: ids as ``<u2``, then counts as ``<u4``); per block ``<II`` number of 16-bit words and
@@ -39,6 +40,14 @@ LEAST = 1 << 32
 MASK32 = (1 << 32) - 1
 
 
+def _turned(grid: np.ndarray) -> np.ndarray:
+    """Rows as columns, a few rows at a time, which stay in a processor's cache."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for lo in range(0, len(grid), 32):
+        out[:, lo : lo + 32] = grid[lo : lo + 32].T
+    return out
+
+
 class _Order0:
     """Frequencies of all ids that occur, out of 2**ID_BITS, none of them zero."""
 
@@ -50,7 +59,7 @@ class _Order0:
         self.present, self.edges = present, edges
 
     def ranges(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        both = self._both.take(ids)
+        both = self._both.take(ids, mode="clip")
         return both >> 32, both & MASK32
 
     def inverse(self) -> np.ndarray:
@@ -61,11 +70,10 @@ class _Model:
     """The predictions of all blocks, the first ``k`` of which are still running; row 0 is order 2."""
 
     def __init__(self, n: int) -> None:
-        lanes = np.arange(n)
-        self.table = np.zeros(2 * n * SLOTS, np.int32)
-        self.lane = np.stack([lanes, lanes + n]) * SLOTS
-        self.mix = np.full(2 * n * 128, 8192, np.int32)
-        self.mix_lane = np.stack([lanes, lanes + n]) * 128
+        self.n = n
+        self.table = np.zeros(SLOTS * 2 * n, np.int32)
+        self.mix = np.full(128 * 2 * n, 8192, np.int32)
+        self.lane = np.arange(2 * n).reshape(2, n)
         self.prev1 = np.zeros(n, np.int64)
         self.prev2 = np.zeros(n, np.int64)
 
@@ -77,54 +85,81 @@ class _Model:
         slot[0] += slot[1]
         slot >>= 7
         slot &= SLOTS - 1
+        slot *= 2 * self.n
         slot += self.lane[:, :k]
         self.slot = slot
-        self.entry = self.table.take(slot)
+        self.entry = self.table.take(slot, mode="clip")  # all are in range; this is the fastest mode
         self.guess = self.entry >> 3
         self.trust = self.entry & 7
-        same = self.guess[0] == self.guess[1]
-        at = self.trust[0] * 16
-        at += self.trust[1] * 2
+        same = (self.guess[0] == self.guess[1]).astype(np.int32)
+        at = self.trust[0] * 8
+        at += self.trust[1]
+        at *= 2
         at += same
-        self.at = self.mix_lane[:, :k] + at
-        self.chance = self.mix.take(self.at)
-        share = (self.chance * 1000) >> 16
+        at *= 2 * self.n
+        self.at = self.lane[:, :k] + at.astype(np.int64)
+        self.chance = self.mix.take(self.at, mode="clip")
+        share = self.chance * 1000
+        share >>= 16
         self.f2 = share[0] + 1
         f1 = np.minimum(share[1], WHOLE - 3 - self.f2)
         f1 += 1
-        f1 *= ~same
+        f1 *= 1 - same
+        self.f1 = f1
         self.f12 = self.f2 + f1
 
+    def ranges(self, hits: np.ndarray, other: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the range of each block's id begins, and its size; ``first`` and ``many`` are those in order 0.
+
+        ``hits`` and ``other`` are 1 for what holds of an id and else 0: sums of products, as branches on chance are slow.
+        """
+        begin = (self.f2 * hits[1] + self.f12 * other).astype(np.int64)
+        begin <<= ID_BITS
+        size = (self.f2 * hits[0] + self.f1 * hits[1]).astype(np.int64)
+        size <<= ID_BITS
+        rest = ((WHOLE - self.f12) * other).astype(np.int64)
+        begin += rest * first
+        size += rest * many
+        return begin, size
+
     def learn(self, k: int, ids: np.ndarray, hits: np.ndarray, right: np.ndarray) -> None:
-        self.mix[self.at] = self.chance + ((hits * np.int32(65535) - self.chance) >> 4)
-        trust = self.trust
-        miss = np.where(trust >= 2, self.entry - trust + (trust >> 1), ids * 8 + 1)
-        self.table[self.slot] = np.where(right, self.entry + (trust < 7), miss)
+        step = hits * 65535
+        step -= self.chance
+        step >>= 4
+        step += self.chance
+        self.mix[self.at] = step
+        new = np.empty_like(self.entry)
+        new[:] = ids * 8 + 1
+        kept = (right | (self.trust >= 2)).ravel().nonzero()[0]
+        entry, trust, good = self.entry.take(kept), self.trust.take(kept), right.take(kept).astype(np.int32)
+        entry -= ((trust + 1) >> 1) * (1 - good)
+        entry += good * (trust < 7)
+        new.ravel()[kept] = entry
+        self.table[self.slot] = new
         self.prev2[:k] = self.prev1[:k]
         self.prev1[:k] = ids
 
 
 class _Writer:
     def __init__(self, n: int) -> None:
+        self.n = n
         self.low = np.zeros(n, np.int64)
         self.range = np.full(n, TOP, np.int64)
-        self.at = np.zeros(n, np.int64)
-        self.width = BLOCK * 2 + 4
-        self.out = np.zeros(n * self.width, np.uint16)
-        self.lane = np.arange(n) * self.width
+        self.out = np.zeros((BLOCK * 2 + 4) * n, np.uint16)
+        self.place = np.arange(n)  # of each block's next word
 
     def emit(self, lanes: np.ndarray) -> None:
-        low = self.low[lanes]
-        place = self.lane[lanes] + self.at[lanes]
+        low = self.low.take(lanes)
+        place = self.place.take(lanes)
         word = low >> 32
-        self.out[place] = word & 0xFFFF
-        over = word >> 16
-        if over.any():  # a carry into the words before
-            place = place[over > 0] - 1
-            while len(place):
-                self.out[place] += 1
-                place = place[self.out[place] == 0] - 1
-        self.at[lanes] += 1
+        self.out[place] = word.astype(np.uint16)
+        over = (word >> 16).nonzero()[0]
+        if len(over):  # a carry into the words before
+            before = place.take(over) - self.n
+            while len(before):
+                self.out[before] += 1
+                before = before[self.out[before] == 0] - self.n
+        self.place[lanes] = place + self.n
         self.low[lanes] = (low & MASK32) << 16
 
     def put(self, k: int, begin: np.ndarray, size: np.ndarray) -> None:
@@ -132,17 +167,19 @@ class _Writer:
         now >>= BITS
         self.low[:k] += now * begin
         now *= size
-        small = np.flatnonzero(now < LEAST)
-        while len(small):
-            self.emit(small)
-            now[small] <<= 16
-            small = small[now[small] < LEAST]
+        small = now < LEAST
+        while small.any():
+            self.emit(small.nonzero()[0])
+            now <<= small.astype(np.int64) << 4
+            small = now < LEAST
 
     def finish(self) -> list[bytes]:
-        everyone = np.arange(len(self.low))
+        everyone = np.arange(self.n)
         for _ in range(3):
             self.emit(everyone)
-        return [self.out[p : p + n].astype("<u2").tobytes() for p, n in zip(self.lane, self.at)]
+        many = self.place // self.n
+        words = _turned(self.out[: many.max() * self.n].reshape(-1, self.n))
+        return [w[:m].astype("<u2").tobytes() for w, m in zip(words, many.tolist())]
 
 
 class _Reader:
@@ -152,9 +189,10 @@ class _Reader:
         words = np.zeros((n, width), np.uint16)
         for k, s in enumerate(streams):
             words[k, : len(s)] = s
-        self.words = words.ravel()
-        self.place = np.arange(n) * width + 3
         first = words[:, :3].astype(np.int64)
+        self.n = n
+        self.words = _turned(words).ravel()
+        self.place = np.arange(n) + 3 * n
         self.code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
         self.range = np.full(n, TOP, np.int64)
 
@@ -168,20 +206,26 @@ class _Reader:
         now = self.range[:k]
         self.code[:k] -= now * begin
         now *= size
-        small = np.flatnonzero(now < LEAST)
-        while len(small):
-            now[small] <<= 16
-            place = self.place[small]
-            self.code[small] = (self.code[small] << 16) | self.words.take(place)
-            self.place[small] = place + 1
-            small = small[now[small] < LEAST]
+        small = now < LEAST
+        while small.any():
+            lanes = small.nonzero()[0]
+            place = self.place.take(lanes)
+            code = self.code.take(lanes)
+            code <<= 16
+            code += self.words.take(place, mode="clip").astype(np.int64)
+            self.code[lanes] = code
+            self.place[lanes] = place + self.n
+            now <<= small.astype(np.int64) << 4
+            small = now < LEAST
 
 
 def encode(ids: np.ndarray) -> bytes:
     """The ids, each below 65536, as one buffer."""
     ids = np.ascontiguousarray(ids, "<u2")
     n_blocks = -(-len(ids) // BLOCK)
-    counts = np.bincount(ids, minlength=1)
+    counts = np.zeros(1 << 16, np.int64)
+    for lo in range(0, len(ids), 1 << 18):
+        counts += np.bincount(ids[lo : lo + (1 << 18)], minlength=1 << 16)
     present = np.flatnonzero(counts)
     packed = zlib.compress(present.astype("<u2").tobytes() + counts[present].astype("<u4").tobytes(), 1)
     head = struct.pack(HEAD, MAGIC, BLOCK, n_blocks, len(ids), len(packed), zlib.crc32(packed)) + packed
@@ -190,7 +234,7 @@ def encode(ids: np.ndarray) -> bytes:
     order0 = _Order0(present, counts[present])
     padded = np.zeros(n_blocks * BLOCK, np.uint16)
     padded[: len(ids)] = ids
-    steps = np.ascontiguousarray(padded.reshape(n_blocks, BLOCK).T)
+    steps = _turned(padded.reshape(n_blocks, BLOCK))
     last = len(ids) - (n_blocks - 1) * BLOCK
     model, writer = _Model(n_blocks), _Writer(n_blocks)
     for t in range(BLOCK if n_blocks > 1 else last):
@@ -198,17 +242,9 @@ def encode(ids: np.ndarray) -> bytes:
         model.look(k)
         now = steps[t, :k].astype(np.int32)
         right = model.guess == now
-        hits = right.copy()
+        hits = right.astype(np.int32)
         hits[1] &= ~hits[0]
-        f2, f12 = model.f2, model.f12
-        rest = WHOLE - f12
-        begin = np.where(hits[0], 0, np.where(hits[1], f2, f12)).astype(np.int64) << ID_BITS
-        size = np.where(hits[0], f2, f12 - f2).astype(np.int64) << ID_BITS
-        other = np.flatnonzero(~(hits[0] | hits[1]))
-        part, named = rest[other], now[other]
-        first, many = order0.ranges(named)
-        begin[other] += part * first
-        size[other] = part * many
+        begin, size = model.ranges(hits, 1 - hits[0] - hits[1], *order0.ranges(now))
         writer.put(k, begin, size)
         model.learn(k, now, hits, right)
     words = writer.finish()
@@ -244,27 +280,21 @@ def decode(buffer: bytes) -> np.ndarray:
         k = n_blocks if t < last else n_blocks - 1
         model.look(k)
         target = reader.target(k)
-        event = target >> ID_BITS
-        f2, f12 = model.f2, model.f12
-        hits = np.empty((2, k), bool)
-        np.less(event, f2, out=hits[0])
-        np.less(event, f12, out=hits[1])
-        other = np.flatnonzero(~hits[1])
-        hits[1] &= ~hits[0]
-        begin = np.where(hits[0], 0, np.where(hits[1], f2, f12)).astype(np.int64) << ID_BITS
-        size = np.where(hits[0], f2, f12 - f2).astype(np.int64) << ID_BITS
-        now = np.where(hits[0], model.guess[0], model.guess[1])
-        part = (WHOLE - f12)[other]
-        place = np.minimum(((target[other] - begin[other]) / part).astype(np.int64), (1 << ID_BITS) - 1)
-        named = inverse.take(place).astype(np.int32)
-        now[other] = named
-        first, many = order0.ranges(named)
-        begin[other] += part * first
-        size[other] = part * many
+        event = (target >> ID_BITS).astype(np.int32)
+        other = (event >= model.f12).astype(np.int32)
+        hits = np.empty((2, k), np.int32)
+        hits[0] = event < model.f2
+        hits[1] = 1 - other - hits[0]
+        target -= model.f12.astype(np.int64) << ID_BITS  # below 0 where a guess was right: any id will do there
+        now = inverse.take((target / (WHOLE - model.f12)).astype(np.int64), mode="clip")
+        begin, size = model.ranges(hits, other, *order0.ranges(now))
+        now = now.astype(np.int32) * other
+        now += model.guess[0] * hits[0]
+        now += model.guess[1] * hits[1]
         reader.take(k, begin, size)
         steps[t, :k] = now
         model.learn(k, now, hits, model.guess == now)
-    ids = np.ascontiguousarray(steps.T).ravel()[:n_ids].astype("<u2")
+    ids = _turned(steps).ravel()[:n_ids].astype("<u2", copy=False)
     for b in range(n_blocks):
         if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].tobytes()) != index[b, 1]:
             raise ValueError(f"block {b} does not match its checksum")

@@ -11,6 +11,7 @@ import json
 import os
 import sys
 from collections.abc import Iterator
+from itertools import chain
 from types import ModuleType
 
 import numpy as np
@@ -41,6 +42,18 @@ def _other_space(buf: np.ndarray) -> np.ndarray:
     return at[odd]
 
 
+def _places(buf: np.ndarray, mark: bytes) -> np.ndarray:
+    """Where ``mark`` begins."""
+    if len(mark) == 1:
+        return np.flatnonzero(buf == mark[0])
+    data, found = buf.tobytes(), []
+    k = data.find(mark)
+    while k >= 0:
+        found.append(k)
+        k = data.find(mark, k + 1)
+    return np.array(found, np.int64)
+
+
 def _kind(setting: dict) -> str:
     """How texts can be cut: ``spaced`` (a word takes one space before it, the rest of the white space has ids of
     its own), ``words`` (white space is dropped), or ``whole`` (not at all)."""
@@ -146,34 +159,46 @@ class TextEncoder:
         Many words go as one text with a separator between that has an id of its own: a line feed if white space has
         ids, else a special token. White space, and words with special tokens, go by themselves.
         """
-        pieces = [buf[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())]
+        size = end - start
+        at = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=at[1:])
+        place = np.repeat(start - at[:-1], size)
+        place += np.arange(at[-1])
+        data = buf[place]  # the pieces in a row
         if self.between is None:
-            many, alone = np.zeros(0, np.int64), np.arange(len(pieces))
+            alone = np.ones(len(size), bool)
         else:
-            space = SPACE[buf[start]] & (SPACE[buf[np.minimum(start + 1, len(buf) - 1)]] | (end - start < 2))
-            marks = {self.between[0], *self.special}
-            data = b"".join(pieces)
-            if any(s in data for s in marks) or len(_other_space(np.frombuffer(data, np.uint8))):
-                odd = [any(s in p for s in marks) or len(_other_space(np.frombuffer(p, np.uint8))) > 0 for p in pieces]
-                space |= np.array(odd, bool)
-            many, alone = np.flatnonzero(~space), np.flatnonzero(space)
-        flat, lengths = [], []
-        if len(many):
-            mark, mark_id = self.between
-            groups = [many[lo : lo + 64].tolist() for lo in range(0, len(many), 64)]
-            joined = [(mark.join([pieces[k] for k in g]) + mark).decode() for g in groups]
-            for g, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-                ids = np.array(found.ids, self.dtype)
-                cut = np.flatnonzero(ids == mark_id)
-                if len(cut) != len(g):
-                    raise ValueError("the tokenizer joins words with what stands between them")
-                lengths.append(np.diff(cut, prepend=-1) - 1)
-                flat.append(ids[ids != mark_id])
-        texts = [pieces[k].decode() for k in alone.tolist()]
-        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            lengths.append(np.array([len(found.ids)]))
-            flat.append(np.array(found.ids, self.dtype))
-        return np.concatenate(flat), np.concatenate(lengths), np.concatenate([many, alone])
+            alone = SPACE[buf[start]] & (SPACE[buf[np.minimum(start + 1, len(buf) - 1)]] | (size < 2))
+            odd = [_other_space(data), *(_places(data, s) for s in {self.between[0], *self.special})]
+            alone[np.searchsorted(at, np.concatenate(odd), "right") - 1] = True
+        texts = [data[at[k] : at[k + 1]].tobytes().decode() for k in np.flatnonzero(alone).tolist()]
+        alone_ids, alone_lengths = self._library(texts)
+        if alone.all():
+            return alone_ids, alone_lengths, np.arange(len(size))
+        mark, mark_id = self.between
+        many = np.flatnonzero(~alone)
+        data, size = data[np.repeat(~alone, size)], size[many]
+        joined = np.empty(len(data) + len(many) * len(mark), np.uint8)
+        joined[np.arange(len(data)) + np.repeat(np.arange(len(many)) * len(mark), size)] = data
+        last = np.cumsum(size + len(mark))
+        for k, byte in enumerate(mark):
+            joined[last - len(mark) + k] = byte
+        edges = [0, *last[63:-1:64].tolist(), len(joined)]
+        ids, lengths = self._library([joined[lo:to].tobytes().decode() for lo, to in zip(edges, edges[1:])])
+        cut = np.flatnonzero(ids == mark_id)
+        if not np.array_equal(np.searchsorted(cut, np.cumsum(lengths)), np.searchsorted(last, edges[1:], "right")):
+            raise ValueError("the tokenizer joins words with what stands between them")
+        return (
+            np.concatenate([ids[ids != mark_id], alone_ids]),
+            np.concatenate([np.diff(cut, prepend=-1) - 1, alone_lengths]),
+            np.concatenate([many, np.flatnonzero(alone)]),
+        )
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        found = [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.array([len(ids) for ids in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), self.dtype, lengths.sum()), lengths
 
     def _numbers(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The number of each piece's word; words not met before are given to the library together."""
@@ -225,14 +250,8 @@ class TextEncoder:
 
     def _uncut(self, chunk: Chunk) -> list[int]:
         """Texts with special tokens or other white space, where neighbours matter."""
-        at = _other_space(chunk.buf).tolist()
-        data = chunk.buf.tobytes() if self.special else b""
-        for s in self.special:
-            k = data.find(s)
-            while k >= 0:
-                at.append(k)
-                k = data.find(s, k + 1)
-        return sorted(set((np.searchsorted(chunk.text_at, at, "right") - 1).tolist()))
+        at = np.concatenate([_other_space(chunk.buf), *(_places(chunk.buf, s) for s in self.special)])
+        return np.unique(np.searchsorted(chunk.text_at, at, "right") - 1).tolist()
 
     def encode_chunk(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a chunk, and the offsets at which each begins (and the end)."""
