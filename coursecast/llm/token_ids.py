@@ -21,7 +21,7 @@ from coursecast.llm.textops import SPACE, Chunk, chunks
 
 MOST_WORDS = 2_000_000  # of a worker's memory of words, about 100 MB; beyond, it begins anew
 LONG = 256  # bytes; longer words are not remembered
-SLOT_BITS = 22
+SLOT_BITS = 16  # of an empty memory; slots double so that at most half are taken
 
 #: Bytes that may begin a white space character other than space and tab to carriage return, or a control
 #: character on which libraries differ.
@@ -110,34 +110,44 @@ class TextEncoder:
         return None
 
     def _forget(self) -> None:
-        self.slot_hash = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.slot_word = np.full(1 << SLOT_BITS, -1, np.int32)
+        self._slots(SLOT_BITS)
         self.n_words = self.n_ids = 0
         self.word_at = np.zeros(1 << 12, np.int32)
         self.word_len = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, self.dtype)
 
+    def _slots(self, bits: int) -> None:
+        self.bits = bits
+        self.slot_hash = np.zeros(1 << bits, np.uint64)
+        self.slot_word = np.full(1 << bits, -1, np.int32)
+
     def _known(self, hashes: np.ndarray) -> np.ndarray:
         """The number of the word with each hash, -1 if it has none."""
         number = np.full(len(hashes), -1, np.int64)
-        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         open_ = np.arange(len(hashes))
         while len(open_):
             word = self.slot_word[slot]
             hit = (word >= 0) & (self.slot_hash[slot] == hashes[open_])
             number[open_[hit]] = word[hit]
             on = (word >= 0) & ~hit
-            open_, slot = open_[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+            open_, slot = open_[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return number
 
     def _remember(self, hashes: np.ndarray, number: np.ndarray) -> None:
-        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        need = 2 * (self.n_words + len(hashes))
+        if need > 1 << self.bits:
+            old = np.flatnonzero(self.slot_word >= 0)
+            hashes = np.concatenate([self.slot_hash[old], hashes])
+            number = np.concatenate([self.slot_word[old], number])
+            self._slots((need - 1).bit_length())
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(slot):
             free = self.slot_word[slot] < 0
             self.slot_word[slot[free]] = number[free]
             mine = self.slot_word[slot] == number  # of several at a free slot one has got it
             self.slot_hash[slot[mine]] = hashes[mine]
-            hashes, number, slot = hashes[~mine], number[~mine], (slot[~mine] + 1) & ((1 << SLOT_BITS) - 1)
+            hashes, number, slot = hashes[~mine], number[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
 
     def _place(self, number: int, at: int, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Put ids behind the first ``at`` as words ``number`` and on; the end of them."""

@@ -43,6 +43,18 @@ def test_words_that_go_alone_stand_among_others():
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_memory_of_words_grows_with_them():
+    encoder = TextEncoder(registry.tokenizer_path())
+    assert encoder.slot_hash.nbytes + encoder.slot_word.nbytes < 1 << 20
+    texts = pa.array([" ".join(f"w{k}" for k in range(lo, lo + 1000)) for lo in range(0, 90_000, 1000)] * 2)
+    got = np.concatenate([ids for _, ids, _ in encoder.encode_texts(texts)])
+    assert 90_000 <= encoder.n_words <= len(encoder.slot_word) // 2
+    some = [0, 45_000, 89_000]
+    want = {lo: encoder.tokenizer.encode(texts[lo // 1000].as_py(), add_special_tokens=False).ids for lo in some}
+    assert got[: len(want[0])].tolist() == want[0] and got[-len(want[89_000]) :].tolist() == want[89_000]
+    assert np.array_equal(got[: len(got) // 2], got[len(got) // 2 :])
+
+
 def test_buffers_are_those_of_earlier_versions():
     rng = np.random.default_rng(7)
     for n, kind, crc in CRCS:
